@@ -1,4 +1,6 @@
 """Registered queries and their SQL equivalents."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from riskloom.plans import loading, panel  # noqa: F401
+from riskloom.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
