@@ -22,8 +22,11 @@ def inserted(target: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFram
     return target.unionByName(new.join(target.select(*keys), list(keys), "left_anti"))
 
 
-def upserted(target: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """target with new rows in place of those with their keys."""
+def upserted(target: DataFrame, new: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """target with new rows in place of those with their keys; with ``order`` the row with the largest value stays, so that batches
+    may come in any order."""
+    if order is not None:
+        return first_rows(target.unionByName(new), keys, [F.col(order).desc()])
     return target.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
 
 
@@ -35,7 +38,7 @@ def touched(new: DataFrame, partition: str, most: int = 10_000) -> list:
     return found
 
 
-def merge_into(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], partition: str, update: bool) -> int:
+def merge_into(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], partition: str, update: bool, order: str | None = None) -> int:
     """Insert-only or upsert into a table partitioned by ``partition``, which must be one of the keys or follow from them.
     Returns how many partitions were written."""
     parts = touched(new, partition)
@@ -47,7 +50,7 @@ def merge_into(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[st
         if "PATH_NOT_FOUND" not in str(e):
             raise
         target = new.where(F.lit(False))
-    result = materialize((upserted if update else inserted)(target, new, keys), "merge")
+    result = materialize(upserted(target, new, keys, order) if update else inserted(target, new, keys), "merge")
     replace_partitions(result.select(*new.columns), path, partition)
     return len(parts)
 

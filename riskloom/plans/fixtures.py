@@ -67,10 +67,10 @@ def titles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
-    """channel, message_id, at, text, country."""
+    """channel, message_id, sent_at, text, country."""
     rows = table(spark, sf, "conversations").select(
         F.col("role").alias("channel"), (F.col("conv_id") * 100 + F.col("turn")).alias("message_id"), "text",
-        F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60).alias("at"), (F.col("conv_id") % 5).alias("nk"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60).alias("sent_at"), (F.col("conv_id") % 5).alias("nk"),
     )
     return _named(rows, spark, sf, F.col("nk")).drop("nk")
 
@@ -96,5 +96,5 @@ art AS (SELECT doc_id, DATE '2024-01-01' + CAST((doc_id // 5) % 20 AS INT) AS da
   source AS domain, lang AS language, (n_chars % 2001 - 1000) / 10.0::DOUBLE AS tone, array_to_string(regexp_extract_all(text, '[A-Z]?[a-z]{3,}')[1:6], ';') AS themes,
   array_to_string(regexp_extract_all(text, '[a-z]+, ?[a-z]+')[1:4], ';') AS persons, text, n_chars, country FROM documents JOIN nat ON nat.k = doc_id % 5),
 tit AS (SELECT vec_id, DATE '2024-01-01' + CAST(2 * ((vec_id // 5) % 20) AS INT) AS day, label, embedding::DOUBLE[] AS vec, country FROM embeddings JOIN nat ON nat.k = vec_id % 5),
-msg AS (SELECT role AS channel, conv_id * 100 + turn AS message_id, text, make_timestamp((1704067200 + conv_id * 3600 + turn * 60) * 1000000) AS at, country FROM conversations JOIN nat ON nat.k = conv_id % 5),
+msg AS (SELECT role AS channel, conv_id * 100 + turn AS message_id, text, make_timestamp((1704067200 + conv_id * 3600 + turn * 60) * 1000000) AS sent_at, country FROM conversations JOIN nat ON nat.k = conv_id % 5),
 pred AS (SELECT doc_id, country, day, toxic AS y, 1 / (1 + exp(-((n_chars - 1500) / 1000.0::DOUBLE))) AS p, 1 / (1 + exp(-((n_chars % 977 - 400) / 300.0::DOUBLE))) AS q FROM art JOIN labels USING (doc_id))"""

@@ -1 +1,5 @@
-"""Streaming."""
+"""Continuous ingest, state and aggregates with Structured Streaming."""
+
+from riskloom.streaming.jobs import buckets, daily_totals, drain, insert_events, landed, online_scores, upsert_articles, upsert_messages
+
+__all__ = ["buckets", "daily_totals", "drain", "insert_events", "landed", "online_scores", "upsert_articles", "upsert_messages"]
