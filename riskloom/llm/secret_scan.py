@@ -100,5 +100,32 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(docs, ledger).select("doc_id", *counts, F.sha2(joined("found", True), 256).alias("base_sha256"), joined("found", False).alias("spans"))
 
 
+def _oracle() -> str:
+    """The same in SQL, whose expressions lack look-behind: the character before a match is taken as group 1 and counted off."""
+    either = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word) + opt for word, opt in (("password", ""), ("passwd", ""), ("secret", ""), ("token", "")))
+    key = "[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
+    forms = {"assign": (rf"""({either}|{key})["\x27]?\x20*[:=]\x20*["\x27]?([A-Za-z0-9+/_.=-]+)""", 2, 0), "access": (r"AKIA[A-Z0-9]{16,}", 0, 0), "hex": (r"[0-9a-f]{24,}", 0, 0)}
+    for rule in MORE:
+        ahead = "(?<![A-Za-z0-9])"
+        forms[rule.kind] = ("(^|[^A-Za-z0-9])" + rule.regex.removeprefix(ahead), 0, 1) if rule.regex.startswith(ahead) else (rule.regex, 0, 0)
+    parts = [
+        f"SELECT r, {k} AS rank, '{rule.kind}' AS kind, {rule.least} AS least, string_split_regex(text, '{x}') AS g, regexp_extract_all(text, '{x}') AS m, regexp_extract_all(text, '{x}', {group}) AS v, "
+        + (f"regexp_extract_all(text, '{x}', {lead})" if lead else "NULL::VARCHAR[]")
+        + f" AS lead FROM d WHERE regexp_matches(text, '{x}')"
+        for k, rule in enumerate(RULES)
+        for x, group, lead in [forms[rule.kind]]
+    ]
+    base = ", ".join(f"'{r.kind}'" for r in BASE)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+u AS MATERIALIZED ({" UNION ALL ".join(parts)}),
+s AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM u),
+p AS (SELECT *, coalesce(list_sum(list_transform(g[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS b FROM s),
+f AS (SELECT r, rank, kind, b + coalesce(length(lead[k]), 0) AS a, b + length(m[k]) AS e FROM p WHERE length(v[k]) >= least),
+t AS (SELECT r, {counts}, string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, rank) FILTER (kind IN ({base})) AS b, string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, rank) AS spans FROM f GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN t USING (r)"""
+
+
 QUERIES = {"op7_secrets": op7_secrets}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op7_secrets": _oracle()}
