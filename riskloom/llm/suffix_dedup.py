@@ -9,6 +9,12 @@ A byte goes if a string of LENGTH (100) bytes covers it that also starts earlier
 3. Rank by 100 bytes: for the first of each remaining context, the windows on an anchor are ranked by (anchor, offset, 100-byte
    hash) in order of (doc_id, start); all but the first go.
 
+Common passages.  An anchor that one Arrow batch holds CROWDED times is known to recur: its rows are dealt by (anchor, context), and
+one marker per batch tells the anchor's other rows.  Of equal contexts in a batch only the first is dealt by key; the others go at once,
+and travel by a random key.  In step 3 the windows of an anchor with over HOT open rows are dealt in slices of SLICE offsets by the hash
+of the bytes that a slice's windows share, again only the first of equal ones per batch.  So what meets under one key does not follow
+the size of the group.
+
 Whole copies are found by SHA-256 first.  Texts are dealt by doc_id once, into a bucketed table in the shared folder, and later
 steps move only hashes, places and the contexts of step 3.
 
@@ -33,6 +39,7 @@ from riskloom.session import bucketed, materialize, table
 LENGTH, GRAM = 100, 20
 SPREAD = LENGTH - GRAM + 1
 PIECE = 1 << 19
+CROWDED, HOT, SLICE = 32, 20_000, 8
 LEAST_ID = -(1 << 63)
 TAG_BITS, POS_BITS, D_BITS = 17, 32, 7
 D_MASK, POS_MASK = (1 << D_BITS) - 1, (1 << POS_BITS) - 1
@@ -120,10 +127,22 @@ def buffers(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         yield data, np.array([k for k, _ in parts[i:j]]), end - size[i:j], end, np.array([a for _, a in parts[i:j]])
 
 
+def first_of(*keys: np.ndarray) -> np.ndarray:
+    """Which rows are the first with their key; rows stand in the order that counts."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
+    out = np.zeros(len(order), bool)
+    out[order[new]] = True  # lexsort is stable
+    return out
+
+
 def sampled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(did, tag, text) to anchors (h, c, did, packed); packed holds tag, place of the anchor, and its offsets in its windows."""
+    """(did, tag, text) to anchors (k, h, c, did, packed, state), dealt by k; packed holds tag, place of the anchor, and its offsets in
+    its windows.  state: 0 to be ranked, 1 known to recur, 2 known to go as a whole, 3 a marker."""
     for frame in frames:
         did, tag, texts = frame["did"].to_numpy(), frame["tag"].to_numpy(), frame["text"].tolist()
+        parts = []
         for data, owners, begin, end, offset in buffers(texts):
             # empty texts share their begin with the next one, and have no window
             some = end > begin
@@ -131,34 +150,62 @@ def sampled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             who = owners[some][owner]
             place = x - begin[some][owner] + offset[some][owner]
             packed = tag[who] << (POS_BITS + 2 * D_BITS) | place << (2 * D_BITS) | (x - low) << D_BITS | (x - high)
-            yield pd.DataFrame({"h": h.view(np.int64), "c": c.view(np.int64), "did": did[who], "packed": packed})
+            parts.append((h, c, did[who], packed))
+        if not parts:
+            continue
+        h, c, who, packed = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((packed, who))
+        h, c, who, packed = h[order], c[order], who[order], packed[order]
+        values, at, n = np.unique(h, return_inverse=True, return_counts=True)
+        crowded = n[at] >= CROWDED
+        again = crowded & ~first_of(h, c)
+        # a repeated row is the first itself
+        same = np.zeros(len(h), bool)
+        same[1:] = (who[1:] == who[:-1]) & (packed[1:] == packed[:-1])
+        state = np.where(again & ~same, 2, np.where(crowded, 1, 0))
+        key = np.where(state == 2, mixed(packed.view(np.uint64) ^ mixed(who.view(np.uint64))), np.where(crowded, mixed(h ^ c), h))
+        yield _anchors(key, h, c, who, packed, state)
+        marks = values[n >= CROWDED]
+        if len(marks):
+            none = np.zeros(len(marks), np.int64)
+            yield _anchors(marks, marks, none.view(np.uint64), none, none, none + 3)
+
+
+def _anchors(k: np.ndarray, h: np.ndarray, c: np.ndarray, did: np.ndarray, packed: np.ndarray, state: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"k": k.view(np.int64), "h": h.view(np.int64), "c": c.view(np.int64), "did": did, "packed": packed, "state": state.astype("int32")})
 
 
 def recurring(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Anchors sorted by (h, c, did, packed) to those that matter: ``whole`` ones, all of whose windows occur earlier, and the first of
+    """Anchors sorted by (k, h, c, did, packed) to those that matter: ``whole`` ones, all of whose windows occur earlier, and the first of
     each context where an anchor has several.  Keeps one row of state, however many rows share an anchor."""
     prev = held = None  # the last row's (h, c) with its class's first (did, packed); an anchor's first row while it is alone
     for frame in frames:
+        gone = frame["state"] == 2
+        if gone.any():
+            yield frame.loc[gone, ["h", "did", "packed"]].assign(whole=True)
+            frame = frame[~gone]
         if not len(frame):
             continue
-        h, c, did, packed = (frame[k].to_numpy() for k in ("h", "c", "did", "packed"))
+        h, c, did, packed, state = (frame[k].to_numpy() for k in ("h", "c", "did", "packed", "state"))
+        known, mark = state == 1, state == 3
         new_h, new_c = np.ones(len(h), bool), np.ones(len(h), bool)
         new_h[1:] = h[1:] != h[:-1]
-        new_c[1:] = new_h[1:] | (c[1:] != c[:-1])
+        # a marker is a context of its own
+        new_c[1:] = new_h[1:] | (c[1:] != c[:-1]) | (mark[1:] != mark[:-1])
         if prev:
             new_h[0] = h[0] != prev[0]
-            new_c[0] = new_h[0] or c[0] != prev[1]
+            new_c[0] = new_h[0] or c[0] != prev[1] or bool(mark[0]) != prev[4]
         first = np.maximum.accumulate(np.where(new_c, np.arange(len(h)), -1))
         f_did, f_packed = did[first], packed[first]
         if prev:
             f_did, f_packed = np.where(first < 0, prev[2], f_did), np.where(first < 0, prev[3], f_packed)
-        whole = ~new_c & ((did != f_did) | (packed != f_packed))
+        whole = ~new_c & ~mark & ((did != f_did) | (packed != f_packed))
         # an anchor's further contexts, and its first once there is another
         more = new_c & ~new_h
         start = np.maximum.accumulate(np.where(new_h, np.arange(len(h)), -1))
         several = np.zeros(len(h), bool)
         several[start[more & (start >= 0)]] = True
-        out = [pd.DataFrame({"h": h, "did": did, "packed": packed, "whole": whole})[whole | more | several]]
+        out = [pd.DataFrame({"h": h, "did": did, "packed": packed, "whole": whole})[(whole | more | several | (known & new_c)) & ~mark]]
         if held is not None:
             if (more & (start < 0)).any():
                 out.append(pd.DataFrame({"h": [held[0]], "did": [held[1]], "packed": [held[2]], "whole": [False]}))
@@ -167,8 +214,8 @@ def recurring(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 held = None
         if new_h.any():
             s = start[-1]
-            held = None if several[s] else (h[s], did[s], packed[s])
-        prev = (h[-1], c[-1], f_did[-1], f_packed[-1])
+            held = None if several[s] or known[s] or mark[s] else (h[s], did[s], packed[s])
+        prev = (h[-1], c[-1], f_did[-1], f_packed[-1], bool(mark[-1]))
         yield pd.concat(out, ignore_index=True)
 
 
@@ -178,23 +225,59 @@ def places(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(did, text, hs, ps) to (h, did, packed, context)."""
+    """(did, text, hs, ps, hot) to (k, did, packed, context, gone): the bytes of an anchor's windows, dealt by the anchor, or of a slice of
+    them where the anchor is hot; ``gone`` rows occur earlier in the batch."""
     for frame in frames:
-        h, did, p, ctx = [], [], [], []
-        for one, text, hs, ps in zip(frame["did"], frame["text"], frame["hs"], frame["ps"], strict=True):
-            packed = np.asarray(ps, np.int64)
+        h, did, p, ctx, sliced = [], [], [], [], []
+        for one, text, hs, ps, hot in zip(frame["did"], frame["text"], frame["hs"], frame["ps"], frame["hot"], strict=True):
+            packed, hot = np.asarray(ps, np.int64), np.asarray(hot, bool)
             x, most, least = places(packed)
-            h.append(np.asarray(hs, np.int64))
+            hs = np.asarray(hs, np.int64)
+            if hot.any():
+                cold = ~hot
+                rows = [(hs[cold], packed[cold], x[cold], most[cold], least[cold], np.zeros(cold.sum(), bool))]
+                for a in range(0, SPREAD, SLICE):
+                    top, low = np.minimum(most, a + SLICE - 1), np.maximum(least, a)
+                    i = np.flatnonzero(hot & (top >= low))
+                    rest = packed[i] >> (2 * D_BITS) << (2 * D_BITS)
+                    rows.append((hs[i], rest | top[i] << D_BITS | low[i], x[i], top[i], low[i], np.ones(len(i), bool)))
+                hs, packed, x, most, least, hot = (np.concatenate(v) for v in zip(*rows, strict=True))
+            h.append(hs)
             p.append(packed)
             did.append(np.full(len(packed), one, np.int64))
+            sliced.append(hot)
             ctx += [text[a:b] for a, b in zip((x - most).tolist(), (x - least + LENGTH).tolist(), strict=True)]
-        if ctx:
-            yield pd.DataFrame({"h": np.concatenate(h), "did": np.concatenate(did), "packed": np.concatenate(p), "context": ctx})
+        if not ctx:
+            continue
+        h, did, p, sliced = (np.concatenate(v) for v in (h, did, p, sliced))
+        key, gone = h.copy(), np.zeros(len(h), bool)
+        if sliced.any():
+            i = np.flatnonzero(sliced)
+            i = i[np.lexsort((p[i], did[i]))]
+            _, most, least = places(p[i])
+            size = np.array([len(ctx[j]) for j in i])
+            begin = np.cumsum(size) - size
+            hasher = Hasher(np.frombuffer(b"".join([ctx[j] for j in i]), np.uint8))
+            # bytes that every window of the slice has; a row's own windows may be a part of the slice
+            a = least // SLICE * SLICE
+            at = begin + most - a
+            shared = hasher.of(at, at + LENGTH - SLICE + 1)
+            key[i] = mixed(h[i].view(np.uint64) ^ mixed(shared ^ a.astype(np.uint64))).view(np.int64)
+            whole = hasher.of(begin, begin + size) ^ mixed((most << D_BITS | least).astype(np.uint64))
+            first = first_of(key[i], whole)
+            same = np.zeros(len(i), bool)
+            same[1:] = (did[i][1:] == did[i][:-1]) & (p[i][1:] == p[i][:-1])
+            gone[i] = ~first & ~same
+        key = np.where(gone, mixed(p.view(np.uint64) ^ mixed(did.view(np.uint64))).view(np.int64), key)
+        yield pd.DataFrame({"k": key, "h": h, "did": did, "packed": p, "context": ctx, "gone": gone})
 
 
 def later(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Contexts sorted by (h, did, packed) to stretches (did, tag, start, end) of windows that occur earlier."""
-    for frame in by_runs(frames, ["h"], 1 << 15):
+    """Contexts sorted by (k, did, packed) to stretches (did, tag, start, end) of windows that occur earlier."""
+    for frame in by_runs(frames, ["k"], 1 << 15):
+        # the anchors of a repeated row come twice
+        same = (frame[["k", "did", "packed"]].to_numpy()[1:] == frame[["k", "did", "packed"]].to_numpy()[:-1]).all(1)
+        frame = frame[np.append(True, ~same)]
         ctx = frame["context"].tolist()
         size = np.array([len(x) for x in ctx])
         begin = np.cumsum(size) - size
@@ -203,11 +286,12 @@ def later(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         row = np.repeat(np.arange(len(ctx)), windows)
         j = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
         at = begin[row] + j
-        packed = frame["packed"].to_numpy()
+        packed, gone = frame["packed"].to_numpy(), frame["gone"].to_numpy()
         x, most, _ = places(packed)
         key = hasher.of(at, at + LENGTH) ^ mixed(frame["h"].to_numpy().view(np.uint64)[row] + (most[row] - j).astype(np.uint64))
         order = np.argsort(key, kind="stable")  # rows stand in order of (did, packed)
-        again = np.zeros(len(order), bool)
+        order = order[~gone[row[order]]]
+        again = gone[row]
         again[order[1:]] = key[order[1:]] == key[order[:-1]]
         hit = np.flatnonzero(again)
         if not len(hit):
@@ -243,13 +327,16 @@ def with_stretches(docs: DataFrame) -> DataFrame:
     firsts = slim.groupBy("sha").agg(F.min("did").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("sha", "_first")
     copies = materialize(slim.join(firsts, "sha").where("did > _first").select("did", "tag", "n").distinct(), "copies")
     once = dealt.join(copies.select("did", "tag").hint("shuffle_hash"), ["did", "tag"], "left_anti").select("did", "tag", "text")
-    rows = once.mapInPandas(sampled, "h long, c long, did long, packed long")
-    sorted_rows = rows.repartition("h").sortWithinPartitions("h", "c", "did", "packed")
+    rows = once.mapInPandas(sampled, "k long, h long, c long, did long, packed long, state int")
+    sorted_rows = rows.repartition("k").sortWithinPartitions("k", "h", "c", "did", "packed")
     found = materialize(sorted_rows.mapInPandas(recurring, "h long, did long, packed long, whole boolean"), "anchors")
     tag_of = F.shiftright("packed", POS_BITS + 2 * D_BITS)
-    open_ = found.where("not whole").groupBy("did", tag_of.alias("tag")).agg(F.collect_list("h").alias("hs"), F.collect_list("packed").alias("ps"))
-    asked = dealt.select("did", "tag", "text").join(open_.hint("shuffle_hash"), ["did", "tag"]).select("did", "text", "hs", "ps")
-    ranked = asked.mapInPandas(contexts, "h long, did long, packed long, context binary").repartition("h").sortWithinPartitions("h", "did", "packed")
+    some = found.where("not whole")
+    hot = materialize(some.groupBy("h").count().where(f"count > {HOT}").select("h", F.lit(True).alias("hot")), "hot")
+    marked = some.join(hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    open_ = marked.groupBy("did", tag_of.alias("tag")).agg(F.collect_list("h").alias("hs"), F.collect_list("packed").alias("ps"), F.collect_list("hot").alias("hot"))
+    asked = dealt.select("did", "tag", "text").join(open_.hint("shuffle_hash"), ["did", "tag"]).select("did", "text", "hs", "ps", "hot")
+    ranked = asked.mapInPandas(contexts, "k long, h long, did long, packed long, context binary, gone boolean").repartition("k").sortWithinPartitions("k", "did", "packed")
     stretches = materialize(ranked.mapInPandas(later, "did long, tag long, start long, end long"), "stretches")
     place, most, least = F.shiftright("packed", 2 * D_BITS).bitwiseAND(F.lit(POS_MASK)), F.shiftright("packed", D_BITS).bitwiseAND(F.lit(D_MASK)), F.col("packed").bitwiseAND(F.lit(D_MASK))
     whole = found.where("whole").select("did", tag_of.alias("tag"), (place - most).alias("start"), (place - least + LENGTH).alias("end"))
