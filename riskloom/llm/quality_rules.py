@@ -1,8 +1,10 @@
 """Operator 1, quality rules: weak supervision instead of all-must-pass filtering.
 
 Each rule votes good (1) or bad (-1) or abstains (0).  Votes are counted per vote pattern (at most 3 to the number of rules,
-whatever the input), expectation-maximisation over those counts estimates every rule's accuracy and the share of good
-documents, and a closed expression turns a document's votes into its posterior probability of being good.
+whatever the input), expectation-maximisation over those counts estimates every rule's accuracy, and a closed expression turns a
+document's votes into its posterior probability of being good, from even odds.  A vote for bad needs a plain fault and is trusted
+more than a vote for good, which only says that one measure is in order; BAD and GOOD bound the estimates and so keep the
+classes from trading places.
 
 Defined results: a null text has no words and fails the base; an empty table gives an empty result; repeated rows are judged
 each on their own; other columns are ignored.  Native: DataFrame functions only.
@@ -23,16 +25,21 @@ SYMBOLS = "[#*$%&|<>]"
 LEAST_WORDS = 50
 MOST_REPEATED = 50
 
-#: name, bad if, good if; over the columns of ``measures``.
+#: Least, first and largest estimate of an accuracy, for rules that look for faults and for order.
+BAD, GOOD = (0.85, 0.9, 0.99), (0.55, 0.65, 0.75)
+#: name, bad if, good if, bounds; over the columns of ``measures``.
 RULES = [
-    ("length", "n_words < 50", "n_words >= 80"),
-    ("word_size", "word_chars < 2 * n_words or word_chars > 14 * n_words", "word_chars >= 3 * n_words and word_chars <= 10 * n_words"),
-    ("symbols", "10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
-    ("lines", "10 * n_dup_lines > 3 * n_lines", "20 * n_dup_lines <= n_lines"),
-    ("repeats", "100 * n_repeat_words > 50 * n_words", "100 * n_repeat_words <= 20 * n_words"),
-    ("line_size", "n_words < 3 * n_lines", "n_words >= 4 * n_lines"),
+    ("short", "n_words < 50", "false", BAD),
+    ("long", "false", "n_words >= 80", GOOD),
+    ("word_size", "word_chars < 2 * n_words or word_chars > 14 * n_words", "false", BAD),
+    ("symbols", "10 * n_symbols > n_words", "false", BAD),
+    ("symbol_share", "100 * n_symbols > word_chars", "false", BAD),
+    ("lines", "n_dup_lines >= 3 and 10 * n_dup_lines > 3 * n_lines", "false", BAD),
+    ("repeats", "100 * n_repeat_words > 40 * n_words", "false", BAD),
+    ("variety", "false", "100 * n_repeat_words <= 20 * n_words", GOOD),
+    ("line_size", "n_words < 3 * n_lines", "false", BAD),
 ]
-START, LOWEST, HIGHEST, ROUNDS, KEEP = 0.8, 0.55, 0.99, 12, 0.5
+ROUNDS, KEEP = 12, 0.5
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -76,41 +83,39 @@ def vote(bad: str, good: str) -> Column:
     return F.when(F.col("n_words") == 0, F.lit(-1)).when(F.expr(bad), F.lit(-1)).when(F.expr(good), F.lit(1)).otherwise(F.lit(0))
 
 
-def posterior(prior: float, accuracy: list[float], names: list[str]) -> Column:
+def posterior(accuracy: list[float], names: list[str]) -> Column:
     """Probability of good given the votes, when rules err independently; an abstention says nothing."""
-    odds = F.lit(math.log(prior / (1 - prior)))
+    odds = F.lit(0.0)
     for a, name in zip(accuracy, names, strict=True):
         odds = odds + F.col(name) * F.lit(math.log(a / (1 - a)))
     return 1 / (1 + F.exp(-odds))
 
 
-def estimate(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[float, list[float]]:
-    """Expectation-maximisation over vote patterns and their counts ``n``; each round is one aggregate that returns one row."""
-    prior, accuracy = 0.5, [START] * len(names)
+def estimate(patterns: DataFrame, names: list[str], bounds: list[tuple[float, float, float]], rounds: int = ROUNDS) -> list[float]:
+    """Each rule's accuracy: expectation-maximisation over vote patterns and their counts ``n``.  Each round is one aggregate that
+    returns one row."""
+    accuracy, k = [first for _, first, _ in bounds], len(names)
     for _ in range(rounds):
-        p = posterior(prior, accuracy, names)
+        p = posterior(accuracy, names)
         right = [F.sum(F.when(F.col(x) == 1, F.col("n") * p).when(F.col(x) == -1, F.col("n") * (1 - p)).otherwise(F.lit(0.0))) for x in names]
-        cast = [F.sum(F.when(F.col(x) != 0, F.col("n")).otherwise(F.lit(0))) for x in names]
-        row = patterns.agg(F.sum("n"), F.sum(F.col("n") * p), *right, *cast).first()
-        if not row[0]:
+        row = patterns.agg(*right, *[F.sum(F.col("n") * F.abs(x)) for x in names]).first()
+        if row[0] is None:
             break
-        prior = min(max(row[1] / row[0], 0.05), 0.95)
-        k = len(names)
-        accuracy = [min(max((row[2 + i] + 8.0) / (row[2 + k + i] + 10.0), LOWEST), HIGHEST) for i in range(k)]
-    return prior, accuracy
+        accuracy = [min(max((row[i] + 10 * first) / (row[k + i] + 10), least), most) for i, (least, first, most) in enumerate(bounds)]
+    return accuracy
 
 
-def judge(docs: DataFrame, rules: list[tuple[str, str, str]] = RULES, keep: float = KEEP) -> DataFrame:
+def judge(docs: DataFrame, rules: list[tuple] = RULES, keep: float = KEEP) -> DataFrame:
     """The base counts, every rule's vote, quality (posterior) and kept."""
-    names = [f"vote_{name}" for name, _, _ in rules]
-    voted = measures(docs).select("*", *[vote(bad, good).alias(n) for n, (_, bad, good) in zip(names, rules, strict=True)])
+    names = [f"vote_{name}" for name, *_ in rules]
+    voted = measures(docs).select("*", *[vote(bad, good).alias(n) for n, (_, bad, good, _) in zip(names, rules, strict=True)])
     voted = materialize(voted, "quality")  # counts only: the texts are read once
     patterns = materialize(voted.groupBy(*names).agg(F.count("*").alias("n")), "votes")
-    prior, accuracy = estimate(patterns, names)
+    accuracy = estimate(patterns, names, [bounds for *_, bounds in rules])
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return (
         voted.withColumn("base_failed", failed)
-        .withColumn("quality", posterior(prior, accuracy, names))
+        .withColumn("quality", posterior(accuracy, names))
         .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep))
     )
 
@@ -123,19 +128,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     """The same in SQL: windows are grouped as rows, and the rounds of the estimate are unrolled."""
-    names = [f"vote_{name}" for name, _, _ in RULES]
-    votes = ", ".join(f"CASE WHEN n_words = 0 THEN -1 WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS {n}" for n, (_, bad, good) in zip(names, RULES, strict=True))
-    steps = ["t0 AS MATERIALIZED (SELECT 0.5::DOUBLE AS prior, " + ", ".join(f"{START}::DOUBLE AS a{i}" for i in range(len(names))) + ")"]
-    odds = "ln(prior / (1 - prior)) + " + " + ".join(f"{n} * ln(a{i} / (1 - a{i}))" for i, n in enumerate(names))
+    names = [f"vote_{name}" for name, *_ in RULES]
+    votes = ", ".join(f"CASE WHEN n_words = 0 THEN -1 WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS {n}" for n, (_, bad, good, _) in zip(names, RULES, strict=True))
+    bounds = [b for *_, b in RULES]
+    steps = ["t0 AS MATERIALIZED (SELECT " + ", ".join(f"{first}::DOUBLE AS a{i}" for i, (_, first, _) in enumerate(bounds)) + ")"]
+    odds = " + ".join(f"{n} * ln(a{i} / (1 - a{i}))" for i, n in enumerate(names))
     for r in range(ROUNDS):
         sums = ", ".join(
-            f"least(greatest((sum(CASE {n} WHEN 1 THEN n * p WHEN -1 THEN n * (1 - p) ELSE 0 END) + 8.0) / (sum(CASE WHEN {n} <> 0 THEN n ELSE 0 END) + 10.0), {LOWEST}::DOUBLE), {HIGHEST}::DOUBLE) AS a{i}"
-            for i, n in enumerate(names)
-        )
-        steps.append(
-            f"t{r + 1} AS MATERIALIZED (SELECT least(greatest(sum(n * p) / sum(n), 0.05::DOUBLE), 0.95::DOUBLE) AS prior, {sums} "
-            f"FROM (SELECT patterns.*, 1 / (1 + exp(-({odds}))) AS p FROM patterns, t{r}))"
+            f"least(greatest((sum(CASE {n} WHEN 1 THEN n * p WHEN -1 THEN n * (1 - p) ELSE 0 END) + {10 * first}::DOUBLE) / (sum(n * abs({n})) + 10), {least}::DOUBLE), {most}::DOUBLE) AS a{i}"
+            for i, (n, (least, first, most)) in enumerate(zip(names, bounds, strict=True))
         )
+        steps.append(f"t{r + 1} AS MATERIALIZED (SELECT {sums} FROM (SELECT patterns.*, 1 / (1 + exp(-({odds}))) AS p FROM patterns, t{r}))")
     return rf"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS MATERIALIZED (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),

@@ -43,12 +43,18 @@ def test_quality_counts(spark):
 
 def test_quality_estimate_follows_accuracy(spark):
     rng = np.random.default_rng(0)
-    truth = rng.random(4000) < 0.7
+    truth = rng.random(6000) < 0.5
     rates = [0.95, 0.8, 0.7]
-    votes = [np.where(rng.random(4000) < r, truth, ~truth) * 2 - 1 for r in rates]
+    votes = [np.where(rng.random(6000) < r, truth, ~truth) * 2 - 1 for r in rates]
     df = spark.createDataFrame([tuple(map(int, v)) for v in zip(*votes, strict=True)], "a int, b int, c int")
-    prior, accuracy = quality_rules.estimate(df.groupBy("a", "b", "c").count().withColumnRenamed("count", "n"), ["a", "b", "c"], 40)
-    assert abs(prior - 0.7) < 0.06 and np.allclose(accuracy, rates, atol=0.06)
+    counts = df.groupBy("a", "b", "c").count().withColumnRenamed("count", "n")
+    assert np.allclose(quality_rules.estimate(counts, ["a", "b", "c"], [(0.5, 0.8, 0.99)] * 3, 40), rates, atol=0.06)
+
+
+def test_quality_keeps_clean_and_drops_faulty_texts(spark, sf):
+    rows = quality_rules.judge(table(spark, sf, "documents")).drop("quality").join(table(spark, sf, "labels"), "doc_id").where("n_words >= 50").collect()
+    good, bad = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
+    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.15 * len(bad)
 
 
 def test_quality_empty(spark):
@@ -330,6 +336,28 @@ def test_suffix_dedup_equals_brute_force(spark, sf, monkeypatch):
     check_dedup(spark, texts, list(range(len(texts))))
 
 
+def test_suffix_dedup_of_common_passages(spark, sf, monkeypatch):
+    """Every anchor that two rows share takes the way of hot ones."""
+    monkeypatch.setattr(suffix_dedup, "CROWDED", 2)
+    monkeypatch.setattr(suffix_dedup, "HOT", 1)
+    line = "this very common line stands in most of the documents and is well over one hundred bytes long, as passages are; "
+    texts = dedup_cases() + [prose(300 + i, 10 + i % 7) + line + prose(400 + i, 5 + i % 3) for i in range(60)] + [line * 3, line[5:] + line[:50]]
+    check_dedup(spark, texts, list(range(len(texts))))
+    texts += [r.text for r in table(spark, sf, "documents").select("text").collect()][:80]
+    check_dedup(spark, texts, list(range(len(texts)))[::-1])
+
+
+def test_suffix_dedup_of_repeated_rows(spark, monkeypatch):
+    line = "a passage that several documents share, with more than one hundred bytes in it so that it counts as one of them; "
+    texts = [prose(31, 30) + line + prose(32, 30), prose(33, 20) + line + prose(34, 9), prose(35, 25) + line]
+    want = {r.doc_id: tuple(r) for r in suffix_dedup.remove(documents(spark, texts)).collect()}
+    for crowded, hot in ((32, 20_000), (2, 1)):
+        monkeypatch.setattr(suffix_dedup, "CROWDED", crowded)
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        rows = suffix_dedup.remove(documents(spark, texts + texts, ids=[0, 1, 2, 0, 1, 2])).collect()
+        assert sorted(map(tuple, rows)) == sorted([*want.values(), *want.values()])
+
+
 def test_suffix_dedup_in_pieces(monkeypatch):
     """Windows and anchors of a long document do not depend on how it is cut."""
     data = (prose(4, 900) + prose(5, 200) + prose(4, 500)).encode()
@@ -354,7 +382,7 @@ def test_recurring_in_batches():
 
     rng = np.random.default_rng(2)
     rows = sorted({(int(a), int(b), int(c), int(d)) for a, b, c, d in zip(*(rng.integers(0, k, 400) for k in (60, 3, 4, 30)), strict=True)})
-    frame = pd.DataFrame(rows, columns=["h", "c", "did", "packed"])
+    frame = pd.DataFrame(rows, columns=["h", "c", "did", "packed"]).assign(state=0)
     whole = pd.concat(suffix_dedup.recurring(iter([frame]))).sort_values(["h", "did", "packed", "whole"]).reset_index(drop=True)
     for size in (1, 2, 7):
         parts = pd.concat(suffix_dedup.recurring(frame.iloc[i : i + size].reset_index(drop=True) for i in range(0, len(frame), size)))
