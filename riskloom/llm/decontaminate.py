@@ -32,9 +32,9 @@ def normal_words(text: Column) -> Column:
 
 
 def hashes(size: int) -> Column:
-    """For an array ``w``, the hash of every window of ``size`` words."""
+    """For an array ``w``, the hash of every window of ``size`` words, in order."""
     of = ", ".join(f"w[i + {j}]" for j in range(size))
-    return F.expr(f"transform(if(size(w) >= {size}, sequence(0, size(w) - {size}), cast(array() as array<int>)), i -> struct(i as at, {size} as n, xxhash64({of}) as h))")
+    return F.expr(f"transform(if(size(w) >= {size}, sequence(0, size(w) - {size}), cast(array() as array<int>)), i -> xxhash64({of}))")
 
 
 def test_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -42,9 +42,9 @@ def test_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     items = benchmark.where("item_id is not null").select("item_id", normal_words(F.col("text")).alias("w")).where("size(w) > 0")
     every = reduce(
         DataFrame.unionByName,
-        [items.where(f"size(w) = {k}" if k < window else f"size(w) >= {k}").select("item_id", "w", F.explode(hashes(k)).alias("x")) for k in range(1, window + 1)],
+        [items.where(f"size(w) = {k}" if k < window else f"size(w) >= {k}").select("item_id", "w", F.lit(k).alias("n"), F.posexplode(hashes(k)).alias("at", "h")) for k in range(1, window + 1)],
     )
-    cut = every.select("item_id", "x.n", "x.h", F.slice("w", F.col("x.at") + 1, F.col("x.n")).alias("ws"))
+    cut = every.select("item_id", "n", "h", F.slice("w", F.col("at") + 1, F.col("n")).alias("ws"))
     return cut.groupBy("n", "h", "ws").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
 
 
@@ -54,10 +54,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     sizes = sorted(r[0] for r in tests.select("n").distinct().collect())  # 10 values at most
     key = F.xxhash64("text").alias("key")
     split = docs.select("doc_id", key, normal_words(F.col("text")).alias("w"))
-    found = F.concat(*[hashes(k) for k in sizes]) if sizes else hashes(window)
-    each = split.withColumn("x", F.explode(found)).select("doc_id", "key", "w", "x.at", "x.n", "x.h")
+    # one list of plain hashes per row: the windows of the smallest size, then those of the next
+    each = split.select("doc_id", "key", "w", F.posexplode(F.concat(*[hashes(k) for k in sizes]) if sizes else hashes(window)).alias("pos", "h"))
+    before, at = F.lit(0), F.col("pos")
+    for k, following in zip(sizes, sizes[1:], strict=False):
+        before = before + F.greatest(F.size("w") - (k - 1), F.lit(0))
+        at = F.when(F.col("n") >= following, F.col("pos") - before).otherwise(at)
     small = tests.count() <= MOST_BROADCAST
-    seen = each.join(F.broadcast(tests) if small else tests, ["n", "h"]).where(F.slice("w", F.col("at") + 1, F.col("n")) == F.col("ws"))
+    seen = each.join(F.broadcast(tests) if small else tests, "h").withColumn("at", at)
+    seen = seen.where((F.col("at") >= 0) & (F.slice("w", F.greatest(F.col("at"), F.lit(0)) + 1, F.col("n")) == F.col("ws")))
     return seen.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("places"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
 
 
@@ -65,7 +70,7 @@ COVERED = "aggregate(places, named_struct('e', 0, 'n', 0L), (a, p) -> named_stru
 
 
 def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    found = hits(docs, benchmark, window).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "places", "items")
+    found = hits(docs, benchmark, window).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("places").alias("_places"))
     return docs.withColumn("_key", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left").drop("_key", "_d", "_k")
 
 
@@ -88,10 +93,10 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
 def clean_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with hit words cut out of their texts; what stands between words stays."""
     marked = _with_hits(docs, benchmark, window)
-    taken = "array_distinct(flatten(transform(places, p -> sequence(p.at, p.at + p.n - 1))))"
+    taken = "array_distinct(flatten(transform(_places, p -> sequence(p.at, p.at + p.n - 1))))"
     parts = marked.withColumns({"_w": F.regexp_extract_all("text", F.lit(WORD_ANY_CASE), F.lit(0)), "_g": F.split("text", WORD_ANY_CASE), "_t": F.expr(taken)})
     kept = F.expr("array_join(transform(_g, (g, i) -> concat(g, if(i >= size(_w) or array_contains(_t, i), '', _w[least(i, size(_w) - 1)]))), '')")
-    return parts.withColumn("text", F.when(F.col("places").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    return parts.withColumn("text", F.when(F.col("_places").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
