@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import by_runs, by_value
+from riskloom.llm.common import by_runs, by_value, text_key
 from riskloom.llm.components import components
 from riskloom.session import materialize, table
 
@@ -52,13 +52,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+    """doc_id, key (a hash of the text, to tell apart rows that share an id) and fp, the fingerprint as a signed long."""
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t) for t in texts], dtype="int64")
 
-    return docs.select("doc_id", fp("text").alias("fp"))
+    return docs.select("doc_id", text_key(F.col("text")).alias("key"), fp("text").alias("fp"))
 
 
 def signed(mask: int) -> int:
@@ -155,13 +155,22 @@ def links(classes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id of every row."""
+    """doc_id, key, fp, component (a fingerprint) and component_id (the smallest doc_id in it) of every row."""
     fps = materialize(fingerprints(docs), "fingerprints")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     tree = components(links(classes.select("fp"))).withColumnRenamed("node", "fp")
     named = classes.join(tree, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return fps.join(named.join(ids, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(named.join(ids, "component").select("fp", "component", "component_id"), "fp").select("doc_id", "key", "fp", "component", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest doc_id (a null one is last), by text hash where ids are shared."""
+    found = near_duplicates(docs)
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("f")).select(F.col("f.doc_id").alias("_d"), F.col("f.key").alias("_k"))
+    keyed = docs.withColumn("_key", text_key(F.col("text")))
+    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_key"]).drop("_key")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,6 +176,12 @@ def test_simhash_empty_null_and_repeated(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in rows) == [(False, 3, 3), (False, 5, 5), (False, 5, 5), (False, 7, 3), (True, 0, 5)]
 
 
+def test_simhash_keeps_one_of_each(spark):
+    texts = ["a b c d e", "a b c d e", "other words stand here now", "a b c d e", "third text of its own kind", "a b c d e", "fourth one with a null id", "third text of its own kind"]
+    rows = simhash.one_of_each(documents(spark, texts, ids=[4, 2, 2, 2, None, None, None, 9])).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text[:5]) for r in rows) == [(False, 2, "a b c"), (False, 2, "other"), (False, 9, "third"), (True, 0, "fourt")]
+
+
 # ---- 7 secrets ----
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
