@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from riskloom.functions import cosine, norm, r6, scaled
+from riskloom.functions import norm, r6
 from riskloom.operators import grid, joins, vectors
-from riskloom.operators.windows import Roll, accelerated, rolled
+from riskloom.operators.windows import Roll, rolled
 from riskloom.plans.fixtures import articles, titles
 from riskloom.plans.registry import query
 from riskloom.session import materialize

@@ -6,7 +6,7 @@ from riskloom.functions import div, r6
 from riskloom.operators import evaluate, learning
 from riskloom.operators.windows import Roll, rolled
 from riskloom.plans.fixtures import predictions
-from riskloom.plans.panel import LBL, OWN, back, label_panel, order_panel
+from riskloom.plans.panel import LBL, OWN, label_panel, order_panel
 from riskloom.plans.registry import query
 from riskloom.session import materialize
 

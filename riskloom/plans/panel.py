@@ -3,9 +3,9 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from riskloom.functions import clip, div, logistic, r6, safe
-from riskloom.operators import daily, grid, labels, ranks
-from riskloom.operators.windows import Roll, accelerated, changes, ratio, rolled, sequences, zscore
+from riskloom.functions import clip, div, logistic, r6
+from riskloom.operators import daily, grid, labels
+from riskloom.operators.windows import Roll, accelerated, ratio, rolled, sequences, zscore
 from riskloom.plans.fixtures import articles, nations, news, orders
 from riskloom.plans.registry import query
 

@@ -1,6 +1,5 @@
 """Filters, joins, ranks, top-k, sets and scores."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import div, epoch14, logistic, logit, r6
@@ -9,7 +8,7 @@ from riskloom.operators.merge import upserted
 from riskloom.plans.fixtures import articles, messages, nations, news, orders, predictions, titles
 from riskloom.plans.registry import query
 from riskloom.session import fresh_path, table
-from riskloom.sources import append_run, optional
+from riskloom.sources import append_run
 
 SCO = "sco AS (SELECT country, day, run AS run_ts, n, amount, 1 / (1 + exp(-((n - 6 + run) / 2.0::DOUBLE))) AS prob FROM (SELECT country, day, count(*) AS n, round(sum(amount), 2) AS amount FROM ord WHERE day >= DATE '2001-06-01' GROUP BY ALL), (VALUES (1), (2)) AS r(run))"
 CST = "cst AS (SELECT country, world, count(*) AS n, round(avg(amount), 2) AS score, count(*) FILTER (status = 'F') AS f, count(*) FILTER (status = 'O') AS o FROM ord JOIN nat USING (country) GROUP BY ALL)"

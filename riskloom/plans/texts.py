@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from riskloom.functions import r6
-from riskloom.operators import briefing, ranks, text
+from riskloom.operators import briefing, text
 from riskloom.operators.merge import upserted
 from riskloom.plans.fixtures import articles, messages, news
 from riskloom.plans.ranking import CONTEXT, SCO, context, scores
