@@ -10,7 +10,7 @@ from riskloom.plans.fixtures import articles, messages, news
 from riskloom.plans.panel import ONLINE, OWN, order_panel
 from riskloom.plans.registry import query
 from riskloom.plans.texts import EV, HURT, KINDS, LEX, NEG, PLACES
-from riskloom.session import fresh_path
+from riskloom.session import fresh_path, materialize
 from riskloom.sources import overwrite
 
 
@@ -53,9 +53,13 @@ def st_03(spark, sf):
 
 @query("st_04", f"SELECT country, day, n::DOUBLE AS value, round(avg(n) {ONLINE}, 6) AS mean, round(coalesce(CASE WHEN stddev_samp(n) {ONLINE} > 1e-12 THEN (n - avg(n) {ONLINE}) / stddev_samp(n) {ONLINE} END, 0), 4) + 0.0 AS z FROM op WHERE day < DATE '1995-04-01'", ctes=OWN)
 def st_04(spark, sf):
-    rows = order_panel(spark, sf).where("day < '1995-04-01'").select("country", "day", F.col("n").cast("double").alias("value"))
+    rows = order_panel(spark, sf).select("country", "day", F.col("n").cast("double").alias("value"))
     path, out = fresh_path(spark, "series"), fresh_path(spark, "scores")
-    rows.coalesce(1).write.parquet(path)
+    panel = materialize(rows.withColumn("year", F.year("day")), "panel", "year")
+    # files are read as they landed: years one after another, and in a year a country is in one file, so that its days stay in order
+    # over batches, wherever these are cut
+    for year in sorted(r[0] for r in panel.select("year").distinct().collect()):
+        panel.where(F.col("year") == year).drop("year").repartition(4, "country").write.mode("append").parquet(path)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     streaming.drain(streaming.online_scores(streaming.landed(spark, path, rows.schema)), lambda df, _: df.write.mode("append").parquet(out))
     back = spark.read.schema("country string, day date, value double, mean double, z double, score double").parquet(out)
