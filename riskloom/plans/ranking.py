@@ -16,7 +16,7 @@ CST = "cst AS (SELECT country, world, count(*) AS n, round(avg(amount), 2) AS sc
 
 def scores(spark, sf):
     """country, day, run_ts (1 or 2), n, amount, prob."""
-    per = orders(spark, sf).where("day >= '2001-06-01'").groupBy("country", "day").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("amount"))
+    per = orders(spark, sf).groupBy("country", "day").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("amount"))
     runs = per.withColumn("run_ts", F.explode(F.array(F.lit(1), F.lit(2))))
     return runs.withColumn("prob", logistic((F.col("n") - 6 + F.col("run_ts")) / 2.0))
 
@@ -226,13 +226,13 @@ KEYS_SQL = "SELECT DISTINCT country, day FROM ord WHERE day < DATE '1995-03-01'
 @query("set_02", KEYS_SQL)
 def set_02(spark, sf):
     o = orders(spark, sf)
-    return o.where("day < '1995-03-01'").select("country", "day").distinct().exceptAll(o.where("status = 'F'").select("country", "day").distinct())
+    return o.select("country", "day").distinct().exceptAll(o.where("status = 'F'").select("country", "day").distinct())
 
 
 @query("jn_08", KEYS_SQL)
 def jn_08(spark, sf):
     o = orders(spark, sf)
-    return o.where("day < '1995-03-01'").select("country", "day").distinct().join(o.where("status = 'F'").select("country", "day"), ["country", "day"], "left_anti")
+    return o.select("country", "day").distinct().join(o.where("status = 'F'").select("country", "day"), ["country", "day"], "left_anti")
 
 
 @query("set_03", "SELECT round(count(*) FILTER (a AND b) / nullif(count(*) FILTER (a OR b), 0), 6) AS jaccard, round(count(*) FILTER (a AND b) / nullif(count(*) FILTER (a), 0), 6) AS overlap FROM (SELECT row_number() OVER (ORDER BY p DESC, doc_id) <= greatest(1, floor(count(*) OVER () * 0.2)) AS a, row_number() OVER (ORDER BY q DESC, doc_id) <= greatest(1, floor(count(*) OVER () * 0.2)) AS b FROM pred)")

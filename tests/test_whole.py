@@ -1,5 +1,6 @@
 """Queries over the whole of their input, against results computed apart from the query and its SQL."""
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -20,6 +21,54 @@ def result(spark, sf, name):
     return df
 
 
+def per_day(orders):
+    """Scores of run 2 by (country, day)."""
+    per = orders.groupby(["country", "day"], as_index=False).agg(n=("amount", "size"), amount=("amount", "sum"))
+    return per.assign(prob=1 / (1 + np.exp(-(per.n - 4) / 2.0)))
+
+
+def close(got, want, *columns):
+    both = got.merge(want, on=["country", "day"], suffixes=("", "_w"), validate="1:1")
+    assert len(both) == len(got) == len(want)
+    for c in columns:
+        assert (both[c] - both[f"{c}_w"]).abs().max() < 2e-6
+
+
+def test_ranks_of_all_days(spark, sf, orders):
+    want = per_day(orders)
+    by_day = want.groupby("day").prob
+    size = by_day.transform("size")
+    want["percent_rank"] = ((by_day.rank(method="min") - 1) / (size - 1).where(size > 1)).fillna(0)
+    want["cume_dist"] = by_day.rank(method="max") / size
+    close(result(spark, sf, "win_21"), want, "prob", "percent_rank", "cume_dist")
+
+
+def test_newest_runs_of_all_days(spark, sf, orders):
+    got, want = result(spark, sf, "win_22"), per_day(orders)
+    assert set(got.run_ts) == {2}
+    close(got, want, "n", "prob")
+    newest = result(spark, sf, "win_24")
+    close(newest, want.sort_values("day").groupby("country", as_index=False).last(), "n", "prob")
+
+
+def test_joins_and_flags_of_all_days(spark, sf, orders):
+    want = per_day(orders)
+    got = result(spark, sf, "jn_11")
+    assert got.n[0] == got.found[0] == 2 * len(want)
+    want["calm"] = (1 / (1 + np.exp(-(0.3 - (want.n - 5) / 2.0 * 0.9 - (want.prob - 0.5) / 0.2 * 0.1))) >= 0.4).astype(int)
+    want["fallback"] = 0
+    close(result(spark, sf, "scr_02"), want, "calm", "fallback")
+    alerts = result(spark, sf, "scr_04")
+    assert set(zip(alerts.country, alerts.day, strict=True)) == set(zip(want.country, want.day, strict=True))
+
+
+@pytest.mark.parametrize("name", ["set_02", "jn_08"])
+def test_key_differences_of_all_days(spark, sf, orders, name):
+    keys = lambda df: set(zip(df.country, df.day, strict=True))
+    got = result(spark, sf, name)
+    assert keys(got) == keys(orders) - keys(orders[orders.status == "F"]) and len(got) == len(keys(got))
+
+
 def test_online_scores_of_all_days(spark, sf, orders):
     got = result(spark, sf, "st_04").sort_values(["country", "day"], ignore_index=True)
     want = []
