@@ -52,8 +52,8 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", F.date_add(F.lit(FIRST_DAY).cast("date"), (F.floor(F.col("doc_id") / 5) % 20).cast("int")).alias("day"),
         F.regexp_extract(text, r"^[^\n.]*", 0).alias("title"), F.concat(F.lit("https://"), "source", F.lit(".example.com/"), (F.col("doc_id") % 40).cast("string")).alias("url"),
         F.col("source").alias("domain"), F.col("lang").alias("language"), ((F.col("n_chars") % 2001 - 1000) / 10.0).alias("tone"),
-        F.array_join(F.slice(F.regexp_extract_all(text, F.lit("[A-Z]?[a-z]{3,}"), F.lit(0)), 1, 6), ";").alias("themes"),
-        F.array_join(F.slice(F.regexp_extract_all(text, F.lit("[a-z]+, ?[a-z]+"), F.lit(0)), 1, 4), ";").alias("persons"), "text", "n_chars",
+        F.array_join(F.regexp_extract_all(text, F.lit("[A-Z]?[a-z]{3,}"), F.lit(0)), ";").alias("themes"),
+        F.array_join(F.regexp_extract_all(text, F.lit("[a-z]+, ?[a-z]+"), F.lit(0)), ";").alias("persons"), "text", "n_chars",
     )
     return _named(rows, spark, sf, F.col("doc_id") % 5)
 

@@ -1,5 +1,7 @@
 """Queries over the whole of their input, against results computed apart from the query and its SQL."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -80,3 +82,26 @@ def test_online_scores_of_all_days(spark, sf, orders):
     assert got.day.dt.year.nunique() > 1
     assert list(zip(got.country, got.day, got.value, strict=True)) == list(zip(want.country, want.day, want.value, strict=True))
     assert (got["mean"] - want["mean"]).abs().max() < 1e-5 and (got.z - want.z).abs().max() < 1e-3
+
+
+@pytest.fixture(scope="module")
+def docs(sf):
+    d, names = pd.read_parquet(f"{sf}/documents.parquet"), pd.read_parquet(f"{sf}/nation.parquet").set_index("n_nationkey").n_name
+    d["country"] = (d.doc_id % 5).map(names)
+    d["day"] = pd.Timestamp("2024-01-01") + pd.to_timedelta(d.doc_id // 5 % 20, unit="D")
+    d["themes"] = [re.findall("[A-Z]?[a-z]{3,}", t) for t in d.text]
+    d["persons"] = [[p.split(",")[0] for p in re.findall("[a-z]+, ?[a-z]+", t)] for t in d.text]
+    return d
+
+
+def test_themes_of_whole_texts(spark, sf, docs):
+    has = lambda p: docs.themes.map(lambda ts: any(re.match(p, t) for t in ts))
+    assert set(result(spark, sf, "flt_03").doc_id) == set(docs.doc_id[has("[Ee]n")])
+    want = docs.assign(theme_the=has("[Tt]h").astype(int), theme_er=has("er").astype(int)).groupby(["country", "day"], as_index=False)[["theme_the", "theme_er"]].sum()
+    close(result(spark, sf, "agg_08"), want, "theme_the", "theme_er")
+
+
+def test_persons_of_whole_texts(spark, sf, docs):
+    per = docs.explode("persons").dropna(subset="persons").groupby(["country", "day", "persons"], as_index=False).size()
+    want = per.groupby(["country", "day"], as_index=False).agg(persons=("size", "size"), person_top=("size", "max"), person_tokens=("size", "sum"))
+    close(result(spark, sf, "agg_09"), want, "persons", "person_top", "person_tokens")
