@@ -29,6 +29,47 @@ PATTERNS = [
     (r"[/]adult[/]", ["adult"]),
     (r"[/]wp-login[.]php$", ["wp", "login", "php"]),
 ]
+
+
+def _rule(name: str, before: str, after: str) -> tuple[str, list[str]]:
+    return before + name.replace(".", "[.]") + after, re.findall("[a-z0-9]+", name)
+
+
+def host_word(name: str) -> tuple[str, list[str]]:
+    """A host label, or a part of one between hyphens."""
+    return _rule(name, r"^(?:[^/]*[.@-])?", r"(?:[-.:/]|$)")
+
+
+def host_label(name: str) -> tuple[str, list[str]]:
+    """A whole host label."""
+    return _rule(name, r"^(?:[^/]*[.@])?", r"(?:[.:/]|$)")
+
+
+def path_segment(name: str) -> tuple[str, list[str]]:
+    return _rule(name, r"(?i)^[^/]*/(?:.*/)?", r"(?:/|$)")
+
+
+def file_kind(name: str) -> tuple[str, list[str]]:
+    return _rule(name, r"(?i)^[^/]*/.*[.]", r"$")
+
+
+# The registered rules, the patterns above and words of gambling, adult, tracking, pharmacy, spam, login and download URLs.
+HOST_WORDS = (
+    "casino casinos roulette jackpot jackpots blackjack sportsbook betting bets free-bets free-spins online-slots online-poker "
+    "porn porno xxx nsfw hentai camgirls escorts sex-cams adult-x adult-chat adult-cams adult-dating adult-video adult-videos "
+    "adserver adservice adtracker ad-server ads-track ad-track ad-tracker click-track doubleclick clickbank "
+    "viagra cialis levitra tramadol pills cheap-pills cheap-meds online-pharmacy "
+    "spam spam-farm link-farm content-farm buy-followers buy-backlinks warez keygen"
+).split()
+HOST_LABELS = "slots poker sex adult ads ad adtech tracking tracker telemetry pharmacy torrent torrents".split()
+PATH_SEGMENTS = (
+    "casino roulette jackpot sportsbook betting free-bets porn xxx nsfw hentai escorts adult viagra cialis online-pharmacy cheap-pills "
+    "wp-login.php wp-admin xmlrpc.php login login.php signin sign-in signup sign-up logout register forgot-password reset-password "
+    "download downloads download.php torrent torrents warez keygen"
+).split()
+FILE_KINDS = "exe msi apk dmg iso zip rar 7z torrent".split()
+RULES = [*PATTERNS, *map(host_word, HOST_WORDS), *map(host_label, HOST_LABELS), *map(path_segment, PATH_SEGMENTS), *map(file_kind, FILE_KINDS)]
+
 #: Rules go to every task; a larger list than this is joined by a shuffle instead.
 MOST_BROADCAST = 100_000
 
@@ -74,7 +115,7 @@ def judge(pages: DataFrame, base: list = BASE, patterns: list = PATTERNS) -> Dat
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages")).drop("url")
+    return judge(table(spark, sf_dir, "pages"), patterns=RULES).drop("url")
 
 
 def _oracle() -> str:
