@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import array_mean, cosine, dot, norm, scaled
 from riskloom.operators.windows import Roll, accelerated, frame, rolled
 
-#: Anchors go to every task.
+#: Anchors go to every task, in rows of so many.
 MOST_ANCHORS = 1000
 
 
@@ -33,8 +33,9 @@ def anchors_of(labelled: DataFrame, label: str = "label") -> DataFrame:
 
 
 def similarities(rows: DataFrame, anchors: DataFrame, vec: str = "vec", keep: Sequence[str] = ("country", "day")) -> DataFrame:
-    """Long form: one row per row and anchor with its cosine; the bounded anchor list is one broadcast row."""
-    listed = anchors.agg(F.array_sort(F.collect_list(F.struct("anchor", "vec"))).alias("_a")).where(F.size("_a") <= MOST_ANCHORS)
+    """Long form: one row per row and anchor with its cosine; each MOST_ANCHORS anchors are one broadcast row."""
+    block = F.floor((F.row_number().over(Window.orderBy("anchor")) - 1) / MOST_ANCHORS)  # one row per label
+    listed = anchors.withColumn("_b", block).groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("anchor", "vec"))).alias("_a")).drop("_b")
     each = rows.join(F.broadcast(listed)).select(*keep, F.col(vec).alias("_v"), F.explode("_a").alias("_x"))
     return each.select(*keep, F.col("_x.anchor").alias("anchor"), cosine(F.col("_v"), F.col("_x.vec")).alias("cos"))
 

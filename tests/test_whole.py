@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from riskloom.operators import vectors
 
 
 @pytest.fixture(scope="module")
@@ -129,3 +130,13 @@ def test_junk_hosts_of_the_given_pages(spark, sf):
     junk = got.host.str.contains(r"(?:^|[.])(?:casino-win|cheap-pills|spam-farm|free-bets|ads-track|adult-x)[.]")
     free = got.rule.isna()
     assert (junk & free).any() and ((got.verdict == "block") == junk)[free].all()
+
+
+def test_more_anchors_than_a_row_holds(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "MOST_ANCHORS", 2)
+    anchors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "anchor int, vec array<double>")
+    rows = spark.createDataFrame([("A", "d", [1.0, 0.0]), ("B", "d", [0.0, 1.0])], "country string, day string, vec array<double>")
+    got = {(r.country, r.anchor): r.cos for r in vectors.similarities(rows, anchors).collect()}
+    assert len(got) == 10
+    for i in range(5):
+        assert got["A", i] == pytest.approx((1 + i * i) ** -0.5) and got["B", i] == pytest.approx(i * (1 + i * i) ** -0.5)
