@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from riskloom.llm import decontaminate
 from riskloom.operators import vectors
 
 
@@ -140,3 +141,11 @@ def test_more_anchors_than_a_row_holds(spark, monkeypatch):
     assert len(got) == 10
     for i in range(5):
         assert got["A", i] == pytest.approx((1 + i * i) ** -0.5) and got["B", i] == pytest.approx(i * (1 + i * i) ** -0.5)
+
+
+def test_windows_of_items_without_id(spark):
+    bench = spark.createDataFrame([(None, "some words of a test without id"), (1, "other words")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x Some words of a test, without id y"), (2, "clean"), (3, "other words")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r["items"], r.contaminated) for r in decontaminate.report(docs, bench).collect()}
+    assert got == {1: (7, [], True), 2: (0, [], False), 3: (2, ["1"], True)}
+    assert [r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()] == [2]
