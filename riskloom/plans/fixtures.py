@@ -93,8 +93,8 @@ news AS (SELECT event_id, ts, CAST(ts AS DATE) AS day, CASE event_type WHEN 'vie
 ord AS (SELECT o_orderkey AS order_id, country, CAST(o_orderdate AS DATE) AS day, o_totalprice AS amount, o_orderpriority AS priority, o_orderstatus AS status, o_custkey % 7 AS area
   FROM orders JOIN customer ON c_custkey = o_custkey JOIN nat ON nat.k = c_nationkey),
 art AS (SELECT doc_id, DATE '2024-01-01' + CAST((doc_id // 5) % 20 AS INT) AS day, regexp_extract(text, '^[^\n.]*') AS title, 'https://' || source || '.example.com/' || (doc_id % 40) AS url,
-  source AS domain, lang AS language, (n_chars % 2001 - 1000) / 10.0::DOUBLE AS tone, array_to_string(regexp_extract_all(text, '[A-Z]?[a-z]{3,}')[1:6], ';') AS themes,
-  array_to_string(regexp_extract_all(text, '[a-z]+, ?[a-z]+')[1:4], ';') AS persons, text, n_chars, country FROM documents JOIN nat ON nat.k = doc_id % 5),
+  source AS domain, lang AS language, (n_chars % 2001 - 1000) / 10.0::DOUBLE AS tone, array_to_string(regexp_extract_all(text, '[A-Z]?[a-z]{3,}'), ';') AS themes,
+  array_to_string(regexp_extract_all(text, '[a-z]+, ?[a-z]+'), ';') AS persons, text, n_chars, country FROM documents JOIN nat ON nat.k = doc_id % 5),
 tit AS (SELECT vec_id, DATE '2024-01-01' + CAST(2 * ((vec_id // 5) % 20) AS INT) AS day, label, embedding::DOUBLE[] AS vec, country FROM embeddings JOIN nat ON nat.k = vec_id % 5),
 msg AS (SELECT role AS channel, conv_id * 100 + turn AS message_id, text, make_timestamp((1704067200 + conv_id * 3600 + turn * 60) * 1000000) AS sent_at, country FROM conversations JOIN nat ON nat.k = conv_id % 5),
 pred AS (SELECT doc_id, country, day, toxic AS y, 1 / (1 + exp(-((n_chars - 1500) / 1000.0::DOUBLE))) AS p, 1 / (1 + exp(-((n_chars % 977 - 400) / 300.0::DOUBLE))) AS q FROM art JOIN labels USING (doc_id))"""

@@ -10,7 +10,7 @@ from riskloom.plans.registry import query
 from riskloom.session import fresh_path, table
 from riskloom.sources import append_run
 
-SCO = "sco AS (SELECT country, day, run AS run_ts, n, amount, 1 / (1 + exp(-((n - 6 + run) / 2.0::DOUBLE))) AS prob FROM (SELECT country, day, count(*) AS n, round(sum(amount), 2) AS amount FROM ord WHERE day >= DATE '2001-06-01' GROUP BY ALL), (VALUES (1), (2)) AS r(run))"
+SCO = "sco AS (SELECT country, day, run AS run_ts, n, amount, 1 / (1 + exp(-((n - 6 + run) / 2.0::DOUBLE))) AS prob FROM (SELECT country, day, count(*) AS n, round(sum(amount), 2) AS amount FROM ord GROUP BY ALL), (VALUES (1), (2)) AS r(run))"
 CST = "cst AS (SELECT country, world, count(*) AS n, round(avg(amount), 2) AS score, count(*) FILTER (status = 'F') AS f, count(*) FILTER (status = 'O') AS o FROM ord JOIN nat USING (country) GROUP BY ALL)"
 
 
@@ -220,7 +220,7 @@ def set_01(spark, sf):
     return both.groupBy("source").agg(F.count("*").alias("n"))
 
 
-KEYS_SQL = "SELECT DISTINCT country, day FROM ord WHERE day < DATE '1995-03-01' EXCEPT SELECT country, day FROM ord WHERE status = 'F'"
+KEYS_SQL = "SELECT DISTINCT country, day FROM ord EXCEPT SELECT country, day FROM ord WHERE status = 'F'"
 
 
 @query("set_02", KEYS_SQL)
