@@ -5,8 +5,9 @@ log-probability matrix has languages x BUCKETS entries whatever the input, so it
 are learned, and more are an error.  Documents are scored in batches by a sparse gather and a segmented sum.
 
 Defined results: null text or text without a letter is ``und`` with score 0; a null doc_id counts as held out; null or empty
-training data makes every text ``und``; texts of any length are read whole, in pieces; ties go to the language that sorts
-first; repeated rows each get a result.
+training data makes every text ``und``; texts of any length are read whole, PIECE code points at once beside one lower-cased copy;
+ties go to the language that sorts first; repeated rows each get a result; other columns are kept, and those named lang_pred, score or
+held_out are replaced.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import by_value, chunks
-from riskloom.session import table
+from riskloom.llm.common import by_value
+from riskloom.session import materialize, table
 
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
@@ -27,7 +28,7 @@ ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 #: The matrix has at most MOST_LANGUAGES x BUCKETS doubles, 32 MB.
 MOST_LANGUAGES = 256
-PIECE = 1 << 19
+PIECE, SHARED = 1 << 19, max(ORDERS) - 1
 UNDECIDED = "und"
 
 by_value(__name__)
@@ -48,27 +49,40 @@ def grams(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield n, (h >> np.uint32(32 - BUCKET_BITS)).astype(np.int32)
 
 
-def pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(code points, owner of each run, start of each run).  A text longer than PIECE comes in runs that share two characters,
-    so that every n-gram is met; the n-grams of the shared characters alone are taken off by ``add``."""
-    for a, b in chunks(map(len, texts), PIECE):
-        lower = [t.lower() for t in texts[a:b]]
-        codes = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), "<u4")
-        sizes = np.array([len(t) for t in lower], np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        yield codes, np.arange(a, b), starts, sizes
-
-
-def within(starts: np.ndarray, sizes: np.ndarray, total: int, n: int) -> np.ndarray:
-    """Which places begin an n-gram that stays in its document."""
+def pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(code points, owner, start and size of each run, characters at its end that the owner's next run begins with), about PIECE code
+    points at once.  A text longer than PIECE comes in runs that share SHARED characters, so that every n-gram is met in one run."""
+    held: list[str] = []
+    owners: list[int] = []
+    shared: list[int] = []
+
+    def out() -> tuple[np.ndarray, ...]:
+        codes = np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), "<u4")
+        sizes = np.array([len(x) for x in held], np.int64)
+        return codes, np.array(owners), np.cumsum(sizes) - sizes, sizes, np.array(shared)
+
+    total = 0
+    for k, text in enumerate(texts):
+        lower = text.lower()
+        for a in range(0, max(len(lower) - SHARED, 1), PIECE):
+            held.append(lower[a : a + PIECE + SHARED])
+            owners.append(k)
+            shared.append(SHARED if a + PIECE + SHARED < len(lower) else 0)
+            total += len(held[-1])
+            if total >= PIECE:
+                yield out()
+                held, owners, shared, total = [], [], [], 0
+    if held:
+        yield out()
+
+
+def within(starts: np.ndarray, sizes: np.ndarray, shared: np.ndarray, total: int, n: int) -> np.ndarray:
+    """Which places begin an n-gram that stays in its run and is not met again in the next."""
     ok = np.ones(max(total - n + 1, 0), bool)
-    ends = (starts + sizes)[sizes > 0]
-    for back in range(1, n):
-        at = ends - back
-        ok[at[(at >= 0) & (at < len(ok))]] = False
-    # a document shorter than n: all its places are off
-    for s, k in zip(starts[sizes < n], sizes[sizes < n], strict=True):
-        ok[s : min(s + k, len(ok))] = False
+    off = np.minimum(np.maximum(n - 1, shared), sizes)
+    for back in range(1, int(off.max(initial=0)) + 1):
+        at = (starts + sizes)[off >= back] - back
+        ok[at[at < len(ok)]] = False
     return ok
 
 
@@ -81,9 +95,9 @@ def count_grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             texts = own["text"].tolist()
             docs[lang] = docs.get(lang, 0) + len(texts)
             counts = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            for codes, _, starts, sizes in pieces(texts):
+            for codes, _, starts, sizes, shared in pieces(texts):
                 for n, h in grams(codes):
-                    counts += np.bincount(h[within(starts, sizes, len(codes), n)], minlength=BUCKETS)
+                    counts += np.bincount(h[within(starts, sizes, shared, len(codes), n)], minlength=BUCKETS)
     for lang, counts in total.items():
         (at,) = np.nonzero(counts)
         yield pd.DataFrame({"lang": lang, "bucket": np.append(at, -1).astype("int32"), "n": np.append(counts[at], docs[lang])})
@@ -99,25 +113,36 @@ class Model:
         self.weights = np.vstack([logp.T, np.zeros((1, len(langs)))]).astype(np.float32)
         self.prior = np.log(np.maximum(docs, 1)) - np.log(max(docs.sum(), 1))
 
+    @property
+    def parts(self) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """All of it as plain values, which is what goes to executors: they need no copy of the package."""
+        return self.langs, self.weights, self.prior
+
+    @classmethod
+    def of(cls, parts: tuple[list[str], np.ndarray, np.ndarray]) -> Model:
+        own = cls.__new__(cls)
+        own.langs, own.weights, own.prior = parts
+        return own
+
     def scores(self, texts: list[str]) -> np.ndarray:
         """Log-probability of each text under each language."""
         out = np.tile(self.prior, (len(texts), 1)).astype(np.float64)
-        for codes, owners, starts, sizes in pieces(texts):
+        for codes, owners, starts, sizes, shared in pieces(texts):
             full = sizes > 0
             for n, h in grams(codes):
                 at = np.full(len(codes), BUCKETS, np.int32)
-                ok = within(starts, sizes, len(codes), n)
+                ok = within(starts, sizes, shared, len(codes), n)
                 at[: len(h)][ok] = h[ok]
                 for k in range(len(self.langs)):
-                    out[owners[full], k] += np.add.reduceat(self.weights[:, k][at], starts[full], dtype=np.float64)
+                    np.add.at(out[:, k], owners[full], np.add.reduceat(self.weights[:, k][at], starts[full], dtype=np.float64))
         return out
 
 
 def fit(docs: DataFrame) -> Model:
     """Learns from text and lang of all rows of ``docs`` whose both are there."""
-    counted = (
-        docs.where("text is not null and lang is not null").select("text", "lang").mapInPandas(count_grams, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    )
+    known = docs.where("text is not null and lang is not null").select("text", "lang")
+    counts = known.mapInPandas(count_grams, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = materialize(counts, "grams")  # read twice below
     langs = sorted(r[0] for r in counted.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(langs) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
@@ -133,11 +158,11 @@ def fit(docs: DataFrame) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score, the posterior probability of lang_pred."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts)
 
     @F.pandas_udf("struct<lang_pred string, score double>")
     def guess(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = shared.value
+        own = Model.of(shared.value)
         names = np.array([*own.langs, UNDECIDED], dtype=object)
         for part in texts:
             n = len(part)
@@ -150,11 +175,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame({"lang_pred": names[best], "score": score})
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    kept = docs.withColumn("_p", guess(F.when(lettered, F.col("text")).otherwise(F.lit(""))))
     none = F.struct(F.lit(UNDECIDED).alias("lang_pred"), F.lit(0.0).alias("score"))
-    return kept.withColumn("_p", F.when(lettered, F.col("_p")).otherwise(none)).select(
-        *[F.col(c) for c in docs.columns if c not in ("lang_pred", "score")], F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score")
-    )
+    row = F.struct(*[F.col(c) for c in docs.columns if c not in ("lang_pred", "score")]).alias("row")
+    guessed = docs.select(row, lettered.alias("lettered"), guess(F.when(lettered, F.col("text")).otherwise(F.lit(""))).alias("p"))
+    return guessed.select("row", F.when(F.col("lettered"), F.col("p")).otherwise(none).alias("p")).select("row.*", "p.lang_pred", "p.score")
 
 
 def held_out(doc_id: Column) -> Column:
