@@ -1,7 +1,6 @@
 """Metrics of scored rows.
 
-Rows with equal scores are one cut-off: they are counted first, so that cumulative sums run over distinct scores, and partitioned
-by key where there is one.
+Rows with equal scores are one cut-off: they are counted first, so that cumulative sums run over distinct scores, dealt by range.
 """
 
 from __future__ import annotations
@@ -12,17 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import clip, div, safe
-
-
-def _w(keys: Sequence[str]):
-    return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+from riskloom.operators import dealt
+from riskloom.session import materialize
 
 
 def cutoffs(df: DataFrame, score: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
     """Per distinct score: tp and n at or above it, positives in all, and the step in recall."""
-    per = df.groupBy(*keys, score).agg(F.count("*").alias("_n"), F.sum(F.col(y).cast("long")).alias("_p"))
-    up = _w(keys).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return per.select(*keys, score, "_n", "_p", F.sum("_n").over(up).alias("n"), F.sum("_p").over(up).alias("tp"), F.sum("_p").over(_w(keys)).alias("positives"), F.sum("_n").over(_w(keys)).alias("rows"))
+    per = materialize(df.groupBy(*keys, score).agg(F.count("*").alias("_n"), F.sum(F.col(y).cast("long")).alias("_p")), "cutoffs")
+    return dealt.running(per, [F.col(score).desc()], {"n": F.col("_n"), "tp": F.col("_p")}, keys, {"n": "rows", "tp": "positives"})
 
 
 def average_precision(df: DataFrame, score: str, y: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Ranks, tiers, first and latest rows, top-k."""
+"""Ranks, tiers, first and latest rows, top-k.  Ranks within groups of any size are dealt by range (``dealt``)."""
 
 from __future__ import annotations
 
@@ -7,37 +7,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.operators import dealt
+
 
 def _over(keys: Sequence[str]):
     return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
 
 
 def percentile_rank(df: DataFrame, value: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Percentile rank x 100; ties share their mean rank; a single row has 100.  Ranks are taken over one row per distinct value and
-    group, so that only distinct values meet in a task."""
-    per = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    w = _over(keys)
-    upto = F.sum("_c").over(w.orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = per.withColumn(out, (upto - F.col("_c") + (F.col("_c") + 1) / 2) / F.sum("_c").over(w) * 100).drop("_c")
-    return df.join(ranked.withColumnRenamed(value, "_v").withColumnsRenamed({k: f"_{k}" for k in keys}), _same(keys) & F.col(value).eqNullSafe(F.col("_v"))).drop("_v", *[f"_{k}" for k in keys])
-
-
-def _same(keys: Sequence[str]) -> Column:
-    out = F.lit(True)
-    for k in keys:
-        out = out & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return out
+    """Percentile rank x 100; ties share their mean rank; a single row has 100."""
+    p = dealt.placed(df, value, keys)
+    return p.withColumn(out, (F.col("upto") - F.col("equal") + (F.col("equal") + 1) / 2) / F.col("rows") * 100).drop("equal", "upto", "rows")
 
 
 def rank_score(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Rank from 1, largest first, and 100 x (1 - (rank - 1) / (n - 1)); a single row has 100."""
-    w = _over(keys).orderBy(F.col(value).desc())
-    return df.withColumns({"rank": F.rank().over(w), "rank_score": 100 * (1 - F.percent_rank().over(w))})
+    p = dealt.placed(df, value, keys, down=True).withColumn("rank", (F.col("upto") - F.col("equal") + 1).cast("int"))
+    return p.withColumn("rank_score", 100 * (1 - _share(F.col("rank") - 1, F.col("rows") - 1))).drop("equal", "upto", "rows")
+
+
+def _share(a: Column, b: Column) -> Column:
+    return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
 def shares(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    w = _over(keys).orderBy(value)
-    return df.withColumns({"percent_rank": F.percent_rank().over(w), "cume_dist": F.cume_dist().over(w)})
+    p = dealt.placed(df, value, keys)
+    before = F.col("upto") - F.col("equal")
+    return p.withColumns({"percent_rank": _share(before, F.col("rows") - 1), "cume_dist": F.col("upto") / F.col("rows")}).drop("equal", "upto", "rows")
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1) -> DataFrame:
@@ -53,10 +49,9 @@ def at_latest(df: DataFrame, day: str, keys: Sequence[str], order: Sequence[Colu
 
 def top_fraction(df: DataFrame, score: str, fraction: float, ties: str, keys: Sequence[str] = (), up: bool = False) -> DataFrame:
     """Flag of the max(1, floor or ceil of n x fraction) best rows."""
-    w = _over(keys)
-    n = F.count("*").over(w)
-    k = F.greatest(F.lit(1), (F.ceil if up else F.floor)(n * fraction))
-    return df.withColumn("top", F.row_number().over(w.orderBy(F.col(score).desc(), F.col(ties))) <= k)
+    placed = dealt.running(df, [F.col(score).desc(), F.col(ties)], {"best place": F.lit(1)}, keys, {"best place": "all places"})
+    k = F.greatest(F.lit(1), (F.ceil if up else F.floor)(F.col("all places") * fraction))
+    return placed.withColumn("top", F.col("best place") <= k).drop("best place", "all places")
 
 
 def tier(score: Column, steps: Sequence[tuple[float, str]], below: str) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import array_mean, cosine, dot, norm, scaled
+from riskloom.operators import dealt
 from riskloom.operators.windows import Roll, accelerated, frame, rolled
 
 #: Anchors go to every task, in rows of so many.
@@ -41,15 +42,20 @@ def similarities(rows: DataFrame, anchors: DataFrame, vec: str = "vec", keep: Se
 
 
 def thresholds(sims: DataFrame, q: float = 0.9, keys: Sequence[str] = ("country", "anchor"), exact: bool = True) -> DataFrame:
-    p = F.percentile("cos", q) if exact else F.percentile_approx("cos", q)
-    return sims.groupBy(*keys).agg(p.alias("threshold"))
+    """A percentile of the cosines per group.  Groups may be of any size: exact ones come from ranges of values, the others from a sketch."""
+    if exact:
+        return dealt.percentiles(sims, "cos", {"threshold": q}, keys)
+    return sims.groupBy(*keys).agg(F.percentile_approx("cos", q).alias("threshold"))
 
 
 def pooled(sims: DataFrame, limits: DataFrame, keys: Sequence[str] = ("country", "day", "anchor"), exact: bool = True) -> DataFrame:
     """Per day and anchor: largest, p95 and p99 cosine, count over the country's threshold."""
-    p = (lambda q: F.percentile("cos", q)) if exact else (lambda q: F.percentile_approx("cos", q))
-    joined = sims.join(F.broadcast(limits), ["country", "anchor"])
-    return joined.groupBy(*keys).agg(F.max("cos").alias("top"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.count_if(F.col("cos") > F.col("threshold")).alias("over"))
+    ends = {"p95": 0.95, "p99": 0.99}
+    sketched = [] if exact else [F.percentile_approx("cos", q).alias(name) for name, q in ends.items()]
+    per = sims.join(limits, ["country", "anchor"]).groupBy(*keys).agg(F.max("cos").alias("top"), *sketched, F.count_if(F.col("cos") > F.col("threshold")).alias("over"))
+    if exact:
+        per = per.join(dealt.percentiles(sims, "cos", ends, keys), list(keys))
+    return per.select(*keys, "top", *ends, "over")
 
 
 def day_signals(pool: DataFrame, pair: tuple[int, int], keys: Sequence[str] = ("country", "day")) -> DataFrame:
@@ -61,7 +67,7 @@ def day_signals(pool: DataFrame, pair: tuple[int, int], keys: Sequence[str] = ("
 
 def any_share(sims: DataFrame, limits: DataFrame, some: Sequence[int], row: str, keys: Sequence[str] = ("country", "day")) -> DataFrame:
     """Share and count of rows over the threshold of any of some anchors."""
-    flags = sims.where(F.col("anchor").isin(*some)).join(F.broadcast(limits), ["country", "anchor"])
+    flags = sims.where(F.col("anchor").isin(*some)).join(limits, ["country", "anchor"])
     per = flags.groupBy(*keys, row).agg(F.max((F.col("cos") > F.col("threshold")).cast("int")).alias("f"))
     return per.groupBy(*keys).agg(F.avg("f").alias("share"), F.sum("f").alias("n"))
 
