@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # White space between words.
@@ -34,9 +34,55 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def text_key(*cols: Column) -> Column:
-    """Tells apart rows that share an id but not a content."""
-    return F.xxhash64(*cols)
+def identity(text: str = "text") -> list[Column]:
+    """_id, _a and _b: rows with one doc_id, null ones too, are told apart by 128 bits of their text's hashes."""
+    return [F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_a"), F.xxhash64(F.lit(7), text).alias("_b")]
+
+
+def same(left: DataFrame, right: DataFrame) -> Column:
+    """Two rows with the columns of ``identity`` are of one document."""
+    return left["_id"].eqNullSafe(right["_id"]) & (left["_a"] == right["_a"]) & (left["_b"] == right["_b"])
+
+
+def with_row(docs: DataFrame) -> DataFrame:
+    """The whole row of ``docs`` as the struct ``row``, whatever its columns are called, and its identity."""
+    return docs.select(F.struct("*").alias("row"), *identity())
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """_r, a hash of all columns (which must not be maps): puts documents that differ only elsewhere in a fixed order."""
+    return F.xxhash64(*[docs[c] for c in docs.columns]).alias("_r")
+
+
+def once(docs: DataFrame, chosen: DataFrame, *more: str) -> DataFrame:
+    """row (a struct) and ``more`` for each row of ``chosen``, a written table (_id, _a, _b, _r, the number ``rows`` of rows with these, and ``more``): one row
+    of ``docs`` each, however many equal ones there are."""
+    keyed = docs.select(F.struct("*").alias("row"), *identity(), row_hash(docs))
+    keys = ["_id", "_a", "_b", "_r"]
+
+    def matching(which: DataFrame) -> DataFrame:
+        return keyed.join(which, same(keyed, which) & (keyed["_r"] == which["_r"])).select("row", *[keyed[k] for k in keys], *more)
+
+    repeated = chosen.where("rows > 1")
+    if repeated.isEmpty():
+        return matching(chosen).select("row", *more)
+    return matching(chosen.where("rows = 1")).unionByName(matching(repeated).dropDuplicates(keys)).select("row", *more)
+
+
+#: No more keys than this are hot: those with over this part of all rows.
+SHARES = 1000
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` (``total`` of them) with the columns of ``facts``, a written table with one row for each ``key`` and the number ``n`` of its rows.
+    Keys with more than one row in SHARES are at most SHARES, so they are broadcast; no key of the shuffled rest is large."""
+    if facts.count() <= SHARES:
+        return rows.join(F.broadcast(facts.drop("n")), key)
+    hot, cold = facts.where(F.col("n") * SHARES > total).drop("n"), facts.where(F.col("n") * SHARES <= total).drop("n")
+    if hot.isEmpty():
+        return rows.join(cold, key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
 
 
 def chunks(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:

@@ -1,7 +1,7 @@
 """Operator 5, mixing sources to target weights: systematic sampling.
 
 Sources in code point order, null last, get the weights WEIGHTS in turn.  They share SHARE times all sizes by weight; a target
-stops at MOST times its source's size and the excess is shared again.  Within a source, in order of (size, doc_id), documents'
+stops at MOST times its source's size and the excess is shared again.  Within a source, in order of (size, doc_id, hashes of text and row), documents'
 expected copies (target / source size each) are summed; one offset per source is added, and a document is emitted once for each
 integer crossed.  The order by size keeps the taken words near the target.
 
@@ -9,7 +9,9 @@ Prefix sums never gather a source in one task: rows are dealt by range of (sourc
 spreads over tasks, and only counts by range are summed in order.
 
 Defined results: null text has size 0; a null source is a source of its own; a source without words has target 0 and takes
-nothing; repeated rows are sampled each on their own; an empty table gives an empty result.  The offset is a hash of the source
+nothing; documents of one size and id are ordered by their text and then by their other columns, and only rows that are equal throughout
+may stand for each other; repeated rows are sampled each on their own; other columns are kept, one named copy_no is replaced; very long
+texts are only counted; an empty table gives an empty result.  The offset is a hash of the source
 name and SEED, so reruns agree.  Native: DataFrame functions only.
 """
 
@@ -18,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import words
+from riskloom.llm.common import identity, once, row_hash, words
+from riskloom.operators.dealt import running
 from riskloom.session import materialize, table
 
 WEIGHTS = (3, 1, 2)
@@ -49,43 +52,30 @@ def offset(source: Column) -> Column:
     return F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def ranked(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """``rows`` with rank, from 1, within ``key`` in ``order``; a key's rows spread over tasks by range."""
-    dealt = materialize(rows.repartitionByRange(F.col(key).isNull(), key, *order).withColumn("_range", F.spark_partition_id()), "ranges")
-    counts = dealt.groupBy("_range", key).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col("_range").alias("_r"), F.col(key).alias("_k"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("_range", key).orderBy(*order)
-    placed = dealt.withColumn("_place", F.row_number().over(own))
-    joined = placed.join(starts, (F.col("_range") == F.col("_r")) & F.col(key).eqNullSafe(F.col("_k")))
-    return joined.withColumn("rank", F.col("_before") + F.col("_place")).drop("_range", "_r", "_k", "_before", "_place")
-
-
 def sample(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken, and a hash of the text as ``key``."""
+    """_id, _a, _b, _r (the row), source, size, source_size, target, copies and taken."""
     size = F.size(words(F.col("text"))).cast("long")
-    sized = materialize(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("key")), "sizes")
+    sized = materialize(docs.select(*identity(), row_hash(docs), "source", size.alias("size")), "sizes")
     per_source = targets(sized).withColumnRenamed("source", "_source")
-    placed = ranked(sized, "source", "size", "doc_id").join(per_source, F.col("source").eqNullSafe(F.col("_source")))
+    placed = running(sized, [F.col(c) for c in ("size", "_id", "_a", "_b", "_r")], {"rank": F.lit(1)}, ["source"]).join(per_source, F.col("source").eqNullSafe(F.col("_source")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     shift = offset(F.col("source"))
     copies = (F.floor(rate * F.col("rank") + shift) - F.floor(rate * (F.col("rank") - 1) + shift)).cast("long")
-    return placed.withColumn("copies", copies).select("doc_id", "source", "key", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return placed.withColumn("copies", copies).select("_id", "_a", "_b", "_r", "source", "size", "source_size", "target", "copies", taken)
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: rows of ``docs``, each as often as it was drawn, with copy_no from 1."""
-    drawn = sample(docs).where("copies > 0").groupBy("doc_id", "source", "key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    drawn = drawn.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("key").alias("_k"), "_copies")
-    first = docs.withColumn("_h", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_h") == F.col("_k"))
-    # repeated rows share what was drawn for them: the joined row stands for all of them once
-    once = first.join(drawn, same).dropDuplicates(["doc_id", "source", "_h"])
-    return once.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns, "copy_no")
+    # equal rows share what was drawn for them: one of them stands for all
+    drawn = sample(docs).groupBy("_id", "_a", "_b", "_r").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
+    every = once(docs, materialize(drawn, "drawn"), "copies").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy_no"))
+    return every.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != "copy_no"], "copy_no")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return sample(docs).select(F.col("_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 ORACLE = rf"""

@@ -5,8 +5,11 @@ dealt by every choice of m - 3 blocks, m growing with the number of fingerprints
 still holds many is split again by four blocks of its free bits.  Within a key, numpy verifies Hamming distances and
 returns a spanning forest, never all pairs.  Equal fingerprints are one class before that.
 
+Fingerprints and components that hold a large part of all rows are joined by broadcast (``looked_up``), at most some thousands of them.
+
 Defined results: null and empty texts have fingerprint zero and link like any other; a null doc_id links like any other,
-and a component of nulls alone has a null id; repeated rows share a class; an empty table gives an empty result.
+and a component of nulls alone has a null id; repeated rows share a class; an empty table gives an empty result; very long texts are
+hashed 65,536 shingles at once; other columns are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import by_runs, by_value, text_key
+from riskloom.llm.common import by_runs, by_value, identity, looked_up, once, row_hash
 from riskloom.llm.components import components
 from riskloom.session import materialize, table
 
@@ -52,13 +55,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of the text, to tell apart rows that share an id) and fp, the fingerprint as a signed long."""
+    """_id, _a, _b, _r (the row) and fp, the fingerprint as a signed long."""
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t) for t in texts], dtype="int64")
 
-    return docs.select("doc_id", text_key(F.col("text")).alias("key"), fp("text").alias("fp"))
+    return docs.select(*identity(), row_hash(docs), fp("text").alias("fp"))
 
 
 def signed(mask: int) -> int:
@@ -155,27 +158,29 @@ def links(classes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, key, fp, component (a fingerprint) and component_id (the smallest doc_id in it) of every row."""
+    """_id, _a, _b, _r, fp, component (a fingerprint) and component_id (the smallest doc_id in it) of every row."""
     fps = materialize(fingerprints(docs), "fingerprints")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    classes = materialize(fps.groupBy("fp").agg(F.min("_id").alias("least"), F.count("*").alias("n")), "classes")
     tree = components(links(classes.select("fp"))).withColumnRenamed("node", "fp")
-    named = classes.join(tree, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return fps.join(named.join(ids, "component").select("fp", "component", "component_id"), "fp").select("doc_id", "key", "fp", "component", "component_id")
+    named = materialize(classes.join(tree, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "named")
+    n_rows, n_classes = named.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    ids = materialize(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "component_ids")
+    facts = materialize(looked_up(named.withColumnRenamed("n", "size"), ids, "component", n_classes).select("fp", "component", "component_id", F.col("size").alias("n")), "facts")
+    return looked_up(fps, facts, "fp", n_rows).select("_id", "_a", "_b", "_r", "fp", "component", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: that with the smallest doc_id (a null one is last), by text hash where ids are shared."""
-    found = near_duplicates(docs)
-    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("f")).select(F.col("f.doc_id").alias("_d"), F.col("f.key").alias("_k"))
-    keyed = docs.withColumn("_key", text_key(F.col("text")))
-    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_key"]).drop("_key")
+    """``docs`` with one row of each component: that with the smallest doc_id (a null one is last), where ids are shared by hashes of the text
+    and then of the whole row."""
+    keys = ["_id", "_a", "_b", "_r"]
+    rows = near_duplicates(docs).groupBy("component", *keys).agg(F.count("*").alias("rows"))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), *keys, "rows")).alias("f")).select("f.*")
+    return once(docs, materialize(first, "firsts")).select("row.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select(F.col("_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {"op4_simhash": op4_simhash}

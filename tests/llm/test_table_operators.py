@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from riskloom.llm import chat, decontaminate, language_id, mixing, pii, url_filters
@@ -98,6 +99,31 @@ def test_decontamination(spark):
     assert decontaminate.report(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_decontamination_by_shuffle_of_items_without_id_and_of_shared_ids(spark, monkeypatch):
+    """The way of large test sets; windows of items without id count, and documents are told apart by their text."""
+    passage, other = prose(50, 30), prose(51, 40)
+    bench = spark.createDataFrame([(None, passage), (1, other), (1, "two words")], "item_id long, text string")
+    texts = [passage, "clean", other + " x", "clean", "has two words in it", None, passage]
+    docs = documents(spark, texts, ids=[None, None, None, 5, 5, 5, 5]).withColumns({c: F.lit(c) for c in ("_id", "_a", "row", "hit", "places", "items", "w")})
+    want = sorted((r.doc_id or -1, r.n_words, r.n_hit, r["items"]) for r in decontaminate.report(docs, bench).collect())
+    lists = [(None, tokens(passage)), (1, tokens(other)), (1, ["two", "words"])]
+    brute = [(i, *brute_hits(t, lists)) for i, t in zip([-1] * 3 + [5] * 4, texts, strict=True)]
+    assert want == sorted((i, n, hit, [x for x in found if x != "None"]) for i, n, hit, found in brute)
+    clean = sorted(r.text or "" for r in decontaminate.clean_documents(docs, bench).collect())
+    assert clean == ["", "clean", "clean"]
+    assert decontaminate.clean_spans(docs, bench).columns == docs.columns
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(decontaminate, "MOST_BYTES", 0)
+    assert sorted((r.doc_id or -1, r.n_words, r.n_hit, r["items"]) for r in decontaminate.report(docs, bench).collect()) == want
+
+
+def test_decontamination_of_a_long_text(spark):
+    long = " ".join(["filler"] * 60_000 + tokens(prose(50, 30)) + ["filler"] * 60_000)
+    bench = spark.createDataFrame([(1, prose(50, 30))], "item_id long, text string")
+    r = decontaminate.report(documents(spark, [long]), bench).first()
+    assert (r.n_words, r.n_hit) == (120_000 + len(tokens(prose(50, 30))), len(tokens(prose(50, 30))))
+
+
 # ---- 9 chat formatting ----
 
 
@@ -195,15 +221,17 @@ def test_pipeline_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash", "decontaminate", "pii", "mixing"]
 
 
+CLASHING = "score items spans fp row _d _k _s _h _key _id _a _b _r rows copies copy_no _found _places n h g w found size rank target key kept".split()
+
+
 def test_stages_take_empty_tables_and_more_columns(spark, tmp_path):
     write(spark.createDataFrame([], "item_id long, text string"), tmp_path, "benchmark")
-    F = __import__("pyspark").sql.functions
-    for docs in (spark.createDataFrame([], DOCS), documents(spark, [prose(1, 80), prose(2, 90), None]).withColumns({"score": F.lit("x"), "items": F.lit(1), "spans": F.lit(2), "fp": F.lit(3)})):
+    for docs in (spark.createDataFrame([], DOCS), documents(spark, [prose(1, 80), prose(2, 90), None]).withColumns({c: F.lit("x") for c in CLASHING})):
         columns = docs.columns
         for _, stage in corpus_pipeline.STAGES[:-1]:
             docs = stage(spark, docs, str(tmp_path))
             assert docs.columns == columns
             assert docs.where("score <> 'x'").count() == 0 if "score" in columns else True
         docs = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
-        assert set(columns) <= set(docs.columns)
-        docs.collect()
+        assert docs.columns == [c for c in columns if c != "copy_no"] + ["copy_no"]
+        assert docs.where("score <> 'x'").count() == 0 if "score" in columns else True

@@ -161,7 +161,7 @@ def test_simhash_equals_brute_force(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "text").collect()
     texts = [r.text for r in rows] + EDGES
     ids = [r.doc_id for r in rows] + [100_000 + i for i in range(len(EDGES))]
-    got = {r.doc_id: r for r in simhash.near_duplicates(documents(spark, texts, ids=ids)).collect()}
+    got = {r._id: r for r in simhash.near_duplicates(documents(spark, texts, ids=ids)).collect()}
     fps = [brute_fingerprint(t) for t in texts]
     assert [got[i].fp & (1 << 64) - 1 for i in ids] == fps
     assert [got[i].component_id for i in ids] == brute_components(ids, fps)
@@ -202,7 +202,7 @@ def test_masks_keep_every_near_pair():
 def test_simhash_empty_null_and_repeated(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     rows = simhash.near_duplicates(documents(spark, [None, "", "a b c d", "a b c d", "a b c d"], ids=[7, 3, 5, 5, None])).collect()
-    assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in rows) == [(False, 3, 3), (False, 5, 5), (False, 5, 5), (False, 7, 3), (True, 0, 5)]
+    assert sorted((r._id is None, r._id or 0, r.component_id) for r in rows) == [(False, 3, 3), (False, 5, 5), (False, 5, 5), (False, 7, 3), (True, 0, 5)]
 
 
 def test_simhash_keeps_one_of_each(spark):
@@ -521,8 +521,36 @@ def test_mixing(spark):
         taken[r.source] += r.taken
     for s, t in want.items():
         assert abs(taken[s] - t) <= 40, s
-    again = {(r.doc_id, r.taken) for r in mixing.sample(docs.repartition(5)).collect()}
-    assert again == {(r.doc_id, r.taken) for r in rows}
+    again = {(r._id, r.taken) for r in mixing.sample(docs.repartition(5)).collect()}
+    assert again == {(r._id, r.taken) for r in rows}
     mixed = mixing.mix(docs).groupBy("doc_id").count().collect()
-    assert {r.doc_id: r["count"] for r in mixed} == {r.doc_id: r.copies for r in rows if r.copies}
+    assert {r.doc_id: r["count"] for r in mixed} == {r._id: r.copies for r in rows if r.copies}
     assert mixing.sample(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def shuffled_rows(spark, n_equal):
+    """Rows that share id and text and differ in source or in another column, and equal ones; in two orders."""
+    rows = [(7, "same words here now", "en", s, 19, x) for s in ("a", "b") for x in ("p", "q")] * n_equal + [(None, "same words here now", "en", "a", 19, x) for x in "pqr"] + [(8, "other", None, None, None, None)]
+    schema = DOCS + ", extra string"
+    return [spark.createDataFrame(r, schema).repartition(n) for r, n in ((rows, 3), (rows[::-1], 5))]
+
+
+def test_mix_and_near_copies_have_one_result_whatever_the_order_of_rows(spark):
+    one, other = shuffled_rows(spark, 2)
+    for step in (mixing.mix, simhash.one_of_each):
+        results = [sorted(map(str, step(df).collect())) for df in (one, other)]
+        assert results[0] == results[1]
+    assert sorted((r.doc_id, r.source, r.extra) for r in simhash.one_of_each(one).collect())[0][0] == 7
+    assert simhash.one_of_each(one).count() == 2
+    drawn = {r["doc_id"]: r["count"] for r in mixing.mix(one).groupBy("doc_id").count().collect()}
+    copies = {r["_id"]: r["c"] for r in mixing.sample(one).groupBy("_id").agg(F.sum("copies").alias("c")).collect()}
+    assert drawn == {k: v for k, v in copies.items() if v}
+
+
+def test_hot_nodes_keep_their_links(spark):
+    """A star, a chain and a pair."""
+    from riskloom.llm.components import components
+
+    edges = [(1, v) for v in range(2, 3000)] + [(v, v + 1) for v in range(5000, 5100)] + [(9000, 9001)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{v: 1 for v in range(1, 3000)}, **{v: 5000 for v in range(5000, 5101)}, 9000: 9000, 9001: 9000}
