@@ -1,8 +1,9 @@
-"""Operator 10, suffix-array dedup: distributed prefix doubling over sampled suffixes.
+"""Operator 10, suffix dedup: anchor hashing in place of prefix doubling.
 
-A byte goes if a string of LENGTH (100) bytes covers it that also starts earlier.  Ranking every byte position and doubling until
-100 moves many times the input; here positions are sampled so that no string is missed.  Of the 81 20-byte strings within a
-100-byte window the one with the least hash is its anchor, so equal windows have equal anchors at equal places.
+A byte goes if a string of LENGTH (100) bytes covers it that also starts earlier.  The method dealt, distributed prefix doubling, is
+``prefix_doubling``: it ranks every byte position and moves many times the input in each round (README has measured figures), so it is not
+the registered way; tests hold both against brute force.  Here positions are sampled so that no string is missed: of the 81 20-byte strings
+within a 100-byte window the one with the least hash is its anchor, so equal windows have equal anchors at equal places.
 
 1. Rank by 20 bytes: anchors are dealt and sorted by hash; an anchor whose 20 bytes are unique drops out with all its windows.
 2. Rank by (20 bytes, whole context): where the bytes around two anchors agree throughout, all windows of the later one go.
@@ -15,12 +16,15 @@ and travel by a random key.  In step 3 the windows of an anchor with over HOT op
 of the bytes that a slice's windows share, again only the first of equal ones per batch.  So what meets under one key does not follow
 the size of the group.
 
-Whole copies are found by SHA-256 first.  Texts are dealt by doc_id once, into a bucketed table in the shared folder, and later
+Whole copies are found by SHA-256 first.  Texts are dealt by document once, into a bucketed table in the shared folder, and later
 steps move only hashes, places and the contexts of step 3.
 
-Defined results: null is empty; texts under 100 bytes keep all; a null doc_id is the smallest; repeated rows (same id and text)
-are one document and each get its result; rows that share an id but not a text are ordered by a hash of the text; an empty table
-gives an empty result; texts of any length are read whole, in pieces that overlap by a window.
+A document is (did, tag): its doc_id, and its place among the different texts that have this id (0 for an id of one text), in order of
+128 bits of their hashes.
+
+Defined results: null is empty; texts under 100 bytes keep all; a null doc_id is the smallest long; repeated rows (same id and text)
+are one document and each get its result; rows that share an id but not a text, as those with null ids do, are ordered by a hash of the
+text; other columns are ignored; an empty table gives an empty result; texts of any length are read whole, in pieces that overlap by a window.
 """
 
 from __future__ import annotations
@@ -33,7 +37,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import by_runs, by_value, chunks
+from riskloom.llm.common import by_runs, by_value, chunks, looked_up
+from riskloom.operators.dealt import running
 from riskloom.session import bucketed, materialize, table
 
 LENGTH, GRAM = 100, 20
@@ -41,7 +46,7 @@ SPREAD = LENGTH - GRAM + 1
 PIECE = 1 << 19
 CROWDED, HOT, SLICE = 32, 20_000, 8
 LEAST_ID = -(1 << 63)
-TAG_BITS, POS_BITS, D_BITS = 17, 32, 7
+POS_BITS, D_BITS = 32, 7
 D_MASK, POS_MASK = (1 << D_BITS) - 1, (1 << POS_BITS) - 1
 
 by_value(__name__)
@@ -138,7 +143,7 @@ def first_of(*keys: np.ndarray) -> np.ndarray:
 
 
 def sampled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(did, tag, text) to anchors (k, h, c, did, packed, state), dealt by k; packed holds tag, place of the anchor, and its offsets in
+    """(did, tag, text) to anchors (k, h, c, did, tag, packed, state), dealt by k; packed holds the place of the anchor, and its offsets in
     its windows.  state: 0 to be ranked, 1 known to recur, 2 known to go as a whole, 3 a marker."""
     for frame in frames:
         did, tag, texts = frame["did"].to_numpy(), frame["tag"].to_numpy(), frame["text"].tolist()
@@ -149,44 +154,44 @@ def sampled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             owner, low, high, x, h, c = anchors(data, begin[some], end[some])
             who = owners[some][owner]
             place = x - begin[some][owner] + offset[some][owner]
-            packed = tag[who] << (POS_BITS + 2 * D_BITS) | place << (2 * D_BITS) | (x - low) << D_BITS | (x - high)
-            parts.append((h, c, did[who], packed))
+            packed = place << (2 * D_BITS) | (x - low) << D_BITS | (x - high)
+            parts.append((h, c, did[who], tag[who], packed))
         if not parts:
             continue
-        h, c, who, packed = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((packed, who))
-        h, c, who, packed = h[order], c[order], who[order], packed[order]
+        h, c, who, tags, packed = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((packed, tags, who))
+        h, c, who, tags, packed = h[order], c[order], who[order], tags[order], packed[order]
         values, at, n = np.unique(h, return_inverse=True, return_counts=True)
         crowded = n[at] >= CROWDED
         again = crowded & ~first_of(h, c)
         # a repeated row is the first itself
         same = np.zeros(len(h), bool)
-        same[1:] = (who[1:] == who[:-1]) & (packed[1:] == packed[:-1])
+        same[1:] = (who[1:] == who[:-1]) & (tags[1:] == tags[:-1]) & (packed[1:] == packed[:-1])
         state = np.where(again & ~same, 2, np.where(crowded, 1, 0))
-        key = np.where(state == 2, mixed(packed.view(np.uint64) ^ mixed(who.view(np.uint64))), np.where(crowded, mixed(h ^ c), h))
-        yield _anchors(key, h, c, who, packed, state)
+        key = np.where(state == 2, spread(who, tags, packed), np.where(crowded, mixed(h ^ c), h))
+        yield _anchors(key, h, c, who, tags, packed, state)
         marks = values[n >= CROWDED]
         if len(marks):
             none = np.zeros(len(marks), np.int64)
-            yield _anchors(marks, marks, none.view(np.uint64), none, none, none + 3)
+            yield _anchors(marks, marks, none.view(np.uint64), none, none, none, none + 3)
 
 
-def _anchors(k: np.ndarray, h: np.ndarray, c: np.ndarray, did: np.ndarray, packed: np.ndarray, state: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"k": k.view(np.int64), "h": h.view(np.int64), "c": c.view(np.int64), "did": did, "packed": packed, "state": state.astype("int32")})
+def _anchors(k: np.ndarray, h: np.ndarray, c: np.ndarray, did: np.ndarray, tag: np.ndarray, packed: np.ndarray, state: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"k": k.view(np.int64), "h": h.view(np.int64), "c": c.view(np.int64), "did": did, "tag": tag, "packed": packed, "state": state.astype("int32")})
 
 
 def recurring(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Anchors sorted by (k, h, c, did, packed) to those that matter: ``whole`` ones, all of whose windows occur earlier, and the first of
+    """Anchors sorted by (k, h, c, did, tag, packed) to those that matter: ``whole`` ones, all of whose windows occur earlier, and the first of
     each context where an anchor has several.  Keeps one row of state, however many rows share an anchor."""
-    prev = held = None  # the last row's (h, c) with its class's first (did, packed); an anchor's first row while it is alone
+    prev = held = None  # the last row's (h, c) with its class's first (did, tag, packed); an anchor's first row while it is alone
     for frame in frames:
         gone = frame["state"] == 2
         if gone.any():
-            yield frame.loc[gone, ["h", "did", "packed"]].assign(whole=True)
+            yield frame.loc[gone, ["h", "did", "tag", "packed"]].assign(whole=True)
             frame = frame[~gone]
         if not len(frame):
             continue
-        h, c, did, packed, state = (frame[k].to_numpy() for k in ("h", "c", "did", "packed", "state"))
+        h, c, did, tag, packed, state = (frame[k].to_numpy() for k in ("h", "c", "did", "tag", "packed", "state"))
         known, mark = state == 1, state == 3
         new_h, new_c = np.ones(len(h), bool), np.ones(len(h), bool)
         new_h[1:] = h[1:] != h[:-1]
@@ -194,42 +199,47 @@ def recurring(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         new_c[1:] = new_h[1:] | (c[1:] != c[:-1]) | (mark[1:] != mark[:-1])
         if prev:
             new_h[0] = h[0] != prev[0]
-            new_c[0] = new_h[0] or c[0] != prev[1] or bool(mark[0]) != prev[4]
+            new_c[0] = new_h[0] or c[0] != prev[1] or bool(mark[0]) != prev[2]
         first = np.maximum.accumulate(np.where(new_c, np.arange(len(h)), -1))
-        f_did, f_packed = did[first], packed[first]
+        begun = [x[first] for x in (did, tag, packed)]
         if prev:
-            f_did, f_packed = np.where(first < 0, prev[2], f_did), np.where(first < 0, prev[3], f_packed)
-        whole = ~new_c & ~mark & ((did != f_did) | (packed != f_packed))
+            begun = [np.where(first < 0, was, x) for was, x in zip(prev[3:], begun, strict=True)]
+        whole = ~new_c & ~mark & ((did != begun[0]) | (tag != begun[1]) | (packed != begun[2]))
         # an anchor's further contexts, and its first once there is another
         more = new_c & ~new_h
         start = np.maximum.accumulate(np.where(new_h, np.arange(len(h)), -1))
         several = np.zeros(len(h), bool)
         several[start[more & (start >= 0)]] = True
-        out = [pd.DataFrame({"h": h, "did": did, "packed": packed, "whole": whole})[(whole | more | several | (known & new_c)) & ~mark]]
+        out = [pd.DataFrame({"h": h, "did": did, "tag": tag, "packed": packed, "whole": whole})[(whole | more | several | (known & new_c)) & ~mark]]
         if held is not None:
             if (more & (start < 0)).any():
-                out.append(pd.DataFrame({"h": [held[0]], "did": [held[1]], "packed": [held[2]], "whole": [False]}))
+                out.append(pd.DataFrame({"h": [held[0]], "did": [held[1]], "tag": [held[2]], "packed": [held[3]], "whole": [False]}))
                 held = None
             if new_h.any():
                 held = None
         if new_h.any():
             s = start[-1]
-            held = None if several[s] or known[s] or mark[s] else (h[s], did[s], packed[s])
-        prev = (h[-1], c[-1], f_did[-1], f_packed[-1], bool(mark[-1]))
+            held = None if several[s] or known[s] or mark[s] else (h[s], did[s], tag[s], packed[s])
+        prev = (h[-1], c[-1], bool(mark[-1]), *(x[-1] for x in begun))
         yield pd.concat(out, ignore_index=True)
 
 
+def spread(did: np.ndarray, tag: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """Keys that deal rows evenly."""
+    return mixed(packed.view(np.uint64) ^ mixed(did.view(np.uint64) ^ mixed(tag.view(np.uint64))))
+
+
 def places(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor, and largest and smallest offset in its windows."""
     return packed >> (2 * D_BITS) & POS_MASK, packed >> D_BITS & D_MASK, packed & D_MASK
 
 
 def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(did, text, hs, ps, hot) to (k, did, packed, context, gone): the bytes of an anchor's windows, dealt by the anchor, or of a slice of
+    """(did, tag, text, hs, ps, hot) to (k, h, did, tag, packed, context, gone): the bytes of an anchor's windows, dealt by the anchor, or of a slice of
     them where the anchor is hot; ``gone`` rows occur earlier in the batch."""
     for frame in frames:
-        h, did, p, ctx, sliced = [], [], [], [], []
-        for one, text, hs, ps, hot in zip(frame["did"], frame["text"], frame["hs"], frame["ps"], frame["hot"], strict=True):
+        h, did, tag, p, ctx, sliced = [], [], [], [], [], []
+        for one, own, text, hs, ps, hot in zip(*(frame[c] for c in ("did", "tag", "text", "hs", "ps", "hot")), strict=True):
             packed, hot = np.asarray(ps, np.int64), np.asarray(hot, bool)
             x, most, least = places(packed)
             hs = np.asarray(hs, np.int64)
@@ -245,15 +255,16 @@ def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             h.append(hs)
             p.append(packed)
             did.append(np.full(len(packed), one, np.int64))
+            tag.append(np.full(len(packed), own, np.int64))
             sliced.append(hot)
             ctx += [text[a:b] for a, b in zip((x - most).tolist(), (x - least + LENGTH).tolist(), strict=True)]
         if not ctx:
             continue
-        h, did, p, sliced = (np.concatenate(v) for v in (h, did, p, sliced))
+        h, did, tag, p, sliced = (np.concatenate(v) for v in (h, did, tag, p, sliced))
         key, gone = h.copy(), np.zeros(len(h), bool)
         if sliced.any():
             i = np.flatnonzero(sliced)
-            i = i[np.lexsort((p[i], did[i]))]
+            i = i[np.lexsort((p[i], tag[i], did[i]))]
             _, most, least = places(p[i])
             size = np.array([len(ctx[j]) for j in i])
             begin = np.cumsum(size) - size
@@ -266,17 +277,18 @@ def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             whole = hasher.of(begin, begin + size) ^ mixed((most << D_BITS | least).astype(np.uint64))
             first = first_of(key[i], whole)
             same = np.zeros(len(i), bool)
-            same[1:] = (did[i][1:] == did[i][:-1]) & (p[i][1:] == p[i][:-1])
+            same[1:] = (did[i][1:] == did[i][:-1]) & (tag[i][1:] == tag[i][:-1]) & (p[i][1:] == p[i][:-1])
             gone[i] = ~first & ~same
-        key = np.where(gone, mixed(p.view(np.uint64) ^ mixed(did.view(np.uint64))).view(np.int64), key)
-        yield pd.DataFrame({"k": key, "h": h, "did": did, "packed": p, "context": ctx, "gone": gone})
+        key = np.where(gone, spread(did, tag, p).view(np.int64), key)
+        yield pd.DataFrame({"k": key, "h": h, "did": did, "tag": tag, "packed": p, "context": ctx, "gone": gone})
 
 
 def later(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Contexts sorted by (k, did, packed) to stretches (did, tag, start, end) of windows that occur earlier."""
+    """Contexts sorted by (k, did, tag, packed) to stretches (did, tag, start, end) of windows that occur earlier."""
     for frame in by_runs(frames, ["k"], 1 << 15):
         # the anchors of a repeated row come twice
-        same = (frame[["k", "did", "packed"]].to_numpy()[1:] == frame[["k", "did", "packed"]].to_numpy()[:-1]).all(1)
+        who = frame[["k", "did", "tag", "packed"]].to_numpy()
+        same = (who[1:] == who[:-1]).all(1)
         frame = frame[np.append(True, ~same)]
         ctx = frame["context"].tolist()
         size = np.array([len(x) for x in ctx])
@@ -289,7 +301,7 @@ def later(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packed, gone = frame["packed"].to_numpy(), frame["gone"].to_numpy()
         x, most, _ = places(packed)
         key = hasher.of(at, at + LENGTH) ^ mixed(frame["h"].to_numpy().view(np.uint64)[row] + (most[row] - j).astype(np.uint64))
-        order = np.argsort(key, kind="stable")  # rows stand in order of (did, packed)
+        order = np.argsort(key, kind="stable")  # rows stand in order of (did, tag, packed)
         order = order[~gone[row[order]]]
         again = gone[row]
         again[order[1:]] = key[order[1:]] == key[order[:-1]]
@@ -301,7 +313,7 @@ def later(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = hit[new], hit[np.append(np.flatnonzero(new)[1:], len(hit)) - 1]
         low = (x - most)[row[a]]
         yield pd.DataFrame(
-            {"did": frame["did"].to_numpy()[row[a]], "tag": packed[row[a]] >> (POS_BITS + 2 * D_BITS), "start": low + j[a], "end": low + j[b] + LENGTH}
+            {"did": frame["did"].to_numpy()[row[a]], "tag": frame["tag"].to_numpy()[row[a]], "start": low + j[a], "end": low + j[b] + LENGTH}
         )
 
 
@@ -317,32 +329,42 @@ def cut(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, int,
     return b"".join(text[a:b] for a, b in keep), int((e - s).sum()), len(s)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, did, tag, sha and text (bytes) of every row of ``docs``."""
+    text, did = F.coalesce("text", F.lit("")), F.coalesce("doc_id", F.lit(LEAST_ID)).cast("long")
+    a, b = F.xxhash64(text), F.xxhash64(F.lit(7), text)
+    ids = materialize(docs.select(did.alias("did"), a.alias("a"), b.alias("b")).distinct(), "ids")
+    several = ids.groupBy("did").agg(F.count("*").alias("n")).where("n > 1").select("did")
+    shared = running(materialize(ids.join(several, "did"), "shared"), [F.col("a"), F.col("b")], {"tag": F.lit(1).cast("long")}, ["did"])
+    tags = materialize(shared.select(F.col("did").alias("d"), F.col("a").alias("ta"), F.col("b").alias("tb"), "tag"), "tags")
+    rows = docs.select("doc_id", did.alias("did"), a.alias("a"), b.alias("b"), F.sha2(text, 256).alias("sha"), text.cast("binary").alias("text"))
+    found = rows.join(tags, (F.col("did") == F.col("d")) & (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left")
+    return found.select("doc_id", "did", F.coalesce("tag", F.lit(0)).cast("long").alias("tag"), "sha", "text")
+
+
 def with_stretches(docs: DataFrame) -> DataFrame:
     """doc_id, text (bytes), and starts and ends of the stretches to remove, for every row of ``docs``."""
-    text = F.coalesce("text", F.lit(""))
-    tag = F.pmod(F.xxhash64("text"), F.lit(1 << TAG_BITS))
-    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(LEAST_ID)).cast("long").alias("did"), tag.alias("tag"), F.sha2(text, 256).alias("sha"), text.cast("binary").alias("text"))
-    dealt = bucketed(keyed, "texts", "did", "tag")
+    dealt = bucketed(numbered(docs), "texts", "did", "tag")
     slim = materialize(dealt.select("did", "tag", "sha", F.octet_length("text").cast("long").alias("n")).where(f"n >= {LENGTH}"), "ids")
-    firsts = slim.groupBy("sha").agg(F.min("did").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("sha", "_first")
-    copies = materialize(slim.join(firsts, "sha").where("did > _first").select("did", "tag", "n").distinct(), "copies")
-    once = dealt.join(copies.select("did", "tag").hint("shuffle_hash"), ["did", "tag"], "left_anti").select("did", "tag", "text")
-    rows = once.mapInPandas(sampled, "k long, h long, c long, did long, packed long, state int")
-    sorted_rows = rows.repartition("k").sortWithinPartitions("k", "h", "c", "did", "packed")
-    found = materialize(sorted_rows.mapInPandas(recurring, "h long, did long, packed long, whole boolean"), "anchors")
-    tag_of = F.shiftright("packed", POS_BITS + 2 * D_BITS)
+    firsts = materialize(slim.groupBy("sha").agg(F.min("did").alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    sized = slim.withColumnRenamed("n", "size")
+    copies = materialize(looked_up(sized, firsts, "sha", slim.count()).where("did > first").select("did", "tag", F.col("size").alias("n")).distinct(), "copies")
+    once = dealt.join(copies.select("did", "tag"), ["did", "tag"], "left_anti").select("did", "tag", "text")
+    rows = once.mapInPandas(sampled, "k long, h long, c long, did long, tag long, packed long, state int")
+    sorted_rows = rows.repartition("k").sortWithinPartitions("k", "h", "c", "did", "tag", "packed")
+    found = materialize(sorted_rows.mapInPandas(recurring, "h long, did long, tag long, packed long, whole boolean"), "anchors")
     some = found.where("not whole")
     hot = materialize(some.groupBy("h").count().where(f"count > {HOT}").select("h", F.lit(True).alias("hot")), "hot")
     marked = some.join(hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    open_ = marked.groupBy("did", tag_of.alias("tag")).agg(F.collect_list("h").alias("hs"), F.collect_list("packed").alias("ps"), F.collect_list("hot").alias("hot"))
-    asked = dealt.select("did", "tag", "text").join(open_.hint("shuffle_hash"), ["did", "tag"]).select("did", "text", "hs", "ps", "hot")
-    ranked = asked.mapInPandas(contexts, "k long, h long, did long, packed long, context binary, gone boolean").repartition("k").sortWithinPartitions("k", "did", "packed")
+    open_ = marked.groupBy("did", "tag").agg(F.collect_list("h").alias("hs"), F.collect_list("packed").alias("ps"), F.collect_list("hot").alias("hot"))
+    asked = dealt.select("did", "tag", "text").join(open_, ["did", "tag"]).select("did", "tag", "text", "hs", "ps", "hot")
+    ranked = asked.mapInPandas(contexts, "k long, h long, did long, tag long, packed long, context binary, gone boolean").repartition("k").sortWithinPartitions("k", "did", "tag", "packed")
     stretches = materialize(ranked.mapInPandas(later, "did long, tag long, start long, end long"), "stretches")
     place, most, least = F.shiftright("packed", 2 * D_BITS).bitwiseAND(F.lit(POS_MASK)), F.shiftright("packed", D_BITS).bitwiseAND(F.lit(D_MASK)), F.col("packed").bitwiseAND(F.lit(D_MASK))
-    whole = found.where("whole").select("did", tag_of.alias("tag"), (place - most).alias("start"), (place - least + LENGTH).alias("end"))
+    whole = found.where("whole").select("did", "tag", (place - most).alias("start"), (place - least + LENGTH).alias("end"))
     every = stretches.unionByName(whole).unionByName(copies.select("did", "tag", F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))
     per_doc = every.groupBy("did", "tag").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    return dealt.join(per_doc.hint("shuffle_hash"), ["did", "tag"], "left").select("doc_id", "text", "starts", "ends")
+    return dealt.join(per_doc, ["did", "tag"], "left").select("doc_id", "text", "starts", "ends")
 
 
 def remove(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from riskloom.llm import language_id, mixing, pii, quality_rules, secret_scan, simhash, suffix_dedup
+from riskloom.llm import language_id, mixing, pii, prefix_doubling, quality_rules, secret_scan, simhash, suffix_dedup
 from riskloom.session import table
 
 from .data import DOCS, EDGES, documents, prose
@@ -455,7 +455,7 @@ def test_suffix_dedup_in_pieces(monkeypatch):
     def windows(piece):
         monkeypatch.setattr(suffix_dedup, "PIECE", piece)
         out = {}
-        frame = pd.DataFrame({"did": [1], "tag": [5], "text": [data]})
+        frame = pd.DataFrame({"did": [1], "tag": [1 << 40], "text": [data]})
         for part in suffix_dedup.sampled(iter([frame])):
             x, most, least = suffix_dedup.places(part["packed"].to_numpy())
             for at, m, low, h in zip(x, most, least, part["h"], strict=True):
@@ -471,7 +471,7 @@ def test_recurring_in_batches():
 
     rng = np.random.default_rng(2)
     rows = sorted({(int(a), int(b), int(c), int(d)) for a, b, c, d in zip(*(rng.integers(0, k, 400) for k in (60, 3, 4, 30)), strict=True)})
-    frame = pd.DataFrame(rows, columns=["h", "c", "did", "packed"]).assign(state=0)
+    frame = pd.DataFrame(rows, columns=["h", "c", "did", "packed"]).assign(tag=0, state=0)
     whole = pd.concat(suffix_dedup.recurring(iter([frame]))).sort_values(["h", "did", "packed", "whole"]).reset_index(drop=True)
     for size in (1, 2, 7):
         parts = pd.concat(suffix_dedup.recurring(frame.iloc[i : i + size].reset_index(drop=True) for i in range(0, len(frame), size)))
@@ -488,6 +488,30 @@ def test_suffix_dedup_null_and_repeated(spark):
     assert suffix_dedup.remove(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_suffix_dedup_tells_texts_of_one_id_apart(spark):
+    """Documents with one id, or none, do not get each other's stretches; order among them is by hashes of the text."""
+    p, q = prose(61, 80), prose(62, 80)
+    texts = [p[:250], p, q] + [prose(1000 + i, 30) for i in range(1000)] + [p, p[:250], q + "!", q]
+    ids = [1, 9, 9] + [None] * 1000 + [5, 5, 5, 5]
+    rows = suffix_dedup.remove(documents(spark, texts, ids=ids)).collect()
+    keys = documents(spark, texts, ids=ids).select("doc_id", "text", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b")).distinct().collect()
+    order = sorted(keys, key=lambda r: (-(1 << 63) if r.doc_id is None else r.doc_id, r.a, r.b))
+    gone = {(r.doc_id, r.text): int(g.sum()) for r, g in zip(order, brute_removed([(0, r.text.encode()) for r in order]), strict=True)}
+    want = sorted((-1 if i is None else i, len(t.encode()), gone[i, t]) for i, t in zip(ids, texts, strict=True))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed) for r in rows) == want
+
+
+def test_prefix_doubling_finds_the_same_windows(spark):
+    texts = [t for t in dedup_cases() if t is None or len(t) < 1500]
+    got = {(r.did, r.i) for r in prefix_doubling.repeated_windows(documents(spark, texts)).collect()}
+    seen, want = set(), set()
+    for d, t in enumerate(texts):
+        data = (t or "").encode()
+        for i in range(len(data) - 99):
+            (want.add((d, i)) if data[i : i + 100] in seen else seen.add(data[i : i + 100]))
+    assert got == want and want
+
+
 # ---- 5 mixing ----
 
 
