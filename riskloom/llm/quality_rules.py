@@ -1,23 +1,25 @@
 """Operator 1, quality rules: weak supervision instead of all-must-pass filtering.
 
-Each rule votes good (1) or bad (-1) or abstains (0).  Votes are counted per vote pattern (at most 3 to the number of rules,
-whatever the input), expectation-maximisation over those counts estimates every rule's accuracy, and a closed expression turns a
-document's votes into its posterior probability of being good, from even odds.  A vote for bad needs a plain fault and is trusted
-more than a vote for good, which only says that one measure is in order; BAD and GOOD bound the estimates and so keep the
-classes from trading places.
-
-Defined results: a null text has no words and fails the base; an empty table gives an empty result; repeated rows are judged
-each on their own; other columns are ignored.  Native: DataFrame functions only.
+Each rule looks for a fault and votes bad (-1), or for order and votes good (1), or abstains (0).  Votes are counted per vote pattern (at most 2
+to the number of rules, whatever the input).  Expectation-maximisation over those counts estimates the share of good documents and, of every
+rule, how often it speaks on good and on bad documents; a closed expression turns a document's votes and abstentions into its posterior
+probability of being good.  What is known beforehand is only that a rule for faults rarely speaks on a good document (FALSE_ALARM), which
+keeps the classes from trading places; all rules of a sort start alike.
+
+Defined results: a null text has no words, and with it each rule for faults votes bad, and fails the base; an empty table gives an empty result;
+repeated rows are judged each on their own; other columns are ignored; in a very long text the work grows with its words, and it is sorted
+within its row.  Native: DataFrame functions only.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import words
+from riskloom.llm.common import UPPER, words
 from riskloom.session import materialize, table
 
 # Symbols that count against a text, and the thresholds of the base.
@@ -25,21 +27,26 @@ SYMBOLS = "[#*$%&|<>]"
 LEAST_WORDS = 50
 MOST_REPEATED = 50
 
-#: Least, first and largest estimate of an accuracy, for rules that look for faults and for order.
-BAD, GOOD = (0.85, 0.9, 0.99), (0.55, 0.65, 0.75)
-#: name, bad if, good if, bounds; over the columns of ``measures``.
+#: name, what it votes, when; over the columns of ``measures``.
 RULES = [
-    ("short", "n_words < 50", "false", BAD),
-    ("long", "false", "n_words >= 80", GOOD),
-    ("word_size", "word_chars < 2 * n_words or word_chars > 14 * n_words", "false", BAD),
-    ("symbols", "10 * n_symbols > n_words", "false", BAD),
-    ("symbol_share", "100 * n_symbols > word_chars", "false", BAD),
-    ("lines", "n_dup_lines >= 3 and 10 * n_dup_lines > 3 * n_lines", "false", BAD),
-    ("repeats", "100 * n_repeat_words > 40 * n_words", "false", BAD),
-    ("variety", "false", "100 * n_repeat_words <= 20 * n_words", GOOD),
-    ("line_size", "n_words < 3 * n_lines", "false", BAD),
+    ("word_size", -1, "word_chars < 3 * n_words or word_chars > 7 * n_words"),
+    ("symbols", -1, "10 * n_symbols > n_words"),
+    ("symbol_share", -1, "100 * n_symbols > 5 * word_chars"),
+    ("marks", -1, "2 * n_marks > n_words"),
+    ("capitals", -1, "10 * n_capitals > 3 * word_chars"),
+    ("lines", -1, "10 * n_dup_lines > 3 * n_lines"),
+    ("repeats", -1, "100 * n_repeat_words > 20 * n_words"),
+    ("line_size", -1, "n_words < 5 * n_lines"),
+    ("long", 1, "n_words >= 100"),
+    ("variety", 1, "100 * n_repeat_words <= 2 * n_words"),
+    ("line_order", 1, "n_words >= 10 * n_lines and n_words <= 100 * n_lines"),
+    ("word_order", 1, "word_chars >= 4 * n_words and word_chars <= 6 * n_words"),
 ]
-ROUNDS, KEEP = 12, 0.5
+#: How often a rule speaks on good and on bad documents, at first: rules for faults, rules for order.
+FIRST = {-1: (0.1, 0.5), 1: (0.7, 0.5)}
+#: The most that a rule for faults may speak on good documents, the bounds of all other rates, and of the share of good documents.
+FALSE_ALARM, RATES, SHARE = 0.02, (0.0005, 0.99), (0.05, 0.95)
+ROUNDS, KEEP, PSEUDO = 12, 0.5, 10
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -50,13 +57,15 @@ def measures(docs: DataFrame) -> DataFrame:
         "doc_id",
         words(F.col("text")).alias("w"),
         (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.length(text) - F.length(F.translate(text, "!?", ""))).cast("long").alias("n_marks"),
+        (F.length(text) - F.length(F.translate(text, UPPER, ""))).cast("long").alias("n_capitals"),
         lines.alias("l"),
     )
     # A window is packed as 32 bits of its hash and its place, so that equal windows stand side by side in a sorted long array.
     packed = """sort_array(transform(if(size(w) > 3, sequence(0, size(w) - 3), cast(array() as array<int>)),
         i -> shiftleft(shiftright(xxhash64(w[i], w[i + 1], w[i + 2]), 32), 32) | cast(i as bigint)))"""
     hashed = split.select(
-        "doc_id", "w", "n_symbols",
+        "doc_id", "w", "n_symbols", "n_marks", "n_capitals",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.size("l").cast("long").alias("n_lines"),
@@ -76,46 +85,74 @@ def measures(docs: DataFrame) -> DataFrame:
             or (j < size(k) - 1 and x.key = k[least(j + 1, size(k) - 1)].key)), x -> x.i))"""),
     )
     covered = "aggregate(r, named_struct('e', 0, 'n', 0L), (a, i) -> named_struct('e', i + 3, 'n', a.n + i + 3 - greatest(i, a.e)), a -> a.n)"
-    return places.select("doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.expr(covered).alias("n_repeat_words"))
+    return places.select("doc_id", "n_words", "word_chars", "n_symbols", "n_marks", "n_capitals", "n_lines", "n_dup_lines", F.expr(covered).alias("n_repeat_words"))
 
 
-def vote(bad: str, good: str) -> Column:
-    return F.when(F.col("n_words") == 0, F.lit(-1)).when(F.expr(bad), F.lit(-1)).when(F.expr(good), F.lit(1)).otherwise(F.lit(0))
+def vote(says: int, when: str) -> Column:
+    speaks = F.expr(f"n_words = 0 or {when}" if says < 0 else f"n_words > 0 and {when}")
+    return F.when(speaks, F.lit(says)).otherwise(F.lit(0))
 
 
-def posterior(accuracy: list[float], names: list[str]) -> Column:
-    """Probability of good given the votes, when rules err independently; an abstention says nothing."""
-    odds = F.lit(0.0)
-    for a, name in zip(accuracy, names, strict=True):
-        odds = odds + F.col(name) * F.lit(math.log(a / (1 - a)))
+@dataclass(frozen=True)
+class Estimate:
+    """The share of good documents, and how often each rule speaks on good and on bad ones."""
+
+    share: float
+    good: list[float]
+    bad: list[float]
+
+
+def at_first(sides: list[int]) -> Estimate:
+    return Estimate(0.5, [FIRST[s][0] for s in sides], [FIRST[s][1] for s in sides])
+
+
+def posterior(e: Estimate, names: list[str]) -> Column:
+    """Probability of good given votes and abstentions, when rules speak independently within each class."""
+    odds = F.lit(math.log(e.share / (1 - e.share)))
+    for g, b, name in zip(e.good, e.bad, names, strict=True):
+        odds = odds + F.when(F.col(name) != 0, F.lit(math.log(g / b))).otherwise(F.lit(math.log((1 - g) / (1 - b))))
     return 1 / (1 + F.exp(-odds))
 
 
-def estimate(patterns: DataFrame, names: list[str], bounds: list[tuple[float, float, float]], rounds: int = ROUNDS) -> list[float]:
-    """Each rule's accuracy: expectation-maximisation over vote patterns and their counts ``n``.  Each round is one aggregate that
-    returns one row."""
-    accuracy, k = [first for _, first, _ in bounds], len(names)
+def within(x: float, bounds: tuple[float, float]) -> float:
+    return min(max(x, bounds[0]), bounds[1])
+
+
+def most_on_good(side: int) -> float:
+    return FALSE_ALARM if side < 0 else RATES[1]
+
+
+def estimate(patterns: DataFrame, names: list[str], sides: list[int], rounds: int = ROUNDS) -> Estimate:
+    """Expectation-maximisation over vote patterns and their counts ``n``.  Each round is one aggregate that returns one row."""
+    now, k = at_first(sides), len(names)
     for _ in range(rounds):
-        p = posterior(accuracy, names)
-        right = [F.sum(F.when(F.col(x) == 1, F.col("n") * p).when(F.col(x) == -1, F.col("n") * (1 - p)).otherwise(F.lit(0.0))) for x in names]
-        row = patterns.agg(*right, *[F.sum(F.col("n") * F.abs(x)) for x in names]).first()
+        p = posterior(now, names)
+        on_good = [F.sum(F.when(F.col(x) != 0, F.col("n") * p).otherwise(F.lit(0.0))) for x in names]
+        on_bad = [F.sum(F.when(F.col(x) != 0, F.col("n") * (1 - p)).otherwise(F.lit(0.0))) for x in names]
+        row = patterns.agg(*on_good, *on_bad, F.sum(F.col("n") * p), F.sum(F.col("n") * (1 - p))).first()
         if row[0] is None:
             break
-        accuracy = [min(max((row[i] + 10 * first) / (row[k + i] + 10), least), most) for i, (least, first, most) in enumerate(bounds)]
-    return accuracy
+        good, bad = row[2 * k], row[2 * k + 1]
+        first = [FIRST[s] for s in sides]
+        now = Estimate(
+            within(good / (good + bad), SHARE),
+            [within((row[i] + PSEUDO * min(first[i][0], most_on_good(s))) / (good + PSEUDO), (RATES[0], most_on_good(s))) for i, s in enumerate(sides)],
+            [within((row[k + i] + PSEUDO * first[i][1]) / (bad + PSEUDO), RATES) for i in range(k)],
+        )
+    return now
 
 
-def judge(docs: DataFrame, rules: list[tuple] = RULES, keep: float = KEEP) -> DataFrame:
+def judge(docs: DataFrame, rules: list[tuple[str, int, str]] = RULES, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
     """The base counts, every rule's vote, quality (posterior) and kept."""
-    names = [f"vote_{name}" for name, *_ in rules]
-    voted = measures(docs).select("*", *[vote(bad, good).alias(n) for n, (_, bad, good, _) in zip(names, rules, strict=True)])
+    names, sides = [f"vote_{name}" for name, *_ in rules], [says for _, says, _ in rules]
+    voted = measures(docs).select("*", *[vote(says, when).alias(n) for n, (_, says, when) in zip(names, rules, strict=True)])
     voted = materialize(voted, "quality")  # counts only: the texts are read once
     patterns = materialize(voted.groupBy(*names).agg(F.count("*").alias("n")), "votes")
-    accuracy = estimate(patterns, names, [bounds for *_, bounds in rules])
+    found = estimate(patterns, names, sides, rounds)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return (
         voted.withColumn("base_failed", failed)
-        .withColumn("quality", posterior(accuracy, names))
+        .withColumn("quality", posterior(found, names))
         .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep))
     )
 
@@ -128,17 +165,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     """The same in SQL: windows are grouped as rows, and the rounds of the estimate are unrolled."""
-    names = [f"vote_{name}" for name, *_ in RULES]
-    votes = ", ".join(f"CASE WHEN n_words = 0 THEN -1 WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS {n}" for n, (_, bad, good, _) in zip(names, RULES, strict=True))
-    bounds = [b for *_, b in RULES]
-    steps = ["t0 AS MATERIALIZED (SELECT " + ", ".join(f"{first}::DOUBLE AS a{i}" for i, (_, first, _) in enumerate(bounds)) + ")"]
-    odds = " + ".join(f"{n} * ln(a{i} / (1 - a{i}))" for i, n in enumerate(names))
+    names, sides, k = [f"vote_{name}" for name, *_ in RULES], [says for _, says, _ in RULES], range(len(RULES))
+    votes = ", ".join(f"CASE WHEN {f'n_words = 0 OR {when}' if says < 0 else f'n_words > 0 AND {when}'} THEN {says} ELSE 0 END AS {n}" for n, (_, says, when) in zip(names, RULES, strict=True))
+    first = at_first(sides)
+    steps = ["t0 AS MATERIALIZED (SELECT 0.5::DOUBLE AS s, " + ", ".join(f"{first.good[i]}::DOUBLE AS g{i}, {first.bad[i]}::DOUBLE AS b{i}" for i in k) + ")"]
+    odds = "ln(s / (1 - s)) + " + " + ".join(f"CASE WHEN {names[i]} <> 0 THEN ln(g{i} / b{i}) ELSE ln((1 - g{i}) / (1 - b{i})) END" for i in k)
     for r in range(ROUNDS):
-        sums = ", ".join(
-            f"least(greatest((sum(CASE {n} WHEN 1 THEN n * p WHEN -1 THEN n * (1 - p) ELSE 0 END) + {10 * first}::DOUBLE) / (sum(n * abs({n})) + 10), {least}::DOUBLE), {most}::DOUBLE) AS a{i}"
-            for i, (n, (least, first, most)) in enumerate(zip(names, bounds, strict=True))
+        rates = ", ".join(
+            f"least(greatest((sum(CASE WHEN {names[i]} <> 0 THEN n * p ELSE 0 END) + {PSEUDO * min(FIRST[sides[i]][0], most_on_good(sides[i]))}::DOUBLE) / (sum(n * p) + {PSEUDO}), {RATES[0]}::DOUBLE), {most_on_good(sides[i])}::DOUBLE) AS g{i}, "
+            f"least(greatest((sum(CASE WHEN {names[i]} <> 0 THEN n * (1 - p) ELSE 0 END) + {PSEUDO * FIRST[sides[i]][1]}::DOUBLE) / (sum(n * (1 - p)) + {PSEUDO}), {RATES[0]}::DOUBLE), {RATES[1]}::DOUBLE) AS b{i}"
+            for i in k
         )
-        steps.append(f"t{r + 1} AS MATERIALIZED (SELECT {sums} FROM (SELECT patterns.*, 1 / (1 + exp(-({odds}))) AS p FROM patterns, t{r}))")
+        share = f"least(greatest(sum(n * p) / sum(n), {SHARE[0]}::DOUBLE), {SHARE[1]}::DOUBLE) AS s"
+        steps.append(f"t{r + 1} AS MATERIALIZED (SELECT {share}, {rates} FROM (SELECT patterns.*, 1 / (1 + exp(-({odds}))) AS p FROM patterns, t{r}))")
     return rf"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS MATERIALIZED (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
@@ -146,7 +185,8 @@ g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT
 rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM g) WHERE c > 1),
 cov AS (SELECT r, count(DISTINCT i) AS n FROM (SELECT r, i + unnest([0, 1, 2]) AS i FROM rep) GROUP BY r),
 m AS MATERIALIZED (SELECT d.r, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
-  length(text) - length(regexp_replace(text, '{SYMBOLS}', '', 'g')) AS n_symbols,
+  length(text) - length(regexp_replace(text, '{SYMBOLS}', '', 'g')) AS n_symbols, length(text) - length(regexp_replace(text, '[!?]', '', 'g')) AS n_marks,
+  length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals,
   len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))::BIGINT AS n_lines,
   (len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
    - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,

@@ -48,14 +48,28 @@ def test_quality_counts(spark):
         assert not (r.base_failed and r.kept)
 
 
-def test_quality_estimate_follows_accuracy(spark):
+def test_quality_estimate_follows_rates(spark):
+    """Votes drawn at known rates: the estimate finds them and the share of good rows, from starts that are alike for all rules."""
     rng = np.random.default_rng(0)
-    truth = rng.random(6000) < 0.5
-    rates = [0.95, 0.8, 0.7]
-    votes = [np.where(rng.random(6000) < r, truth, ~truth) * 2 - 1 for r in rates]
-    df = spark.createDataFrame([tuple(map(int, v)) for v in zip(*votes, strict=True)], "a int, b int, c int")
-    counts = df.groupBy("a", "b", "c").count().withColumnRenamed("count", "n")
-    assert np.allclose(quality_rules.estimate(counts, ["a", "b", "c"], [(0.5, 0.8, 0.99)] * 3, 40), rates, atol=0.06)
+    n, truth = 20_000, rng.random(20_000) < 0.8
+    on_good, on_bad, sides = [0.005, 0.01, 0.002, 0.9, 0.7], [0.6, 0.35, 0.15, 0.3, 0.5], [-1, -1, -1, 1, 1]
+    votes = [np.where(rng.random(n) < np.where(truth, g, b), s, 0) for g, b, s in zip(on_good, on_bad, sides, strict=True)]
+    df = spark.createDataFrame([tuple(map(int, v)) for v in zip(*votes, strict=True)], "a int, b int, c int, d int, e int")
+    found = quality_rules.estimate(df.groupBy(*"abcde").count().withColumnRenamed("count", "n"), list("abcde"), sides, 40)
+    assert abs(found.share - 0.8) < 0.03
+    assert np.allclose(found.good, on_good, atol=0.02) and np.allclose(found.bad, on_bad, atol=0.06)
+
+
+def test_quality_estimate_matters(spark):
+    """Verdicts differ from those of the starting rates, and agree better with labels."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    rights, kept = [], []
+    for rounds in (0, quality_rules.ROUNDS):
+        rows = quality_rules.judge(docs, rounds=rounds).where("not base_failed").select("doc_id", "kept").join(labels, "doc_id", "left").collect()
+        kept.append({r.doc_id for r in rows if r.kept})
+        rights.append(np.mean([r.kept == (r.quality == 1) for r in rows if r.quality is not None]))
+    assert len(kept[0] ^ kept[1]) >= 10 and rights[1] > rights[0] + 0.01 and rights[1] > 0.98
 
 
 def test_quality_keeps_clean_and_drops_faulty_texts(spark, sf):
@@ -64,6 +78,12 @@ def test_quality_keeps_clean_and_drops_faulty_texts(spark, sf):
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.15 * len(bad)
 
 
+def test_quality_of_long_and_repeated_texts(spark):
+    long = " ".join(f"w{i}" for i in range(100_000)) + " w1 w2 w3"
+    rows = quality_rules.judge(documents(spark, [long, long, "a b"], ids=[None, 1, 1])).collect()
+    assert sorted((r.n_words, r.n_repeat_words) for r in rows) == [(2, 0), (100_003, 6), (100_003, 6)]
+
+
 def test_quality_empty(spark):
     assert quality_rules.judge(spark.createDataFrame([], DOCS)).count() == 0
 
