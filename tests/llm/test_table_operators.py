@@ -45,7 +45,7 @@ def brute_verdict(url):
     if fits:
         _, rule, verdict = max(fits)
         return host, path, rule, verdict
-    return host, path, None, "block" if any(re.search(x, host + path) for x, _ in url_filters.PATTERNS) else "allow"
+    return host, path, None, "block" if any(re.search(x, host + path) for x in url_filters.PATTERNS) else "allow"
 
 
 def test_url_filters(spark):
@@ -59,6 +59,31 @@ def test_url_filters(spark):
     assert url_filters.judge(pages.where("false")).count() == 0
 
 
+def test_url_tokens_are_read_off_the_expression():
+    want = {
+        r"(^|[.])spam-farm[.]": ["spam", "farm"], r"(^|[.])casino[.-]": ["casino"], r"[/]wp-login[.]php$": ["wp", "login", "php"], r"ads": [], r"^ads[.]": ["ads"], r"(?i)[/]Adult[/]": ["adult"],
+        r"[/]ad[a-z]*[/]": [], r"[/](a|b)[/]c[/]": ["c"], r"[/]x?[/]y[/]": ["y"], r"[/]a+[/]": [], "例[.]例/": [], r"^(?:[^/]*[.@-])?poker(?:[-.:/]|$)": ["poker"], r"x[.]y[.]": ["y"], r"(a)?b[.]": [],
+    }
+    assert {x: url_filters.literal_tokens(x) for x in want} == want
+    for regex in url_filters.RULES:
+        assert url_filters.literal_tokens(regex), regex
+
+
+def test_url_rules_without_a_token_always_run(spark):
+    pages = spark.createDataFrame([(1, "http://例.例/x"), (2, "http://a.例.例/"), (3, "http://b.org/[ads]1"), (4, "http://b.org/z"), (5, None)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filters.judge(pages, [("例.例/", "block")], ["ads", "[0-9]$"]).collect()}
+    assert got == {1: ("例.例/", "block"), 2: ("例.例/", "block"), 3: (None, "block"), 4: (None, "allow"), 5: (None, "allow")}
+
+
+def test_url_filters_with_many_rules_by_shuffle(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://h{i}.net/p") for i in range(300)] + [(1000, "http://www.h7.net/p")] * 50, "page_id long, url string")
+    rules = [url_filters.host_label(f"h{i}") for i in range(0, 3000, 7)]
+    want = sorted((r.page_id, r.verdict) for r in url_filters.judge(pages, [], rules).collect())
+    assert [i for i, v in want if v == "block"] == [*range(0, 300, 7), *[1000] * 50]
+    monkeypatch.setattr(url_filters, "MOST_BROADCAST", 0)
+    assert sorted((r.page_id, r.verdict) for r in url_filters.judge(pages, [], rules).collect()) == want
+
+
 # ---- 6 decontamination ----
 
 
