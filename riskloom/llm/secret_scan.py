@@ -6,7 +6,8 @@ findings are joined back to every path (document) that holds the blob.
 
 Places come from the pieces between matches (``split``) and the matches themselves (``regexp_extract_all``) of one expression,
 measured in code points.  Defined results: a null text is empty; copies share findings; repeated rows each get a result; an
-empty table gives an empty result; a very long text is read whole.  Native: DataFrame functions only.
+empty table gives an empty result; a very long text is read whole; columns other than doc_id and text are ignored; documents that
+share an id, or have none, are each given what their text holds.  Native: DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import looked_up
 from riskloom.session import materialize, table
 
 
@@ -69,13 +71,16 @@ def spans(rule: Rule, rank: int) -> Column:
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] = RULES) -> DataFrame:
     """New ledger rows (blob, rules, found) for the pairs of blob and rule version that ``ledger`` lacks."""
     text = F.coalesce("text", F.lit("")).alias("text")
-    blobs = docs.select(text).distinct().withColumn("blob", F.sha2("text", 256))
     keys = F.array(*[F.lit(r.key) for r in rules])
     if ledger is None:
-        todo = blobs.withColumn("todo", keys)
+        todo = docs.select(text).distinct().withColumn("blob", F.sha2("text", 256)).withColumn("todo", keys)
     else:
-        seen = ledger.groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("_seen"))
-        todo = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(keys, F.coalesce("_seen", F.array().cast("array<string>")))).drop("_seen").where("size(todo) > 0")
+        # addresses first: only texts with something to do are moved
+        seen = ledger.groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("seen"))
+        ids = docs.select(F.sha2(text, 256).alias("blob")).distinct().join(seen, "blob", "left")
+        asked = ids.select("blob", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo")).where("size(todo) > 0")
+        texts = docs.select(text, F.sha2(text, 256).alias("blob"))
+        todo = texts.join(materialize(asked, "asked"), "blob").dropDuplicates(["blob"])
     own = [F.when(F.array_contains("todo", r.key), spans(r, k)).otherwise(F.array().cast(SPANS)) if ledger is not None else spans(r, k) for k, r in enumerate(rules)]
     return todo.select("blob", F.col("todo").alias("rules"), F.array_sort(F.concat(*own)).alias("found"))
 
@@ -84,7 +89,9 @@ def findings(docs: DataFrame, ledger: DataFrame) -> DataFrame:
     """doc_id and found, sorted by start and rule, for every row of ``docs``."""
     paths = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
     found = ledger.where("size(found) > 0").groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
-    return paths.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("found", F.array().cast(SPANS)).alias("found"))
+    facts = materialize(paths.groupBy("blob").agg(F.count("*").alias("n")).join(found, "blob", "left"), "blobs")
+    total = facts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return looked_up(paths, facts, "blob", total).select("doc_id", "blob", F.coalesce("found", F.array().cast(SPANS)).alias("found"))
 
 
 def joined(found: str, base_only: bool) -> Column:

@@ -273,6 +273,16 @@ def test_ledger_reads_only_what_it_lacks(spark):
     assert [len(r.found) for r in sorted(paths, key=lambda r: r.doc_id)] == [1, 0, 1]
 
 
+def test_ledger_of_an_empty_table_of_shared_ids_and_of_a_long_text(spark):
+    empty = spark.createDataFrame([], DOCS)
+    assert secret_scan.scan(empty).count() == 0 and secret_scan.findings(empty, secret_scan.scan(empty)).count() == 0
+    assert secret_scan.scan(empty, secret_scan.scan(empty)).count() == 0
+    long = "word " * 200_000 + "password=abcdefgh " + "tail " * 1000
+    docs = documents(spark, [long, "none", "token=abcdef1", None, "token=abcdef1"], ids=[None, None, 3, 3, 3]).withColumns({"blob": F.lit(1), "found": F.lit(2), "n": F.lit(3)})
+    rows = secret_scan.findings(docs, secret_scan.scan(docs)).collect()
+    assert sorted((r.doc_id or -1, [(f.start, f.end) for f in r.found]) for r in rows) == [(-1, []), (-1, [(1_000_000, 1_000_017)]), (3, []), (3, [(0, 13)]), (3, [(0, 13)])]
+
+
 def test_more_secret_kinds(spark):
     text = "x -----BEGIN RSA PRIVATE KEY----- ghp_" + "a" * 36 + " eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl"
     docs = documents(spark, [text])
