@@ -54,19 +54,33 @@ def row_hash(docs: DataFrame) -> Column:
     return F.xxhash64(*[docs[c] for c in docs.columns]).alias("_r")
 
 
+#: Hashes of texts are broadcast up to this many, 8 bytes each (about 100 MB in a task's memory).
+MOST_HASHES = 4_000_000
+
+
+def only(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """``rows`` whose text hash _a is in ``asked``, a written table; all of them if that has over MOST_HASHES rows.  What a join with ``asked`` would
+    drop need not be moved for it."""
+    if asked.count() > MOST_HASHES:
+        return rows
+    return rows.join(F.broadcast(asked.select("_a").distinct()), "_a", "left_semi")
+
+
 def once(docs: DataFrame, chosen: DataFrame, *more: str) -> DataFrame:
     """row (a struct) and ``more`` for each row of ``chosen``, a written table (_id, _a, _b, _r, the number ``rows`` of rows with these, and ``more``): one row
     of ``docs`` each, however many equal ones there are."""
     keyed = docs.select(F.struct("*").alias("row"), *identity(), row_hash(docs))
     keys = ["_id", "_a", "_b", "_r"]
 
-    def matching(which: DataFrame) -> DataFrame:
-        return keyed.join(which, same(keyed, which) & (keyed["_r"] == which["_r"])).select("row", *[keyed[k] for k in keys], *more)
+    def matching(left: DataFrame, which: DataFrame) -> DataFrame:
+        # ``which`` grows with the documents: it is never broadcast
+        return left.join(which.hint("merge"), same(left, which) & (left["_r"] == which["_r"])).select("row", *[left[k] for k in keys], *more)
 
     repeated = chosen.where("rows > 1")
     if repeated.isEmpty():
-        return matching(chosen).select("row", *more)
-    return matching(chosen.where("rows = 1")).unionByName(matching(repeated).dropDuplicates(keys)).select("row", *more)
+        return matching(keyed, chosen).select("row", *more)
+    several = matching(only(keyed, repeated), repeated).dropDuplicates(keys)
+    return matching(keyed, chosen.where("rows = 1")).unionByName(several).select("row", *more)
 
 
 #: No more keys than this are hot: those with over this part of all rows.
