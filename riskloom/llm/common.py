@@ -58,12 +58,17 @@ def row_hash(docs: DataFrame) -> Column:
 MOST_HASHES = 4_000_000
 
 
+def renewed(df: DataFrame) -> DataFrame:
+    """The same table under columns of its own, to join it where it is in the plan already."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def only(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """``rows`` whose text hash _a is in ``asked``, a written table; all of them if that has over MOST_HASHES rows.  What a join with ``asked`` would
     drop need not be moved for it."""
     if asked.count() > MOST_HASHES:
         return rows
-    return rows.join(F.broadcast(asked.select("_a").distinct()), "_a", "left_semi")
+    return rows.join(F.broadcast(asked.select(F.col("_a").alias("asked")).distinct()), F.col("_a") == F.col("asked"), "left_semi")
 
 
 def once(docs: DataFrame, chosen: DataFrame, *more: str) -> DataFrame:
@@ -79,7 +84,7 @@ def once(docs: DataFrame, chosen: DataFrame, *more: str) -> DataFrame:
     repeated = chosen.where("rows > 1")
     if repeated.isEmpty():
         return matching(keyed, chosen).select("row", *more)
-    several = matching(only(keyed, repeated), repeated).dropDuplicates(keys)
+    several = matching(only(keyed, repeated), renewed(repeated)).dropDuplicates(keys)
     return matching(keyed, chosen.where("rows = 1")).unionByName(several).select("row", *more)
 
 

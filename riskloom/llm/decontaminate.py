@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import ascii_lower, identity, only, same, with_row
+from riskloom.llm.common import ascii_lower, identity, only, renewed, same, with_row
 from riskloom.session import materialize, table
 
 WINDOW = 10
@@ -73,7 +73,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
         at, n = F.when(F.col("pos") >= before, F.col("pos") - before).otherwise(at), F.when(F.col("pos") >= before, F.lit(following)).otherwise(n)
     asked = materialize(seen.select("_id", "_a", "_b", F.struct(at.alias("at"), n.alias("n")).alias("p")).groupBy("_id", "_a", "_b").agg(F.collect_set("p").alias("ps")), "asked")
     # the words at those places, of the few documents that have any
-    kept = only(docs.select(*identity(), "text"), asked)
+    kept, asked = only(docs.select(*identity(), "text"), asked), renewed(asked)
     again = kept.join(asked, same(kept, asked)).select(asked["_id"], asked["_a"], asked["_b"], "ps", normal_words(F.col("text")).alias("w"))
     words = " ".join(f"when {k} then {spelt(k, 'w', 'p.at')}" for k in sizes)
     found = again.select("_id", "_a", "_b", F.explode(F.expr(f"transform(ps, p -> struct(p.at as at, p.n as n, case p.n {words} end as g))")).alias("x")).select("_id", "_a", "_b", "x.*")
