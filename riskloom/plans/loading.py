@@ -55,7 +55,9 @@ def src_07(spark, sf):
 
 @query("src_08", "SELECT page_id, length(url) AS size, page_id % 7 AS k FROM pages")
 def src_08(spark, sf):
-    body = F.concat(F.lit('<html><script id="meta" type="application/json">{"size": '), F.length("url").cast("string"), F.lit('}</script><script id="extra" type="application/json">{"k": '), (F.col("page_id") % 7).cast("string"), F.lit("}</script></html>"))
+    """The given pages hold no JSON blocks, so each gets two, at the end of its body."""
+    block = lambda name, key, value: F.concat(F.lit(f'<script id="{name}" type="application/json">{{"{key}": '), value.cast("string"), F.lit("}</script>"))
+    body = F.concat("html", block("meta", "size", F.length("url")), block("extra", "k", F.col("page_id") % 7))
     pages = table(spark, sf, "pages").select("page_id", body.alias("html"))
     return embedded_json(pages, "html", {"meta": "size int", "extra": "k long"}).select("page_id", "meta.size", "extra.k")
 

@@ -379,9 +379,11 @@ def win_36(spark, sf):
     return labels.any_ahead(df, "flag", 7, "error_ahead").select("country", "day", "error_ahead")
 
 
-@query("win_37")
+@query("win_37", "SELECT country, day, cells FROM (SELECT country, day, string_agg(events || ',' || deaths || ',' || n_error, ',') OVER w AS cells, count(*) OVER w AS c FROM p WINDOW w AS (PARTITION BY country ORDER BY day ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)) WHERE c = 14", ctes=PANEL)
 def win_37(spark, sf):
-    return sequences(conflict_panel(spark, sf), ["events", "deaths", "n_error"], 14).select("country", "day", "matrix")
+    """The matrix of each day, row by row, as text."""
+    df = sequences(conflict_panel(spark, sf), ["events", "deaths", "n_error"], 14)
+    return df.select("country", "day", F.array_join(F.flatten("matrix").cast("array<bigint>").cast("array<string>"), ",").alias("cells"))
 
 
 @query("win_38", f"SELECT country, day, round(avg((events > 0)::INT) {back(30, 0)}, 6) AS rate FROM p", ctes=PANEL)

@@ -1,7 +1,7 @@
 """Session defaults and the shared folder in which long plans are cut.
 
 A cluster names its shared folder in ``spark.checkpoint.dir``.  Only where that is unset (tests, a laptop) does
-``shared_dir`` make a folder of its own.
+``shared_dir`` make a folder of its own, and only on a local master: elsewhere executors could not read it.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="spark-riskloom-")

@@ -1,7 +1,7 @@
 """Streams over landed files.  Each has a batch twin with the same result.
 
 Sinks merge by key inside ``foreachBatch``, so that a batch that is run again after a failure changes nothing; offsets and state are
-kept in the checkpoint under the shared folder.
+kept in the checkpoint that the caller names, under the shared folder.
 """
 
 from __future__ import annotations
@@ -23,20 +23,23 @@ def landed(spark: SparkSession, path: str, schema, files_per_batch: int = 4, kin
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(kind).load(path)
 
 
-def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Handles all that is there, then stops."""
-    checkpoint = fresh_path(stream.sparkSession, "stream")
-    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
+def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None) -> None:
+    """Handles all that is there, then stops.  With the same ``checkpoint`` a later call goes on where the last one, or its failure, left off;
+    without one, everything is read anew."""
+    where = checkpoint or fresh_path(stream.sparkSession, "stream")
+    stream.writeStream.outputMode(mode).option("checkpointLocation", where).trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
 
 
-def insert_events(stream: DataFrame, path: str, stamp: str = "ingested", key: str = "event_id", partition: str = "day", delay: str = "30 minutes") -> None:
+def insert_events(stream: DataFrame, path: str, stamp: str = "ingested", key: str = "event_id", partition: str = "day", delay: str = "30 minutes", checkpoint: str | None = None) -> None:
     """Events once each: repeats within the watermark are dropped in state, older ones by an insert-only merge."""
     spark = stream.sparkSession
     once = stream.withWatermark(stamp, delay).dropDuplicatesWithinWatermark([key])
-    drain(once, lambda df, _: merge.merge_into(spark, path, df, [key, partition], partition, update=False))
+    drain(once, lambda df, _: merge.merge_into(spark, path, df, [key, partition], partition, update=False), checkpoint=checkpoint)
 
 
-def upsert_articles(stream: DataFrame, path: str, transform: Callable[[DataFrame], DataFrame], keys: Sequence[str], order: str, partition: str = "day") -> None:
+def upsert_articles(
+    stream: DataFrame, path: str, transform: Callable[[DataFrame], DataFrame], keys: Sequence[str], order: str, partition: str = "day", checkpoint: str | None = None
+) -> None:
     """Raw articles, transformed, the last per key in a batch, checked, then merged with updates."""
     from riskloom.operators.ranks import first_rows
 
@@ -46,10 +49,10 @@ def upsert_articles(stream: DataFrame, path: str, transform: Callable[[DataFrame
         rows = first_rows(transform(df), keys, [F.col(order).desc()])
         merge.merge_into(spark, path, merge.checked(rows, keys), list(keys), partition, update=True, order=order)
 
-    drain(stream, each)
+    drain(stream, each, checkpoint=checkpoint)
 
 
-def upsert_messages(stream: DataFrame, path: str, after: str, **lexicon) -> None:
+def upsert_messages(stream: DataFrame, path: str, after: str, checkpoint: str | None = None, **lexicon) -> None:
     """Messages to events by id, older ones skipped."""
     spark = stream.sparkSession
 
@@ -57,7 +60,7 @@ def upsert_messages(stream: DataFrame, path: str, after: str, **lexicon) -> None
         events = extracted(df.where(F.col("sent_at") >= F.lit(after).cast("timestamp")), **lexicon).withColumn("day", F.to_date("sent_at")).dropDuplicates(["event_id"])
         merge.merge_into(spark, path, events, ["event_id", "day"], "day", update=True)
 
-    drain(stream, each)
+    drain(stream, each, checkpoint=checkpoint)
 
 
 def buckets(stream: DataFrame, stamp: str = "ts", size: str = "12 hours", delay: str = "1 day") -> DataFrame:
