@@ -358,7 +358,7 @@ def test_pii_keeps_base_and_leaves_clean_texts_alone(spark, tagger):
 
 
 def test_pii_finds_what_the_base_misses(spark, sf, tagger):
-    """Held-out values in held-out contexts: recall and precision of spans that the fixed expressions do not give."""
+    """Held-out values: recall and precision of spans that the fixed expressions do not give."""
     contexts = [r.text[:300] for r in table(spark, sf, "documents").select("text").collect()[-60:] if r.text]
     cases = pii.planted(contexts, 600, seed=77)
     got = {r.doc_id: r for r in pii.detect(documents(spark, [t for t, _ in cases]), tagger).collect()}
