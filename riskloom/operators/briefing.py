@@ -27,8 +27,9 @@ def evidence(events: DataFrame, context: DataFrame, most: int = 5, key: str = "c
 
     top = first_rows(events, [key], [F.coalesce("severity", F.lit(0.0)).desc(), F.col("event_id")], most)
     rows = top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.coalesce("severity", F.lit(0.0))).alias("order"), "event_id", "summary", "severity", "confidence"))).alias("events"))
-    notes = F.array_distinct(F.flatten(F.collect_list(F.array_compact(F.array(F.when(F.col("negated"), F.lit("reports are disputed")), F.when(F.col("confidence") < 0.5, F.lit("few sources")))))))
-    caution = events.groupBy(key).agg(F.count("*").alias("n_events"), F.array_sort(notes).alias("cautions"))
+    said = {"few sources": F.bool_or(F.col("confidence") < 0.5), "reports are disputed": F.bool_or("negated")}
+    notes = F.array_compact(F.array(*[F.when(some, F.lit(note)) for note, some in said.items()]))
+    caution = events.groupBy(key).agg(F.count("*").alias("n_events"), notes.alias("cautions"))
     return rows.join(caution, key).join(context, key, "left")
 
 

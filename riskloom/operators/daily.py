@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import div
+from riskloom.operators import dealt
 
 KEYS = ("country", "day")
 
@@ -67,11 +68,12 @@ def concentration(daily: DataFrame, eps: float = 1e-6) -> DataFrame:
 
 def article_totals(articles: DataFrame, themes: Mapping[str, str], exact: bool = True, keys: Sequence[str] = KEYS) -> DataFrame:
     """Count, distinct domains and languages, tone's tenth percentile, and articles whose themes hold a token with a prefix."""
-    p10 = F.percentile("tone", 0.1) if exact else F.percentile_approx("tone", 0.1)
+    p10 = [] if exact else [F.percentile_approx("tone", 0.1).alias("tone_p10")]
     marks = [F.count_if(F.col("themes").rlike(rf"(^|;){p}[^;]*")).alias(o) for o, p in themes.items()]
-    return articles.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.count_distinct("domain").alias("domains"), F.count_distinct("language").alias("languages"), p10.alias("tone_p10"), *marks
-    )
+    totals = articles.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct("domain").alias("domains"), F.count_distinct("language").alias("languages"), *p10, *marks)
+    if exact:
+        totals = dealt.attached(totals, dealt.percentiles(articles, "tone", {"tone_p10": 0.1}, keys), keys)
+    return totals.select(*keys, "n", "domains", "languages", "tone_p10", *themes)
 
 
 def person_totals(articles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -51,6 +51,15 @@ def placed(df: DataFrame, value: str, keys: Sequence[str] = (), down: bool = Fal
     return df.join(named, same).drop("pv", *[f"p{i}" for i in range(len(keys))])
 
 
+def attached(df: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with the other columns of ``facts`` (one row per group at most); null keys are groups too."""
+    named = facts.select(*[F.col(k).alias(f"p{i}") for i, k in enumerate(keys)], *[c for c in facts.columns if c not in keys])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"p{i}"))
+    return df.join(named, same, "left").drop(*[f"p{i}" for i in range(len(keys))])
+
+
 def percentiles(df: DataFrame, value: str, q: Mapping[str, float], keys: Sequence[str]) -> DataFrame:
     """Exact percentiles with linear interpolation, one row per group."""
     per = materialize(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("equal")), "distinct")
@@ -60,6 +69,6 @@ def percentiles(df: DataFrame, value: str, q: Mapping[str, float], keys: Sequenc
         place = F.lit(share) * (F.col("rows") - 1)
         low, high = (F.min(F.when(F.col("upto") > f(place), F.col(value))) for f in (F.floor, F.ceil))
         part = F.max(place - F.floor(place))
-        return low * (1 - part) + high * part
+        return low + (high - low) * part
 
     return ranked.groupBy(*keys).agg(*[at(share).alias(name) for name, share in q.items()])

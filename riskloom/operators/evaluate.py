@@ -137,8 +137,10 @@ def adjusted_skewness(c: str) -> Column:
 
 def decile_lift(df: DataFrame, score: str, y: str, bins: int = 10) -> DataFrame:
     """Equal-frequency bins between distinct quantile edges: rows, rate, lift over the base rate."""
-    edges = df.agg(F.array_distinct(F.percentile(score, F.array(*[F.lit(k / bins) for k in range(1, bins)]))).alias("_e"), F.avg(F.col(y).cast("double")).alias("_base"))
-    b = df.join(F.broadcast(edges)).withColumn("bin", F.size(F.filter("_e", lambda e: e < F.col(score))))
+    cuts = dealt.percentiles(df, score, {f"q{k}": k / bins for k in range(1, bins)}, ())
+    edges = cuts.select(F.array_distinct(F.array(*cuts.columns)).alias("_e"))
+    base = df.agg(F.avg(F.col(y).cast("double")).alias("_base"))
+    b = df.join(F.broadcast(edges)).join(F.broadcast(base)).withColumn("bin", F.size(F.filter("_e", lambda e: e < F.col(score))))
     return b.groupBy("bin").agg(F.count("*").alias("n"), F.avg(F.col(y).cast("double")).alias("rate"), F.max("_base").alias("_base")).withColumn("lift", safe("rate", "_base")).drop("_base")
 
 

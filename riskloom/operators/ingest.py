@@ -13,7 +13,7 @@ from riskloom.operators.ranks import first_rows
 
 def keyed(df: DataFrame, bridge: DataFrame, code: str) -> DataFrame:
     """Rows whose code belongs to a key; a key may own several codes."""
-    return df.join(F.broadcast(bridge), code)
+    return df.join(bridge, code)
 
 
 def int_day(col: str) -> Column:

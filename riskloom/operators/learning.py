@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import clip, safe
+from riskloom.operators import dealt
 from riskloom.operators.evaluate import average_precision
 
 SEED = 17
@@ -130,14 +131,14 @@ def ablation(train: DataFrame, val: DataFrame, blocks: Mapping[str, Sequence[str
 def scaled_per_key(df: DataFrame, values: Sequence[str], train: Column, key: str = "country") -> DataFrame:
     """Standardised with each key's training mean and population spread; keys without training rows keep 0."""
     fit = df.where(train).groupBy(key).agg(*[F.avg(v).alias(f"_m_{v}") for v in values], *[F.stddev_pop(v).alias(f"_s_{v}") for v in values])
-    out = df.join(F.broadcast(fit), key, "left")
+    out = df.join(fit, key, "left")
     return out.withColumns({f"{v}_z": safe(F.col(v) - F.col(f"_m_{v}"), f"_s_{v}") for v in values}).select(*df.columns, *[f"{v}_z" for v in values])
 
 
 def normal_days(df: DataFrame, value: str, cases: DataFrame, q: float = 0.75, cut_days: int = 240, key: str = "country", day: str = "day") -> DataFrame:
     """Days with less than the key's quantile; keys with a case end ``cut_days`` before its date."""
-    limit = df.groupBy(key).agg(F.percentile(value, q).alias("_q"))
-    j = df.join(F.broadcast(limit), key).join(F.broadcast(cases.select(key, F.col("case_day").alias("_case"))), key, "left")
+    limit = dealt.percentiles(df, value, {"_q": q}, [key])
+    j = df.join(limit, key).join(cases.select(key, F.col("case_day").alias("_case")), key, "left")
     return j.where((F.col(value) <= F.col("_q")) & (F.col("_case").isNull() | (F.col(day) < F.date_sub("_case", cut_days)))).drop("_q", "_case")
 
 
@@ -155,5 +156,5 @@ def calm_fit(train: DataFrame, val: DataFrame, features: Sequence[str], y: str):
     """A model of calm, and the validation quantile that leaves the observed share of calm days."""
     model = logistic_fit(train, features, y, balanced=False)
     share = val.agg(F.avg(F.col(y).cast("double"))).first()[0] or 0.0
-    cut = apply(model, val).agg(F.percentile("p", max(0.0, min(1.0, 1 - share)))).first()[0]
+    cut = dealt.percentiles(apply(model, val), "p", {"cut": max(0.0, min(1.0, 1 - share))}, ()).first()[0]
     return model, cut

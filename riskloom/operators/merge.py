@@ -9,7 +9,8 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.operators.ranks import first_rows
@@ -17,17 +18,28 @@ from riskloom.session import materialize
 from riskloom.sources import replace_partitions
 
 
+def single(new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``new``; reading it is an error if one of its keys has several rows, since which of them counts would be open.  Dealt by the keys, as the
+    merge needs it anyway.  Rows with a null in their key match nothing and may repeat."""
+    count = "rows of key"  # a name that no table of this library has
+    several = F.col(count) > 1
+    for k in keys:
+        several = several & F.col(k).isNotNull()
+    counted = new.withColumn(count, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    return counted.where(F.when(several, F.raise_error(F.lit("a key of the batch has several rows"))).otherwise(F.lit(True))).drop(count)
+
+
 def inserted(target: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """target and those new rows whose keys it lacks."""
-    return target.unionByName(new.join(target.select(*keys), list(keys), "left_anti"))
+    """target and those new rows whose keys it lacks; a key that repeats in ``new`` is an error."""
+    return target.unionByName(single(new, keys).join(target.select(*keys), list(keys), "left_anti").select(*new.columns))
 
 
 def upserted(target: DataFrame, new: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
     """target with new rows in place of those with their keys; with ``order`` the row with the largest value stays, so that batches
-    may come in any order."""
+    may come in any order and repeat keys, which is an error without it."""
     if order is not None:
         return first_rows(target.unionByName(new), keys, [F.col(order).desc()])
-    return target.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
+    return target.join(new.select(*keys), list(keys), "left_anti").select(*target.columns).unionByName(single(new, keys))
 
 
 def touched(new: DataFrame, partition: str, most: int = 10_000) -> list:
@@ -46,8 +58,8 @@ def merge_into(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[st
         return 0
     try:
         target = spark.read.schema(new.schema).parquet(path).where(F.col(partition).isin(*parts))
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         target = new.where(F.lit(False))
     result = materialize(upserted(target, new, keys, order) if update else inserted(target, new, keys), "merge")

@@ -131,6 +131,6 @@ def count_changes(means: DataFrame, value: str = "n", key: str = "country", day:
 
 def exceedances(daily_cos: DataFrame, limits: DataFrame, widths: Sequence[int] = (1, 7, 30)) -> DataFrame:
     """(country, day, anchor, cos) on a daily grid: days over the threshold in trailing frames; no threshold counts as 0."""
-    j = daily_cos.join(F.broadcast(limits), ["country", "anchor"], "left").withColumn("over", (F.col("cos") > F.coalesce("threshold", F.lit(0.0))).cast("int"))
+    j = daily_cos.join(limits, ["country", "anchor"], "left").withColumn("over", (F.col("cos") > F.coalesce("threshold", F.lit(0.0))).cast("int"))
     return rolled(j, [Roll(f"over_{w}", "over", "sum", w) for w in widths], ("country", "anchor"))
 

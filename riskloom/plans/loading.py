@@ -89,13 +89,15 @@ def snk_02(spark, sf):
     return spark.read.schema("event_id long, run_ts string").parquet(path).groupBy("run_ts").agg(F.count("*").alias("n"))
 
 
-@query("snk_03", "SELECT country, len(list(doc_id))::INT AS n, min(doc_id) AS first FROM art GROUP BY ALL")
+@query("snk_03", "SELECT country, count(DISTINCT day)::INT AS days, count(*) AS n, min(day) AS first, max(doc_id) AS last_doc FROM art GROUP BY ALL")
 def snk_03(spark, sf):
     path = fresh_path(spark, "docs")
-    rows = articles(spark, sf).groupBy("country").agg(F.sort_array(F.collect_list(F.struct("doc_id", "day", "tone"))).alias("history"))
-    rows.write.json(path)
-    back = spark.read.schema("country string, history array<struct<doc_id:long,day:date,tone:double>>").json(path)
-    return back.select("country", F.size("history").alias("n"), F.col("history")[0]["doc_id"].alias("first"))
+    # a history holds days, as many as the calendar has, never all documents of a country
+    daily = articles(spark, sf).groupBy("country", "day").agg(F.count("*").alias("n"), F.max("doc_id").alias("last_doc"))
+    daily.groupBy("country").agg(F.max("last_doc").alias("last_doc"), F.sort_array(F.collect_list(F.struct("day", "n"))).alias("history")).write.json(path)
+    back = spark.read.schema("country string, last_doc long, history array<struct<day:date,n:long>>").json(path)
+    total = F.aggregate("history", F.lit(0).cast("long"), lambda a, h: a + h["n"])
+    return back.select("country", F.size("history").alias("days"), total.alias("n"), F.col("history")[0]["day"].alias("first"), "last_doc")
 
 
 @query("snk_04", "SELECT root, count(*) AS n FROM news GROUP BY ALL")

@@ -17,7 +17,7 @@ def by_file_name(spark: SparkSession, path: str, schema: T.StructType | str, out
 
 def coded_csv(spark: SparkSession, path: str, schema: T.StructType | str, codes: DataFrame, code: str) -> DataFrame:
     """CSV rows whose code is known, with the codes' other columns."""
-    return spark.read.schema(schema).option("header", True).csv(path).join(F.broadcast(codes), code)
+    return spark.read.schema(schema).option("header", True).csv(path).join(codes, code)
 
 
 def harmonised(parts: Sequence[DataFrame]) -> DataFrame:

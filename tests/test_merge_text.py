@@ -3,9 +3,10 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.functions import epoch14
-from riskloom.operators import briefing, evaluate, joins, merge, text
+from riskloom.operators import briefing, daily, evaluate, joins, merge, text
 from riskloom.session import fresh_path
 
 
@@ -29,6 +30,32 @@ def test_merges_twice_change_nothing(spark):
     assert [r[2] for r in read(spark, path, like)] == ["a", "B", "c"]
 
 
+@pytest.mark.parametrize("update", [False, True])
+def test_a_key_that_repeats_in_a_batch_is_an_error_without_an_order(spark, update):
+    path = fresh_path(spark, "m")
+    merge.merge_into(spark, path, rows(spark, (1, 1, "a")), ["id", "day"], "day", update)
+    twice = rows(spark, (2, 1, "b"), (2, 1, "c"))
+    with pytest.raises(Exception, match="several rows"):
+        merge.merge_into(spark, path, twice, ["id", "day"], "day", update)
+    assert [r[2] for r in read(spark, path, twice)] == ["a"]
+    merge.merge_into(spark, path, twice, ["id", "day"], "day", True, order="v")
+    assert [r[2] for r in read(spark, path, twice)] == ["a", "c"]
+
+
+def test_totals_keep_groups_without_country_or_tone(spark):
+    data = [("A", 1, 1.0), ("A", 1, 3.0), (None, 1, 2.0), ("B", 1, None)]
+    a = spark.createDataFrame([(c, dt.date(2024, 1, d), t, "x", "en", "WAR;A") for c, d, t in data], "country string, day date, tone double, domain string, language string, themes string")
+    got = {r.country: (r.n, r.tone_p10, r.war) for r in daily.article_totals(a, {"war": "WAR"}).collect()}
+    assert got == {"A": (2, 1.2, 2), None: (1, 2.0, 1), "B": (1, None, 1)}
+
+
+def test_cautions_once_per_text(spark):
+    data = [("A", 1, 0.9, 0.2, False), ("A", 2, 0.1, 0.3, True), ("B", 3, None, None, None), ("C", 4, 0.5, 0.9, True)]
+    ev = spark.createDataFrame(data, "country string, event_id long, severity double, confidence double, negated boolean").withColumn("summary", F.lit("s"))
+    got = {r.country: (r.n_events, r.cautions) for r in briefing.evidence(ev, ev.select("country").distinct()).collect()}
+    assert got == {"A": (2, ["few sources", "reports are disputed"]), "B": (1, []), "C": (1, ["reports are disputed"])}
+
+
 def test_windows_and_errors(spark):
     today = dt.date(2024, 3, 10)
     assert merge.date_window(dt.date(2024, 3, 1), 3, today) == (dt.date(2024, 2, 27), dt.date(2024, 3, 9))
