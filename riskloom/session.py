@@ -10,10 +10,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: The folder and the tables of the innermost ``scratch``.
+_SCRATCH: ContextVar[tuple[str, list[str]] | None] = ContextVar("scratch", default=None)
 
 
 def build_session(app: str = "riskloom", **conf: str) -> SparkSession:
@@ -45,7 +48,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    scope = _SCRATCH.get()
+    return f"{scope[0] if scope else shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediates that are written inside go when it ends.  For a result that is itself written by then, to a path from outside: a lazy
+    table would still read them."""
+    scope = (fresh_path(spark, "scratch"), [])
+    token = _SCRATCH.set(scope)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for name in scope[1]:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(scope[0])
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 #: Spark removes a query's shuffle files when it ends, not when the driver happens to collect garbage.
@@ -71,8 +91,12 @@ def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
 
     It survives lost executors, unlike cached or locally checkpointed blocks, and what reads it is pruned by column.
     """
+    return written(df, fresh_path(df.sparkSession, label), *partition_by)
+
+
+def written(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
+    """``df``, written to ``path`` and read from there."""
     spark = df.sparkSession
-    path = fresh_path(spark, label)
     with shuffles_removed(spark):
         df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -84,6 +108,9 @@ def bucketed(df: DataFrame, label: str, *keys: str) -> DataFrame:
     name, n = f"{label}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     with shuffles_removed(spark):
         df.repartition(n, *keys).write.bucketBy(n, *keys).option("compression", "zstd").option("path", fresh_path(spark, label)).saveAsTable(name)
+    scope = _SCRATCH.get()
+    if scope:
+        scope[1].append(name)
     return spark.table(name)
 
 
