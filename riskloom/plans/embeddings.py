@@ -40,7 +40,10 @@ def means(spark, sf):
 
 
 def back(width, current=True, key="country"):
-    return f"OVER (PARTITION BY {key} ORDER BY day ROWS BETWEEN {width - 1 if current else width} PRECEDING AND {'CURRENT ROW' if current else '1 PRECEDING'})"
+    return (
+        f"OVER (PARTITION BY {key} ORDER BY day ROWS BETWEEN {width - 1 if current else width} PRECEDING "
+        f"AND {'CURRENT ROW' if current else '1 PRECEDING'})"
+    )
 
 
 # ---- functions ----
@@ -94,7 +97,13 @@ def agg_13(spark, sf):
     return limits(spark, sf).withColumn("threshold", r6("threshold"))
 
 
-DAYLIM = ", dcos AS (SELECT country, day, anchor, " + COS.format(a="mean.mean", b="anc.vec") + " AS cos FROM mean, anc), dlim AS (SELECT country, anchor, quantile_cont(cos, 0.9) AS threshold FROM dcos WHERE day <= DATE '" + TRAIN + "' GROUP BY ALL)"
+DAYLIM = (
+    ", dcos AS (SELECT country, day, anchor, "
+    + COS.format(a="mean.mean", b="anc.vec")
+    + " AS cos FROM mean, anc), dlim AS (SELECT country, anchor, quantile_cont(cos, 0.9) AS threshold FROM dcos WHERE day <= DATE '"
+    + TRAIN
+    + "' GROUP BY ALL)"
+)
 
 
 def day_cos(spark, sf):
@@ -119,23 +128,47 @@ def jn_07(spark, sf):
     return pool(spark, sf).groupBy("country", "anchor").agg(F.count("*").alias("n"), F.sum("over").alias("over"))
 
 
-@query("agg_16", "SELECT country, day, count(*) FILTER (over > 0) AS hot, round(avg(top) FILTER (k <= 3), 6) + 0.0 AS top3, round(least(max(top) FILTER (anchor = 1), max(top) FILTER (anchor = 4)), 6) + 0.0 AS both FROM (SELECT *, row_number() OVER (PARTITION BY country, day ORDER BY top DESC, anchor) AS k FROM pool) GROUP BY ALL", ctes=VEC)
+@query(
+    "agg_16",
+    "SELECT country, day, count(*) FILTER (over > 0) AS hot, round(avg(top) FILTER (k <= 3), 6) + 0.0 AS top3, "
+    "round(least(max(top) FILTER (anchor = 1), max(top) FILTER (anchor = 4)), 6) + 0.0 AS both "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY country, day ORDER BY top DESC, anchor) AS k FROM pool) GROUP BY ALL",
+    ctes=VEC,
+)
 def agg_16(spark, sf):
     return vectors.day_signals(pool(spark, sf), (1, 4)).withColumns({c: r6(c) for c in ("top3", "both")})
 
 
-@query("agg_17", "SELECT country, day, round(avg(f), 6) AS share, sum(f)::BIGINT AS n FROM (SELECT country, day, vec_id, max((cos > threshold)::INT) AS f FROM sims JOIN lim USING (country, anchor) WHERE anchor < 5 GROUP BY ALL) GROUP BY ALL", ctes=VEC)
+@query(
+    "agg_17",
+    "SELECT country, day, round(avg(f), 6) AS share, sum(f)::BIGINT AS n "
+    "FROM (SELECT country, day, vec_id, max((cos > threshold)::INT) AS f FROM sims JOIN lim USING (country, anchor) WHERE anchor < 5 "
+    "GROUP BY ALL) GROUP BY ALL",
+    ctes=VEC,
+)
 def agg_17(spark, sf):
     return vectors.any_share(sims(spark, sf), limits(spark, sf), range(5), "vec_id").withColumn("share", r6("share"))
 
 
-@query("agg_18", "SELECT country, day, " + ", ".join(f"round(coalesce(max({m}) FILTER (anchor = {a}), 0), 6)::DOUBLE + 0.0 AS a{a}_{m}" for a in range(3) for m in ("top", "p95", "p99", "over")) + " FROM pool GROUP BY ALL", ctes=VEC)
+@query(
+    "agg_18",
+    "SELECT country, day, "
+    + ", ".join(f"round(coalesce(max({m}) FILTER (anchor = {a}), 0), 6)::DOUBLE + 0.0 AS a{a}_{m}" for a in range(3) for m in ("top", "p95", "p99", "over"))
+    + " FROM pool GROUP BY ALL",
+    ctes=VEC,
+)
 def agg_18(spark, sf):
     df = vectors.wide(pool(spark, sf), range(3), ["top", "p95", "p99", "over"])
     return df.select("country", "day", *[r6(c).alias(c) for c in df.columns[2:]])
 
 
-@query("win_25", "SELECT country, day, anchor, sum(over) OVER w::BIGINT AS over_7, round(max(top) OVER w, 6) + 0.0 AS top_7, round(avg(p95) OVER w, 6) + 0.0 AS p95_7 FROM pool WINDOW w AS (PARTITION BY country, anchor ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)", ctes=VEC)
+@query(
+    "win_25",
+    "SELECT country, day, anchor, sum(over) OVER w::BIGINT AS over_7, round(max(top) OVER w, 6) + 0.0 AS top_7, "
+    "round(avg(p95) OVER w, 6) + 0.0 AS p95_7 FROM pool WINDOW w AS (PARTITION BY country, "
+    "anchor ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)",
+    ctes=VEC,
+)
 def win_25(spark, sf):
     specs = [Roll("over_7", "over", "sum", 7, by="days"), Roll("top_7", "top", "max", 7, by="days"), Roll("p95_7", "p95", "avg", 7, by="days")]
     return rolled(pool(spark, sf), specs, ("country", "anchor")).select("country", "day", "anchor", "over_7", r6("top_7").alias("top_7"), r6("p95_7").alias("p95_7"))
@@ -144,7 +177,12 @@ def win_25(spark, sf):
 DELTA = ", ".join(f"round(coalesce({NORM.format(a=f'list_transform(list_zip(mean, o{k}), lambda z: z[1] - z[2])')}, 0), 6) + 0.0 AS l2_{k}, round(coalesce(1 - {COS.format(a='mean', b=f'o{k}')}, 0), 6) + 0.0 AS cos_{k}" for k in (3, 7))
 
 
-@query("win_26", f"SELECT country, day, {DELTA} FROM (SELECT *, lag(mean, 3) OVER w AS o3, lag(mean, 7) OVER w AS o7 FROM mean WINDOW w AS (PARTITION BY country ORDER BY day))", ctes=VEC)
+@query(
+    "win_26",
+    f"SELECT country, day, {DELTA} FROM (SELECT *, lag(mean, 3) OVER w AS o3, lag(mean, 7) OVER w AS o7 "
+    f"FROM mean WINDOW w AS (PARTITION BY country ORDER BY day))",
+    ctes=VEC,
+)
 def win_26(spark, sf):
     df = vectors.deltas(means(spark, sf))
     return df.select("country", "day", *[r6(f"{m}_{k}").alias(f"{m}_{k}") for k in (3, 7) for m in ("l2", "cos")])
@@ -153,13 +191,26 @@ def win_26(spark, sf):
 NN = ", nn AS (SELECT country, day, n + day(day) % 4 AS n FROM mean)"
 
 
-@query("win_27", f"SELECT country, day, coalesce(n - lag(n, 3) OVER w, 0) AS d3, coalesce(n - lag(n, 7) OVER w, 0) AS d7, max(n) {back(7)} AS top7, round((n - coalesce(CASE WHEN count(n) {back(30)} >= 5 THEN avg(n) {back(30)} END, n)) / greatest(coalesce(CASE WHEN count(n) {back(30)} >= 5 THEN stddev_samp(n) {back(30)} END, 1), 1e-3), 6) + 0.0 AS z30 FROM nn WINDOW w AS (PARTITION BY country ORDER BY day)", ctes=VEC + NN)
+@query(
+    "win_27",
+    f"SELECT country, day, coalesce(n - lag(n, 3) OVER w, 0) AS d3, coalesce(n - lag(n, 7) OVER w, 0) AS d7, max(n) {back(7)} AS top7, "
+    f"round((n - coalesce(CASE WHEN count(n) {back(30)} >= 5 THEN avg(n) {back(30)} END, "
+    f"n)) / greatest(coalesce(CASE WHEN count(n) {back(30)} >= 5 THEN stddev_samp(n) {back(30)} END, 1), 1e-3), 6) + 0.0 AS z30 "
+    f"FROM nn WINDOW w AS (PARTITION BY country ORDER BY day)",
+    ctes=VEC + NN,
+)
 def win_27(spark, sf):
     df = means(spark, sf).withColumn("n", F.col("n") + F.dayofmonth("day") % 4)
     return vectors.count_changes(df).select("country", "day", "d3", "d7", "top7", r6("z30").alias("z30"))
 
 
-TRAIL = ", tr AS (SELECT country, day, i, avg(m) " + back(5, key="country, i") + " AS incl, avg(m) " + back(5, False, "country, i") + " AS excl FROM mx)"
+TRAIL = (
+    ", tr AS (SELECT country, day, i, avg(m) "
+    + back(5, key="country, i")
+    + " AS incl, avg(m) "
+    + back(5, False, "country, i")
+    + " AS excl FROM mx)"
+)
 
 
 @query("win_28", "SELECT country, day, round(sum(incl), 5) + 0.0 AS incl, round(sum(excl), 5) + 0.0 AS excl FROM tr GROUP BY ALL", ctes=VEC + TRAIL)
@@ -169,15 +220,40 @@ def win_28(spark, sf):
     return df.select("country", "day", total("a").alias("incl"), total("b").alias("excl"))
 
 
-DEV = ", pv AS (SELECT country, day, list(past ORDER BY i) AS past, list(m ORDER BY i) AS mean FROM (SELECT country, day, i, m, CASE WHEN count(m) " + back(30, False, "country, i") + " >= 5 THEN avg(m) " + back(30, False, "country, i") + " END AS past FROM mx) GROUP BY ALL), dv AS (SELECT country, day, CASE WHEN past[1] IS NULL THEN 0 ELSE " + NORM.format(a="list_transform(list_zip(mean, past), lambda z: z[1] - z[2])") + " END AS dev_l2, CASE WHEN past[1] IS NULL THEN 0 ELSE 1 - " + COS.format(a="mean", b="past") + " END AS dev_cos FROM pv)"
+DEV = (
+    (
+        ", pv AS (SELECT country, day, list(past ORDER BY i) AS past, list(m ORDER BY i) AS mean "
+        "FROM (SELECT country, day, i, m, CASE WHEN count(m) "
+    )
+    + back(30, False, "country, i")
+    + " >= 5 THEN avg(m) "
+    + back(30, False, "country, i")
+    + " END AS past FROM mx) GROUP BY ALL), dv AS (SELECT country, day, CASE WHEN past[1] IS NULL THEN 0 ELSE "
+    + NORM.format(a="list_transform(list_zip(mean, past), lambda z: z[1] - z[2])")
+    + " END AS dev_l2, CASE WHEN past[1] IS NULL THEN 0 ELSE 1 - "
+    + COS.format(a="mean", b="past")
+    + " END AS dev_cos FROM pv)"
+)
 
 
-@query("win_29", f"SELECT country, day, round(dev_l2, 6) AS dev_l2, round(dev_cos, 6) + 0.0 AS dev_cos, round(avg(dev_l2) {back(7)}, 6) AS dev_7, round(avg(dev_l2) {back(7)} / (avg(dev_l2) {back(30)} + 1e-6), 6) AS dev_accel FROM dv", ctes=VEC + DEV)
+@query(
+    "win_29",
+    f"SELECT country, day, round(dev_l2, 6) AS dev_l2, round(dev_cos, 6) + 0.0 AS dev_cos, round(avg(dev_l2) {back(7)}, 6) AS dev_7, "
+    f"round(avg(dev_l2) {back(7)} / (avg(dev_l2) {back(30)} + 1e-6), 6) AS dev_accel FROM dv",
+    ctes=VEC + DEV,
+)
 def win_29(spark, sf):
     return vectors.deviations(means(spark, sf)).select("country", "day", *[r6(c).alias(c) for c in ("dev_l2", "dev_cos", "dev_7", "dev_accel")])
 
 
-CGRID = DAYLIM + ", cg AS (SELECT country, anchor, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM dcos GROUP BY country, anchor), cd AS (SELECT country, day, anchor, coalesce(cos, 0) AS cos FROM cg LEFT JOIN dcos USING (country, day, anchor))"
+CGRID = (
+    DAYLIM
+    + (
+        ", cg AS (SELECT country, anchor, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM dcos "
+        "GROUP BY country, anchor), cd AS (SELECT country, day, anchor, coalesce(cos, 0) AS cos FROM cg LEFT "
+        "JOIN dcos USING (country, day, anchor))"
+    )
+)
 
 
 def cos_grid(spark, sf):
@@ -188,7 +264,13 @@ def cos_grid(spark, sf):
 KA = "country, anchor"
 
 
-@query("win_30", f"SELECT country, day, anchor, round(avg(cos) {back(7, key=KA)}, 6) + 0.0 AS mean_7, round(avg(cos) {back(30, key=KA)}, 6) + 0.0 AS mean_30, round(coalesce(stddev_samp(cos) {back(7, key=KA)}, 0), 6) + 0.0 AS std_7 FROM cd", ctes=VEC + CGRID)
+@query(
+    "win_30",
+    f"SELECT country, day, anchor, round(avg(cos) {back(7, key=KA)}, 6) + 0.0 AS mean_7, "
+    f"round(avg(cos) {back(30, key=KA)}, 6) + 0.0 AS mean_30, round(coalesce(stddev_samp(cos) {back(7, key=KA)}, 0), 6) + 0.0 AS std_7 "
+    f"FROM cd",
+    ctes=VEC + CGRID,
+)
 def win_30(spark, sf):
     specs = [Roll("mean_7", "cos", "avg", 7), Roll("mean_30", "cos", "avg", 30), Roll("std_7", "cos", "std", 7, fill=0.0)]
     return rolled(cos_grid(spark, sf), specs, ("country", "anchor")).select("country", "day", "anchor", *[r6(s.out).alias(s.out) for s in specs])
@@ -197,20 +279,37 @@ def win_30(spark, sf):
 RISK = CGRID + ", rk AS (SELECT country, day, avg(cos) AS risk FROM cd WHERE anchor < 5 GROUP BY ALL)"
 
 
-@query("win_31", f"SELECT country, day, round(risk, 6) + 0.0 AS risk, round(avg(risk) {back(7)}, 6) + 0.0 AS mean_7, round(max(risk) {back(7)}, 6) + 0.0 AS max_7, round(avg(risk) {back(30)}, 6) + 0.0 AS mean_30 FROM rk", ctes=VEC + RISK)
+@query(
+    "win_31",
+    f"SELECT country, day, round(risk, 6) + 0.0 AS risk, round(avg(risk) {back(7)}, 6) + 0.0 AS mean_7, "
+    f"round(max(risk) {back(7)}, 6) + 0.0 AS max_7, round(avg(risk) {back(30)}, 6) + 0.0 AS mean_30 FROM rk",
+    ctes=VEC + RISK,
+)
 def win_31(spark, sf):
     df = cos_grid(spark, sf).where("anchor < 5").groupBy("country", "day").agg(F.avg("cos").alias("risk"))
     df = rolled(df, [Roll("mean_7", "risk", "avg", 7), Roll("max_7", "risk", "max", 7), Roll("mean_30", "risk", "avg", 30)])
     return df.select("country", "day", *[r6(c).alias(c) for c in ("risk", "mean_7", "max_7", "mean_30")])
 
 
-@query("win_32", f"SELECT country, day, anchor, f AS over_1, sum(f) {back(7, key=KA)}::BIGINT AS over_7, sum(f) {back(30, key=KA)}::BIGINT AS over_30 FROM (SELECT country, day, anchor, (cos > coalesce(threshold, 0))::INT AS f FROM cd LEFT JOIN dlim USING (country, anchor))", ctes=VEC + CGRID)
+@query(
+    "win_32",
+    f"SELECT country, day, anchor, f AS over_1, sum(f) {back(7, key=KA)}::BIGINT AS over_7, sum(f) {back(30, key=KA)}::BIGINT AS over_30 "
+    f"FROM (SELECT country, day, anchor, (cos > coalesce(threshold, 0))::INT AS f FROM cd LEFT JOIN dlim USING (country, anchor))",
+    ctes=VEC + CGRID,
+)
 def win_32(spark, sf):
     d = vectors.exceedances(cos_grid(spark, sf), vectors.thresholds(day_cos(spark, sf).where(f"day <= '{TRAIN}'")))
     return d.select("country", "day", "anchor", F.col("over_1").cast("int").alias("over_1"), "over_7", "over_30")
 
 
-SIG = ", sg AS (SELECT country, day, i, (country IN ('NATION_0', 'NATION_1'))::INT AS y, avg(m) " + back(14, key="country, i") + " AS t FROM mx), cent AS (SELECT i, avg(t) FILTER (y = 1) AS pos, avg(t) FILTER (y = 0) AS neg FROM sg GROUP BY i), dir AS (SELECT i, (pos - neg) / (sqrt(sum((pos - neg) * (pos - neg)) OVER ()) + 1e-12) AS d FROM cent)"
+SIG = (
+    ", sg AS (SELECT country, day, i, (country IN ('NATION_0', 'NATION_1'))::INT AS y, avg(m) "
+    + back(14, key="country, i")
+    + (
+        " AS t FROM mx), cent AS (SELECT i, avg(t) FILTER (y = 1) AS pos, avg(t) FILTER (y = 0) AS neg FROM sg GROUP BY i), "
+        "dir AS (SELECT i, (pos - neg) / (sqrt(sum((pos - neg) * (pos - neg)) OVER ()) + 1e-12) AS d FROM cent)"
+    )
+)
 
 
 def sig(spark, sf):
@@ -222,13 +321,23 @@ def agg_20(spark, sf):
     return sig(spark, sf).select(F.posexplode("direction").alias("i", "x")).withColumn("x", r6("x"))
 
 
-@query("win_33", f"SELECT country, day, round(proj, 6) + 0.0 AS proj, round(avg(proj) {back(7)} / (abs(avg(proj) {back(30)}) + 1e-6), 4) + 0.0 AS proj_accel FROM (SELECT country, day, sum(m * d) AS proj FROM mx JOIN dir USING (i) GROUP BY ALL)", ctes=VEC + SIG)
+@query(
+    "win_33",
+    f"SELECT country, day, round(proj, 6) + 0.0 AS proj, round(avg(proj) {back(7)} / (abs(avg(proj) {back(30)}) + 1e-6), "
+    f"4) + 0.0 AS proj_accel FROM (SELECT country, day, sum(m * d) AS proj FROM mx JOIN dir USING (i) GROUP BY ALL)",
+    ctes=VEC + SIG,
+)
 def win_33(spark, sf):
     df = vectors.projected(means(spark, sf), sig(spark, sf))
     return df.select("country", "day", r6("proj").alias("proj"), (F.round("proj_accel", 4) + F.lit(0.0)).alias("proj_accel"))
 
 
-@query("jn_03", "SELECT country, day, coalesce(n, 0) AS n, coalesce(a, 0) AS a, (n IS NULL)::INT AS missing FROM (SELECT country, day, n FROM mean WHERE day < DATE '2024-02-01') FULL JOIN (SELECT country, day, count(*) AS a FROM art GROUP BY ALL) USING (country, day)", ctes=VEC)
+@query(
+    "jn_03",
+    "SELECT country, day, coalesce(n, 0) AS n, coalesce(a, 0) AS a, (n IS NULL)::INT AS missing FROM (SELECT country, day, n FROM mean "
+    "WHERE day < DATE '2024-02-01') FULL JOIN (SELECT country, day, count(*) AS a FROM art GROUP BY ALL) USING (country, day)",
+    ctes=VEC,
+)
 def jn_03(spark, sf):
     a = means(spark, sf).select("country", "day", "n").where("day < '2024-02-01'")
     b = articles(spark, sf).groupBy("country", "day").agg(F.count("*").alias("a"))

@@ -21,7 +21,11 @@ def src_01(spark, sf):
     return by_file_name(spark, f"{sf}/part.parquet", t.schema, "stem").groupBy("stem").agg(F.count("*").alias("n"), F.round(F.sum("p_retailprice"), 2).alias("total"))
 
 
-@query("src_02", f"SELECT zone, count(*) AS n, round(sum(amount), 2) AS amount FROM ord JOIN {BRIDGE} ON b.status = ord.status WHERE ord.status <> 'P' GROUP BY ALL")
+@query(
+    "src_02",
+    f"SELECT zone, count(*) AS n, round(sum(amount), 2) AS amount FROM ord JOIN {BRIDGE} ON b.status = ord.status WHERE ord.status <> 'P' "
+    f"GROUP BY ALL",
+)
 def src_02(spark, sf):
     path = fresh_path(spark, "csv")
     orders(spark, sf).select("order_id", "status", "amount").write.option("header", True).csv(path)
@@ -29,7 +33,11 @@ def src_02(spark, sf):
     return coded_csv(spark, path, "order_id long, status string, amount double", codes, "status").groupBy("zone").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("amount"))
 
 
-@query("src_03", "SELECT event_id, CAST(klass AS VARCHAR) AS klass, 0 AS src_priority FROM news WHERE day < DATE '2024-01-15' UNION ALL SELECT event_id, root AS klass, 1 AS src_priority FROM news WHERE day >= DATE '2024-01-10'")
+@query(
+    "src_03",
+    "SELECT event_id, CAST(klass AS VARCHAR) AS klass, 0 AS src_priority FROM news WHERE day < DATE '2024-01-15' UNION ALL "
+    "SELECT event_id, root AS klass, 1 AS src_priority FROM news WHERE day >= DATE '2024-01-10'",
+)
 def src_03(spark, sf):
     n = news(spark, sf)
     return harmonised([n.where("day < '2024-01-15'").select("event_id", "klass"), n.where("day >= '2024-01-10'").select("event_id", F.col("root").alias("klass"))])
@@ -122,7 +130,12 @@ def ing_02(spark, sf):
     return raw.select("order_id", ingest.int_day("sqldate").alias("day"))
 
 
-RAW = "raw AS (SELECT page_id, '1#A#N' || (page_id % 4) || '#x;2#B#N' || (page_id % 3) || '#y;1#C#Z9#z' AS locations, '<PAGE_TITLE> ' || CASE WHEN page_id % 5 = 0 THEN '' ELSE url END || ' </PAGE_TITLE>' AS extras, CASE WHEN page_id % 3 = 0 THEN 'eng:x' ELSE 'srclc:DEU;eng:y' END AS info, CASE WHEN page_id % 7 = 0 THEN 'bad' ELSE (page_id % 11 - 5.5)::VARCHAR || ',1,2' END AS tone FROM pages)"
+RAW = (
+    "raw AS (SELECT page_id, '1#A#N' || (page_id % 4) || '#x;2#B#N' || (page_id % 3) || '#y;1#C#Z9#z' AS locations, "
+    "'<PAGE_TITLE> ' || CASE WHEN page_id % 5 = 0 THEN '' ELSE url END || ' </PAGE_TITLE>' AS extras, "
+    "CASE WHEN page_id % 3 = 0 THEN 'eng:x' ELSE 'srclc:DEU;eng:y' END AS info, "
+    "CASE WHEN page_id % 7 = 0 THEN 'bad' ELSE (page_id % 11 - 5.5)::VARCHAR || ',1,2' END AS tone FROM pages)"
+)
 
 
 def raw_articles(spark, sf):
@@ -136,7 +149,10 @@ def raw_articles(spark, sf):
 
 
 CODES = ["N0", "N1", "N2"]
-ING_03 = "SELECT DISTINCT page_id, code FROM (SELECT page_id, split_part(unnest(string_split(locations, ';')), '#', 3) AS code FROM raw) WHERE code IN ('N0', 'N1', 'N2')"
+ING_03 = (
+    "SELECT DISTINCT page_id, code FROM (SELECT page_id, split_part(unnest(string_split(locations, ';')), '#', 3) AS code FROM raw) "
+    "WHERE code IN ('N0', 'N1', 'N2')"
+)
 
 
 @query("ing_03", ING_03, ctes=RAW)
@@ -182,17 +198,29 @@ def doubled(spark, sf):
     return n.withColumn("src", F.lit(0)).unionByName(n.where("event_id % 10 = 0").withColumns({"value": F.col("value") + 1, "src": F.lit(1)}))
 
 
-@query("ing_10", "SELECT event_id, round(value, 6) AS value FROM dup QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY src) = 1", ctes=DOUBLED)
+@query(
+    "ing_10",
+    "SELECT event_id, round(value, 6) AS value FROM dup QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY src) = 1",
+    ctes=DOUBLED,
+)
 def ing_10(spark, sf):
     return ingest.first_seen(doubled(spark, sf), ["event_id"], "src").select("event_id", r6("value").alias("value"))
 
 
-@query("ing_11", "SELECT event_id, round(value, 6) AS value FROM dup QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY src DESC) = 1", ctes=DOUBLED)
+@query(
+    "ing_11",
+    "SELECT event_id, round(value, 6) AS value FROM dup QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY src DESC) = 1",
+    ctes=DOUBLED,
+)
 def ing_11(spark, sf):
     return ingest.last_seen(doubled(spark, sf), ["event_id"], "src").select("event_id", r6("value").alias("value"))
 
 
-@query("ing_12", "SELECT day, round(v, 4) AS v FROM (SELECT day, avg(amount) AS v, 0 AS src FROM ord GROUP BY day UNION ALL SELECT day, max(amount), 1 FROM ord WHERE month(day) = 6 GROUP BY day) QUALIFY row_number() OVER (PARTITION BY day ORDER BY src DESC) = 1")
+@query(
+    "ing_12",
+    "SELECT day, round(v, 4) AS v FROM (SELECT day, avg(amount) AS v, 0 AS src FROM ord GROUP BY day UNION ALL SELECT day, max(amount), 1 "
+    "FROM ord WHERE month(day) = 6 GROUP BY day) QUALIFY row_number() OVER (PARTITION BY day ORDER BY src DESC) = 1",
+)
 def ing_12(spark, sf):
     o = orders(spark, sf)
     old = o.groupBy("day").agg(F.avg("amount").alias("v"), F.lit(0).alias("src"))
@@ -200,30 +228,51 @@ def ing_12(spark, sf):
     return ingest.last_seen(old.unionByName(new), ["day"], "src").select("day", F.round("v", 4).alias("v"))
 
 
-@query("ing_13", "SELECT event_id, greatest(coalesce(CASE WHEN event_id % 6 = 0 THEN NULL WHEN event_id % 4 = 0 THEN -3 ELSE fatalities END, 0), 0) AS deaths FROM news")
+@query(
+    "ing_13",
+    "SELECT event_id, greatest(coalesce(CASE WHEN event_id % 6 = 0 THEN NULL WHEN event_id % 4 = 0 THEN -3 ELSE fatalities END, 0), "
+    "0) AS deaths FROM news",
+)
 def ing_13(spark, sf):
     raw = F.when(F.col("event_id") % 6 == 0, F.lit("n/a")).when(F.col("event_id") % 4 == 0, F.lit("-3")).otherwise(F.col("fatalities").cast("string"))
     return news(spark, sf).withColumn("raw", raw).select("event_id", ingest.whole_number("raw").alias("deaths"))
 
 
-@query("ing_14", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 7 ELSE CASE root WHEN 'view' THEN 1 WHEN 'click' THEN 3 ELSE 0 END END AS code FROM news")
+@query(
+    "ing_14",
+    "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 7 ELSE CASE root WHEN 'view' THEN 1 WHEN 'click' THEN 3 ELSE 0 END END AS code "
+    "FROM news",
+)
 def ing_14(spark, sf):
     raw = F.when(F.col("event_id") % 5 == 0, F.lit("7")).otherwise(F.initcap("root"))
     return news(spark, sf).withColumn("raw", raw).select("event_id", ingest.coded("raw", {"view": 1, "click": 3}).alias("code"))
 
 
-@query("ing_15", "SELECT event_id, CASE WHEN intensity BETWEEN -4 AND 4 THEN round(intensity, 6) END AS intensity, CASE WHEN klass IN (1, 2, 3) THEN klass END AS klass FROM news")
+@query(
+    "ing_15",
+    "SELECT event_id, CASE WHEN intensity BETWEEN -4 AND 4 THEN round(intensity, 6) END AS intensity, "
+    "CASE WHEN klass IN (1, 2, 3) THEN klass END AS klass FROM news",
+)
 def ing_15(spark, sf):
     return news(spark, sf).select("event_id", F.round(ingest.in_range("intensity", -4, 4), 6).alias("intensity"), ingest.in_range("klass", members=[1, 2, 3]).alias("klass"))
 
 
-@query("ing_16", "SELECT country, day, klass, cnt, -(b + unnest(range(1, cnt + 1)))::BIGINT AS event_no FROM (SELECT *, coalesce(sum(cnt) OVER (PARTITION BY country ORDER BY day, klass ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b FROM (SELECT country, day, klass, count(*)::INT AS cnt FROM news WHERE klass IN (3, 4) GROUP BY ALL))")
+@query(
+    "ing_16",
+    "SELECT country, day, klass, cnt, -(b + unnest(range(1, cnt + 1)))::BIGINT AS event_no "
+    "FROM (SELECT *, coalesce(sum(cnt) OVER (PARTITION BY country ORDER BY day, klass ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), "
+    "0)::BIGINT AS b FROM (SELECT country, day, klass, count(*)::INT AS cnt FROM news WHERE klass IN (3, 4) GROUP BY ALL))",
+)
 def ing_16(spark, sf):
     per = news(spark, sf).groupBy("country", "day").agg(*[F.count_if(F.col("klass") == k).alias(f"c{k}") for k in (3, 4)])
     return ingest.synthetic(per, {3: "c3", 4: "c4"}, ["country", "day"])
 
 
-@query("ing_17", "SELECT event_id, day, round(value + CASE WHEN day BETWEEN DATE '2024-01-10' AND DATE '2024-01-15' THEN 1 ELSE 0 END, 6) AS value FROM news")
+@query(
+    "ing_17",
+    "SELECT event_id, day, round(value + CASE WHEN day BETWEEN DATE '2024-01-10' AND DATE '2024-01-15' THEN 1 ELSE 0 END, 6) AS value "
+    "FROM news",
+)
 def ing_17(spark, sf):
     old = news(spark, sf).select("event_id", "day", "value")
     return ingest.replaced_period(old, old.withColumn("value", F.col("value") + 1), "2024-01-10", "2024-01-15").withColumn("value", r6("value"))
@@ -235,11 +284,20 @@ def markets(spark, sf):
     return ingest.wide_markets(long, [f"m{k}" for k in range(1, 6)])
 
 
-MARKETS = "mk AS (SELECT day, " + ", ".join(f"round(avg(amount) FILTER (substr(priority, 1, 1) = '{k}'), 4) AS m{k}" for k in range(1, 6)) + " FROM ord GROUP BY day)"
+MARKETS = (
+    "mk AS (SELECT day, "
+    + ", ".join(f"round(avg(amount) FILTER (substr(priority, 1, 1) = '{k}'), 4) AS m{k}" for k in range(1, 6))
+    + " FROM ord GROUP BY day)"
+)
 query("ing_18", "SELECT * FROM mk", ctes=MARKETS)(markets)
 
 
-@query("ing_19", "SELECT day, a.m1, b.m2 FROM (SELECT day, m1 FROM mk WHERE day < DATE '2000-01-01') a FULL JOIN (SELECT day, m2 FROM mk WHERE day >= DATE '1997-01-01') b USING (day) WHERE day BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'", ctes=MARKETS)
+@query(
+    "ing_19",
+    "SELECT day, a.m1, b.m2 FROM (SELECT day, m1 FROM mk WHERE day < DATE '2000-01-01') a FULL JOIN (SELECT day, m2 FROM mk "
+    "WHERE day >= DATE '1997-01-01') b USING (day) WHERE day BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'",
+    ctes=MARKETS,
+)
 def ing_19(spark, sf):
     m = materialize(markets(spark, sf), "markets")
     a, b = m.where("day < '2000-01-01'").select("day", "m1"), m.where("day >= '1997-01-01'").select("day", "m2")
@@ -248,24 +306,50 @@ def ing_19(spark, sf):
 
 FF = "last_value({c} IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 BF = "first_value({c} IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
-PCT = MARKETS + ", mf AS (SELECT day, m1, m2, " + ", ".join(f"{FF.format(c=c)} AS f_{c}" for c in ("m1", "m2")) + " FROM mk), mc AS (SELECT day, " + ", ".join(f"(f_{c} / nullif(lag(f_{c}) OVER (ORDER BY day), 0) - 1) * 100 AS {c}_pct" for c in ("m1", "m2")) + " FROM mf)"
-
-
-@query("ing_20", "SELECT day, round(m1_pct, 6) + 0.0 AS m1_pct, round(m2_pct, 6) + 0.0 AS m2_pct, round(sqrt(abs(m1_pct) * abs(m2_pct)), 6) AS volatility FROM mc", ctes=PCT)
+PCT = (
+    MARKETS
+    + ", mf AS (SELECT day, m1, m2, "
+    + ", ".join(f"{FF.format(c=c)} AS f_{c}" for c in ("m1", "m2"))
+    + " FROM mk), mc AS (SELECT day, "
+    + ", ".join(f"(f_{c} / nullif(lag(f_{c}) OVER (ORDER BY day), 0) - 1) * 100 AS {c}_pct" for c in ("m1", "m2"))
+    + " FROM mf)"
+)
+
+
+@query(
+    "ing_20",
+    "SELECT day, round(m1_pct, 6) + 0.0 AS m1_pct, round(m2_pct, 6) + 0.0 AS m2_pct, "
+    "round(sqrt(abs(m1_pct) * abs(m2_pct)), 6) AS volatility FROM mc",
+    ctes=PCT,
+)
 def ing_20(spark, sf):
     df = ingest.market_changes(markets(spark, sf), ["m1", "m2"], proxy=("m1", "m2"))
     return df.select("day", *[r6(c).alias(c) for c in ("m1_pct", "m2_pct", "volatility")])
 
 
-CAL = MARKETS + ", cal AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM mk), mr AS (SELECT * FROM cal LEFT JOIN mk USING (day))"
+CAL = (
+    MARKETS
+    + (
+        ", cal AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM mk), "
+        "mr AS (SELECT * FROM cal LEFT JOIN mk USING (day))"
+    )
+)
 
 
-@query("ing_21", "SELECT day, " + ", ".join(f"coalesce({FF.format(c=c)}, {BF.format(c=c)}) AS {c}" for c in ("m1", "m2", "m3", "m4", "m5")) + " FROM mr", ctes=CAL)
+@query(
+    "ing_21",
+    "SELECT day, " + ", ".join(f"coalesce({FF.format(c=c)}, {BF.format(c=c)}) AS {c}" for c in ("m1", "m2", "m3", "m4", "m5")) + " FROM mr",
+    ctes=CAL,
+)
 def ing_21(spark, sf):
     return grid.reindexed(markets(spark, sf), [f"m{k}" for k in range(1, 6)])
 
 
-@query("ing_22", "SELECT day, " + ", ".join(f"coalesce({BF.format(c=c)}, {FF.format(c=c)}) AS {c}" for c in ("m1", "m2", "m3", "m4", "m5")) + " FROM mr", ctes=CAL)
+@query(
+    "ing_22",
+    "SELECT day, " + ", ".join(f"coalesce({BF.format(c=c)}, {FF.format(c=c)}) AS {c}" for c in ("m1", "m2", "m3", "m4", "m5")) + " FROM mr",
+    ctes=CAL,
+)
 def ing_22(spark, sf):
     return grid.reindexed(markets(spark, sf), [f"m{k}" for k in range(1, 6)], back_first=True)
 
@@ -273,7 +357,13 @@ def ing_22(spark, sf):
 WIN08 = CAL + ", m8 AS (SELECT day, " + f"coalesce({FF.format(c='m1')}, {BF.format(c='m1')}) AS m1 FROM mr)"
 
 
-@query("win_08", "SELECT day, lag(m1, 1) OVER (ORDER BY day) AS m1_lag1, round((lag(m1, 1) OVER (ORDER BY day) / lag(m1, 2) OVER (ORDER BY day) - 1) * 100, 6) + 0.0 AS m1_chg1, round((lag(m1, 1) OVER (ORDER BY day) / lag(m1, 8) OVER (ORDER BY day) - 1) * 100, 6) + 0.0 AS m1_chg7 FROM m8", ctes=WIN08)
+@query(
+    "win_08",
+    "SELECT day, lag(m1, 1) OVER (ORDER BY day) AS m1_lag1, round((lag(m1, 1) OVER (ORDER BY day) / lag(m1, "
+    "2) OVER (ORDER BY day) - 1) * 100, 6) + 0.0 AS m1_chg1, round((lag(m1, 1) OVER (ORDER BY day) / lag(m1, "
+    "8) OVER (ORDER BY day) - 1) * 100, 6) + 0.0 AS m1_chg7 FROM m8",
+    ctes=WIN08,
+)
 def win_08(spark, sf):
     from riskloom.operators.windows import changes
 
@@ -281,16 +371,29 @@ def win_08(spark, sf):
     return changes(df, "m1", ["_one"]).select("day", "m1_lag1", r6("m1_chg1").alias("m1_chg1"), r6("m1_chg7").alias("m1_chg7"))
 
 
-@query("jn_04", "SELECT country, day, n, m1 FROM op LEFT JOIN mk USING (day)", ctes="og AS (SELECT country, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM ord GROUP BY country), op AS (SELECT country, day, coalesce(n, 0) AS n FROM og LEFT JOIN (SELECT country, day, count(*) AS n FROM ord GROUP BY ALL) USING (country, day)), " + MARKETS)
+@query(
+    "jn_04",
+    "SELECT country, day, n, m1 FROM op LEFT JOIN mk USING (day)",
+    ctes="og AS (SELECT country, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM ord GROUP BY country), op AS (SELECT country, day, coalesce(n, 0) AS n FROM og LEFT JOIN (SELECT country, day, count(*) AS n FROM ord GROUP BY ALL) USING (country, day)), " + MARKETS,
+)
 def jn_04(spark, sf):
     return order_panel(spark, sf).select("country", "day", "n").join(F.broadcast(markets(spark, sf).select("day", "m1")), "day", "left").select("country", "day", "n", "m1")
 
 
 # ---- merges ----
 
-MERGED = "t AS (SELECT event_id, day, value FROM news WHERE event_id % 3 <> 0), s AS (SELECT event_id, day, value + 1 AS value FROM news WHERE event_id % 3 = 0 OR event_id % 10 = 0)"
-INSERTED = "SELECT event_id, day, round(value, 6) AS value FROM (SELECT * FROM t UNION ALL SELECT * FROM s WHERE event_id NOT IN (SELECT event_id FROM t))"
-UPSERTED = "SELECT event_id, day, round(value, 6) AS value FROM (SELECT * FROM s UNION ALL SELECT * FROM t WHERE event_id NOT IN (SELECT event_id FROM s))"
+MERGED = (
+    "t AS (SELECT event_id, day, value FROM news WHERE event_id % 3 <> 0), "
+    "s AS (SELECT event_id, day, value + 1 AS value FROM news WHERE event_id % 3 = 0 OR event_id % 10 = 0)"
+)
+INSERTED = (
+    "SELECT event_id, day, round(value, 6) AS value FROM (SELECT * FROM t UNION ALL SELECT * FROM s "
+    "WHERE event_id NOT IN (SELECT event_id FROM t))"
+)
+UPSERTED = (
+    "SELECT event_id, day, round(value, 6) AS value FROM (SELECT * FROM s UNION ALL SELECT * FROM t "
+    "WHERE event_id NOT IN (SELECT event_id FROM s))"
+)
 
 
 def batches(spark, sf):
@@ -327,35 +430,61 @@ def mrg_03(spark, sf):
     return spark.range(1).select(F.lit(n).alias("partitions"))
 
 
-@query("mrg_04", "SELECT event_id, country, round(value + CASE WHEN month(day) = 1 AND country IN ('NATION_1', 'NATION_2') THEN 1 ELSE 0 END, 6) AS value FROM news")
+@query(
+    "mrg_04",
+    "SELECT event_id, country, round(value + CASE WHEN month(day) = 1 AND country IN ('NATION_1', 'NATION_2') THEN 1 ELSE 0 END, "
+    "6) AS value FROM news",
+)
 def mrg_04(spark, sf):
     old = news(spark, sf).select("event_id", "country", "day", "value")
     within = (F.month("day") == 1) & F.col("country").isin("NATION_1", "NATION_2")
     return merge.reloaded(old, old.where(within).withColumn("value", F.col("value") + 1), within).select("event_id", "country", r6("value").alias("value"))
 
 
-@query("mrg_05", "SELECT country, day, n + CASE WHEN day >= DATE '2024-01-20' THEN 100 ELSE 0 END AS n FROM (SELECT country, day, count(*) AS n FROM tit GROUP BY ALL)")
+@query(
+    "mrg_05",
+    "SELECT country, day, n + CASE WHEN day >= DATE '2024-01-20' THEN 100 ELSE 0 END AS n FROM (SELECT country, day, count(*) AS n "
+    "FROM tit GROUP BY ALL)",
+)
 def mrg_05(spark, sf):
     old = titles(spark, sf).groupBy("country", "day").agg(F.count("*").alias("n"))
     return merge.reloaded(old, old.where("day >= '2024-01-20'").withColumn("n", F.col("n") + 100), F.col("day") >= F.lit("2024-01-20").cast("date"))
 
 
-@query("mrg_06", "SELECT count(*) AS n_rows, 0::BIGINT AS null_keys, (SELECT count(*) FROM (SELECT event_id FROM dup GROUP BY event_id HAVING count(*) > 1)) AS repeated_keys, false AS passed FROM dup", ctes=DOUBLED)
+@query(
+    "mrg_06",
+    "SELECT count(*) AS n_rows, 0::BIGINT AS null_keys, (SELECT count(*) FROM (SELECT event_id FROM dup "
+    "GROUP BY event_id HAVING count(*) > 1)) AS repeated_keys, false AS passed FROM dup",
+    ctes=DOUBLED,
+)
 def mrg_06(spark, sf):
     return merge.staging_report(doubled(spark, sf), ["event_id"])
 
 
-@query("mrg_07", "SELECT count(*) AS n_rows, min(day) AS first, max(day) AS last, count(DISTINCT country) AS keys, 0::BIGINT AS null_days, count(*) FILTER (day > DATE '2024-01-20') AS future_days, 'future dates' AS issues, false AS passed FROM news")
+@query(
+    "mrg_07",
+    "SELECT count(*) AS n_rows, min(day) AS first, max(day) AS last, count(DISTINCT country) AS keys, 0::BIGINT AS null_days, "
+    "count(*) FILTER (day > DATE '2024-01-20') AS future_days, 'future dates' AS issues, false AS passed FROM news",
+)
 def mrg_07(spark, sf):
     return merge.load_report(news(spark, sf), "day", "country", "2024-01-20")
 
 
-@query("mrg_08", "SELECT country, coalesce(n, 0) AS n_rows, first, last, n IS NULL AS missing FROM nat LEFT JOIN (SELECT country, count(*) AS n, min(day) AS first, max(day) AS last FROM news WHERE country <> 'NATION_3' GROUP BY ALL) USING (country)")
+@query(
+    "mrg_08",
+    "SELECT country, coalesce(n, 0) AS n_rows, first, last, n IS NULL AS missing FROM nat LEFT "
+    "JOIN (SELECT country, count(*) AS n, min(day) AS first, max(day) AS last FROM news WHERE country <> 'NATION_3' "
+    "GROUP BY ALL) USING (country)",
+)
 def mrg_08(spark, sf):
     return merge.coverage_report(news(spark, sf).where("country <> 'NATION_3'"), nations(spark, sf), "country", "day")
 
 
-@query("mrg_09", "SELECT country, day, n FROM (SELECT country, day, hour(ts) // 8 AS b, count(*) AS n FROM news GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY country, day ORDER BY b DESC) = 1")
+@query(
+    "mrg_09",
+    "SELECT country, day, n FROM (SELECT country, day, hour(ts) // 8 AS b, count(*) AS n FROM news GROUP BY ALL) "
+    "QUALIFY row_number() OVER (PARTITION BY country, day ORDER BY b DESC) = 1",
+)
 def mrg_09(spark, sf):
     parts = news(spark, sf).groupBy("country", "day", F.floor(F.hour("ts") / 8).alias("b")).agg(F.count("*").alias("n"))
     return merge.appended_last(parts, ["country", "day"], "b").drop("b")
@@ -364,7 +493,11 @@ def mrg_09(spark, sf):
 # ---- incremental windows ----
 
 
-@query("inc_01", "SELECT root, count(*) AS n FROM news WHERE day >= (SELECT max(day) FROM news WHERE day <= DATE '2024-01-20') - 3 AND day <= DATE '2024-01-24' GROUP BY ALL")
+@query(
+    "inc_01",
+    "SELECT root, count(*) AS n FROM news WHERE day >= (SELECT max(day) FROM news "
+    "WHERE day <= DATE '2024-01-20') - 3 AND day <= DATE '2024-01-24' GROUP BY ALL",
+)
 def inc_01(spark, sf):
     n = news(spark, sf)
     last = merge.last_day(n.where("day <= '2024-01-20'"), "day").first().last
@@ -386,7 +519,11 @@ def inc_03(spark, sf):
     raise AssertionError("a missing last day must be an error")
 
 
-@query("inc_04", "SELECT root, count(*) AS n FROM news WHERE ts BETWEEN TIMESTAMP '2024-01-10 12:00:00' AND TIMESTAMP '2024-01-10 18:00:00' GROUP BY ALL")
+@query(
+    "inc_04",
+    "SELECT root, count(*) AS n FROM news WHERE ts BETWEEN TIMESTAMP '2024-01-10 12:00:00' AND TIMESTAMP '2024-01-10 18:00:00' "
+    "GROUP BY ALL",
+)
 def inc_04(spark, sf):
     a, b = merge.time_window(dt.datetime(2024, 1, 10, 12, 30), dt.datetime(2024, 1, 10, 18, 0))
     return news(spark, sf).where(F.col("ts").between(F.lit(str(a)).cast("timestamp"), F.lit(str(b)).cast("timestamp"))).groupBy("root").agg(F.count("*").alias("n"))
@@ -403,7 +540,11 @@ def inc_05(spark, sf):
     return out[0].unionByName(out[1])
 
 
-@query("inc_06", "SELECT root, count(*) AS n FROM news WHERE ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-12 12:00:00' GROUP BY ALL")
+@query(
+    "inc_06",
+    "SELECT root, count(*) AS n FROM news WHERE ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-12 12:00:00' "
+    "GROUP BY ALL",
+)
 def inc_06(spark, sf):
     n = news(spark, sf).withColumn("stamp", epoch14("ts"))
     return merge.ingested(n, "stamp", 20240110000000, 20240112120000, "day").groupBy("root").agg(F.count("*").alias("n"))
@@ -424,7 +565,13 @@ def inc_08(spark, sf):
     return merge.upserted(old, again, ["event_id", "day"]).withColumn("value", r6("value"))
 
 
-@query("inc_09", "SELECT greatest(m, a) AS first, least(m + INTERVAL 1 MONTH - INTERVAL 1 DAY, b)::DATE AS last, (SELECT count(*) FROM ord WHERE day BETWEEN greatest(m, a) AND least(m + INTERVAL 1 MONTH - INTERVAL 1 DAY, b)) AS n FROM (SELECT CAST(unnest(generate_series(date_trunc('month', a), b, INTERVAL 1 MONTH)) AS DATE) AS m, a, b FROM (SELECT DATE '1996-01-15' AS a, DATE '1996-06-10' AS b))")
+@query(
+    "inc_09",
+    "SELECT greatest(m, a) AS first, least(m + INTERVAL 1 MONTH - INTERVAL 1 DAY, b)::DATE AS last, (SELECT count(*) FROM ord "
+    "WHERE day BETWEEN greatest(m, a) AND least(m + INTERVAL 1 MONTH - INTERVAL 1 DAY, b)) AS n "
+    "FROM (SELECT CAST(unnest(generate_series(date_trunc('month', a), b, INTERVAL 1 MONTH)) AS DATE) AS m, a, b "
+    "FROM (SELECT DATE '1996-01-15' AS a, DATE '1996-06-10' AS b))",
+)
 def inc_09(spark, sf):
     slices = merge.months("1996-01-15", "1996-06-10", spark)
     o = windowed(orders(spark, sf), "1996-01-15", "1996-06-10", ["day"]).groupBy(F.trunc("day", "MM").alias("m")).agg(F.count("*").alias("n"))

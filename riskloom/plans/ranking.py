@@ -10,8 +10,14 @@ from riskloom.plans.registry import query
 from riskloom.session import fresh_path, table
 from riskloom.sources import append_run
 
-SCO = "sco AS (SELECT country, day, run AS run_ts, n, amount, 1 / (1 + exp(-((n - 6 + run) / 2.0::DOUBLE))) AS prob FROM (SELECT country, day, count(*) AS n, round(sum(amount), 2) AS amount FROM ord GROUP BY ALL), (VALUES (1), (2)) AS r(run))"
-CST = "cst AS (SELECT country, world, count(*) AS n, round(avg(amount), 2) AS score, count(*) FILTER (status = 'F') AS f, count(*) FILTER (status = 'O') AS o FROM ord JOIN nat USING (country) GROUP BY ALL)"
+SCO = (
+    "sco AS (SELECT country, day, run AS run_ts, n, amount, 1 / (1 + exp(-((n - 6 + run) / 2.0::DOUBLE))) AS prob "
+    "FROM (SELECT country, day, count(*) AS n, round(sum(amount), 2) AS amount FROM ord GROUP BY ALL), (VALUES (1), (2)) AS r(run))"
+)
+CST = (
+    "cst AS (SELECT country, world, count(*) AS n, round(avg(amount), 2) AS score, count(*) FILTER (status = 'F') AS f, "
+    "count(*) FILTER (status = 'O') AS o FROM ord JOIN nat USING (country) GROUP BY ALL)"
+)
 
 
 def scores(spark, sf):
@@ -46,7 +52,11 @@ def flt_03(spark, sf):
     return articles(spark, sf).where(F.col("themes").rlike("(^|;)[Ee]n[^;]*")).select("doc_id")
 
 
-@query("flt_05", "SELECT CASE WHEN day <= DATE '1999-12-31' THEN 'train' WHEN day <= DATE '2000-06-30' THEN 'val' WHEN day <= DATE '2001-03-28' THEN 'test' END AS split, count(*) AS n FROM ord WHERE day <= DATE '2001-03-28' GROUP BY ALL")
+@query(
+    "flt_05",
+    "SELECT CASE WHEN day <= DATE '1999-12-31' THEN 'train' WHEN day <= DATE '2000-06-30' THEN 'val' WHEN day <= DATE '2001-03-28' THEN "
+    "'test' END AS split, count(*) AS n FROM ord WHERE day <= DATE '2001-03-28' GROUP BY ALL",
+)
 def flt_05(spark, sf):
     o = orders(spark, sf)
     split = F.when(F.col("day") <= "1999-12-31", "train").when(F.col("day") <= "2000-06-30", "val").when(F.col("day") <= "2001-03-28", "test")
@@ -59,7 +69,11 @@ def flt_06(spark, sf):
     return df.select(*[c for c in df.columns if not c.startswith("c_acct")])
 
 
-@query("flt_08", "SELECT event_id, country, ts FROM news WHERE klass = 4 AND ts >= (SELECT max(ts) FROM news) - INTERVAL 5 DAY AND mentions >= 20 ORDER BY ts DESC, event_id LIMIT 100")
+@query(
+    "flt_08",
+    "SELECT event_id, country, ts FROM news WHERE klass = 4 AND ts >= (SELECT max(ts) "
+    "FROM news) - INTERVAL 5 DAY AND mentions >= 20 ORDER BY ts DESC, event_id LIMIT 100",
+)
 def flt_08(spark, sf):
     n = news(spark, sf)
     last = n.agg(F.max("ts").alias("last"))
@@ -67,20 +81,32 @@ def flt_08(spark, sf):
     return recent.where("klass = 4 and mentions >= 20").orderBy(F.col("ts").desc(), "event_id").limit(100).select("event_id", "country", "ts")
 
 
-@query("flt_09", "SELECT c.case_name, p.country, p.day, p.n FROM (VALUES ('a', 'NATION_1', DATE '1997-05-01'), ('b', 'NATION_2', DATE '1999-02-10')) AS c(case_name, country, d) JOIN (SELECT country, day, count(*) AS n FROM ord GROUP BY ALL) p ON p.country = c.country AND p.day BETWEEN c.d - 30 AND c.d + 7")
+@query(
+    "flt_09",
+    "SELECT c.case_name, p.country, p.day, p.n FROM (VALUES ('a', 'NATION_1', DATE '1997-05-01'), "
+    "('b', 'NATION_2', DATE '1999-02-10')) AS c(case_name, country, d) JOIN (SELECT country, day, count(*) AS n FROM ord "
+    "GROUP BY ALL) p ON p.country = c.country AND p.day BETWEEN c.d - 30 AND c.d + 7",
+)
 def flt_09(spark, sf):
     cases = spark.createDataFrame([("a", "NATION_1", "1997-05-01"), ("b", "NATION_2", "1999-02-10")], "case_name string, country string, d string").withColumn("d", F.to_date("d"))
     per = orders(spark, sf).groupBy("country", "day").agg(F.count("*").alias("n"))
     return per.join(F.broadcast(cases), "country").where(F.col("day").between(F.date_sub("d", 30), F.date_add("d", 7))).select("case_name", "country", "day", "n")
 
 
-@query("flt_10", "SELECT event_id, country, root, fatalities, ts FROM news WHERE contains(root, 'purch') AND day >= DATE '2024-01-10' QUALIFY row_number() OVER (PARTITION BY country ORDER BY fatalities DESC, ts DESC, event_id) = 1")
+@query(
+    "flt_10",
+    "SELECT event_id, country, root, fatalities, ts FROM news WHERE contains(root, 'purch') AND day >= DATE '2024-01-10' "
+    "QUALIFY row_number() OVER (PARTITION BY country ORDER BY fatalities DESC, ts DESC, event_id) = 1",
+)
 def flt_10(spark, sf):
     hits = news(spark, sf).where(F.col("root").contains("purch") & (F.col("day") >= "2024-01-10"))
     return ranks.first_rows(hits, ["country"], [F.col("fatalities").desc(), F.col("ts").desc(), F.col("event_id")]).select("event_id", "country", "root", "fatalities", "ts")
 
 
-CONTEXT = "ctx AS (SELECT country, count(*) FILTER (day > (SELECT max(day) FROM art) - 1) AS g24, count(*) FILTER (day > (SELECT max(day) FROM art) - 7) AS g7 FROM art GROUP BY country)"
+CONTEXT = (
+    "ctx AS (SELECT country, count(*) FILTER (day > (SELECT max(day) FROM art) - 1) AS g24, count(*) FILTER (day > (SELECT max(day) "
+    "FROM art) - 7) AS g7 FROM art GROUP BY country)"
+)
 
 
 def context(spark, sf):
@@ -100,13 +126,24 @@ def flt_11(spark, sf):
     return context(spark, sf).where("g7 > 0 or g24 > 0")
 
 
-@query("agg_30", "SELECT country, n + greatest(1, least(10, ceil(g7 / 10)))::BIGINT AS signals FROM ctx JOIN (SELECT country, count(*) AS n FROM news WHERE klass = 4 GROUP BY ALL) USING (country)", ctes=CONTEXT)
+@query(
+    "agg_30",
+    "SELECT country, n + greatest(1, least(10, ceil(g7 / 10)))::BIGINT AS signals FROM ctx JOIN (SELECT country, count(*) AS n FROM news "
+    "WHERE klass = 4 GROUP BY ALL) USING (country)",
+    ctes=CONTEXT,
+)
 def agg_30(spark, sf):
     seen = news(spark, sf).where("klass = 4").groupBy("country").agg(F.count("*").alias("n"))
     return context(spark, sf).join(seen, "country").select("country", (F.col("n") + F.greatest(F.lit(1), F.least(F.lit(10), F.ceil(F.col("g7") / 10)))).cast("long").alias("signals"))
 
 
-@query("agg_31", "SELECT country, count(*) AS n, round(avg(amount), 4) AS mean_amount, max(amount) AS max_amount, round(avg(prob), 6) AS mean_prob, max(prob) AS max_prob, arg_min(day, (-prob, day)) AS peak FROM sco WHERE run_ts = 2 AND day > (SELECT max(day) FROM sco) - 30 GROUP BY country", ctes=SCO)
+@query(
+    "agg_31",
+    "SELECT country, count(*) AS n, round(avg(amount), 4) AS mean_amount, max(amount) AS max_amount, round(avg(prob), 6) AS mean_prob, "
+    "max(prob) AS max_prob, arg_min(day, (-prob, day)) AS peak FROM sco WHERE run_ts = 2 AND day > (SELECT max(day) FROM sco) - 30 "
+    "GROUP BY country",
+    ctes=SCO,
+)
 def agg_31(spark, sf):
     s = scores(spark, sf).where("run_ts = 2")
     recent = s.join(F.broadcast(s.agg(F.max("day").alias("last")))).where(F.col("day") > F.date_sub("last", 30))
@@ -126,12 +163,22 @@ def win_19(spark, sf):
     return ranks.percentile_rank(per_country(spark, sf), "f", "rank").select("country", "f", r6("rank").alias("rank"))
 
 
-@query("win_20", "SELECT country, score, rank() OVER (ORDER BY score DESC) AS rank, round(100 * (1 - percent_rank() OVER (ORDER BY score DESC)), 6) AS rank_score FROM cst", ctes=CST)
+@query(
+    "win_20",
+    "SELECT country, score, rank() OVER (ORDER BY score DESC) AS rank, "
+    "round(100 * (1 - percent_rank() OVER (ORDER BY score DESC)), 6) AS rank_score FROM cst",
+    ctes=CST,
+)
 def win_20(spark, sf):
     return ranks.rank_score(per_country(spark, sf), "score").select("country", "score", "rank", r6("rank_score").alias("rank_score"))
 
 
-@query("win_21", "SELECT country, day, round(prob, 6) AS prob, round(percent_rank() OVER (PARTITION BY day ORDER BY prob), 6) AS percent_rank, round(cume_dist() OVER (PARTITION BY day ORDER BY prob), 6) AS cume_dist FROM sco WHERE run_ts = 2", ctes=SCO)
+@query(
+    "win_21",
+    "SELECT country, day, round(prob, 6) AS prob, round(percent_rank() OVER (PARTITION BY day ORDER BY prob), 6) AS percent_rank, "
+    "round(cume_dist() OVER (PARTITION BY day ORDER BY prob), 6) AS cume_dist FROM sco WHERE run_ts = 2",
+    ctes=SCO,
+)
 def win_21(spark, sf):
     return ranks.shares(scores(spark, sf).where("run_ts = 2"), "prob", ["day"]).select("country", "day", *[r6(c).alias(c) for c in ("prob", "percent_rank", "cume_dist")])
 
@@ -144,7 +191,11 @@ def win_22(spark, sf):
     return ranks.first_rows(scores(spark, sf), ["country", "day"], [F.col("run_ts").desc()]).select("country", "day", "run_ts", "n", r6("prob").alias("prob"))
 
 
-@query("win_23", LATEST + " WHERE day = (SELECT max(day) FROM sco) QUALIFY row_number() OVER (PARTITION BY country ORDER BY run_ts DESC) = 1", ctes=SCO)
+@query(
+    "win_23",
+    LATEST + " WHERE day = (SELECT max(day) FROM sco) QUALIFY row_number() OVER (PARTITION BY country ORDER BY run_ts DESC) = 1",
+    ctes=SCO,
+)
 def win_23(spark, sf):
     return ranks.at_latest(scores(spark, sf), "day", ["country"], [F.col("run_ts").desc()]).select("country", "day", "run_ts", "n", r6("prob").alias("prob"))
 
@@ -158,14 +209,23 @@ def win_24(spark, sf):
 # ---- top-k ----
 
 
-@query("top_01", "SELECT country, day, title, n FROM (SELECT country, day, title, count(*) AS n, count(DISTINCT domain) AS d FROM art GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY country, day ORDER BY d DESC, n DESC, title) <= 5")
+@query(
+    "top_01",
+    "SELECT country, day, title, n FROM (SELECT country, day, title, count(*) AS n, count(DISTINCT domain) AS d FROM art GROUP BY ALL) "
+    "QUALIFY row_number() OVER (PARTITION BY country, day ORDER BY d DESC, n DESC, title) <= 5",
+)
 def top_01(spark, sf):
     from riskloom.operators.daily import title_rollup
 
     return ranks.first_rows(title_rollup(articles(spark, sf)), ["country", "day"], [F.col("domains").desc(), F.col("n").desc(), F.col("title")], 5).select("country", "day", "title", "n")
 
 
-@query("top_02", "SELECT country, url, day, doc_id FROM (SELECT * FROM art QUALIFY row_number() OVER (PARTITION BY country, url ORDER BY day DESC, doc_id) = 1) QUALIFY row_number() OVER (PARTITION BY country ORDER BY day DESC, doc_id) <= 3")
+@query(
+    "top_02",
+    "SELECT country, url, day, doc_id FROM (SELECT * FROM art "
+    "QUALIFY row_number() OVER (PARTITION BY country, url ORDER BY day DESC, doc_id) = 1) "
+    "QUALIFY row_number() OVER (PARTITION BY country ORDER BY day DESC, doc_id) <= 3",
+)
 def top_02(spark, sf):
     order = [F.col("day").desc(), F.col("doc_id")]
     return ranks.first_rows(ranks.first_rows(articles(spark, sf), ["country", "url"], order), ["country"], order, 3).select("country", "url", "day", "doc_id")
@@ -174,7 +234,12 @@ def top_02(spark, sf):
 STOP = ("that", "this", "with", "from")
 
 
-@query("top_03", f"SELECT * FROM (SELECT country, token, count(*) AS n FROM (SELECT country, unnest(regexp_extract_all(lower(title), '[a-z]{{4,}}')) AS token FROM art) WHERE token NOT IN {STOP} GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY country ORDER BY n DESC, token) <= 6")
+@query(
+    "top_03",
+    f"SELECT * FROM (SELECT country, token, count(*) AS n "
+    f"FROM (SELECT country, unnest(regexp_extract_all(lower(title), '[a-z]{{4,}}')) AS token FROM art) WHERE token NOT IN {STOP} "
+    f"GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY country ORDER BY n DESC, token) <= 6",
+)
 def top_03(spark, sf):
     from riskloom.operators.text import title_tokens
 
@@ -192,7 +257,12 @@ def top_05(spark, sf):
     return ranks.first_rows(news(spark, sf), ["country"], [F.col("ts").desc(), F.col("event_id")], 4).select("country", "event_id", "ts")
 
 
-@query("top_06", "SELECT country, event_id, fatalities FROM (SELECT country, event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE fatalities END AS fatalities FROM news) QUALIFY row_number() OVER (PARTITION BY country ORDER BY coalesce(fatalities, 0) DESC, event_id) <= 5")
+@query(
+    "top_06",
+    "SELECT country, event_id, fatalities FROM (SELECT country, event_id, "
+    "CASE WHEN event_id % 9 = 0 THEN NULL ELSE fatalities END AS fatalities FROM news) "
+    "QUALIFY row_number() OVER (PARTITION BY country ORDER BY coalesce(fatalities, 0) DESC, event_id) <= 5",
+)
 def top_06(spark, sf):
     n = news(spark, sf).withColumn("fatalities", F.when(F.col("event_id") % 9 != 0, F.col("fatalities")))
     return ranks.first_rows(n, ["country"], [F.coalesce("fatalities", F.lit(0)).desc(), F.col("event_id")], 5).select("country", "event_id", "fatalities")
@@ -213,7 +283,11 @@ def top_08(spark, sf):
 # ---- sets ----
 
 
-@query("set_01", "SELECT source, count(*) AS n FROM (SELECT 'a' AS source FROM news WHERE klass < 3 UNION ALL SELECT 'b' FROM news WHERE klass > 1) GROUP BY source")
+@query(
+    "set_01",
+    "SELECT source, count(*) AS n FROM (SELECT 'a' AS source FROM news WHERE klass < 3 UNION ALL SELECT 'b' FROM news WHERE klass > 1) "
+    "GROUP BY source",
+)
 def set_01(spark, sf):
     n = news(spark, sf)
     both = n.where("klass < 3").withColumn("source", F.lit("a")).unionByName(n.where("klass > 1").withColumn("source", F.lit("b")))
@@ -235,7 +309,13 @@ def jn_08(spark, sf):
     return o.select("country", "day").distinct().join(o.where("status = 'F'").select("country", "day"), ["country", "day"], "left_anti")
 
 
-@query("set_03", "SELECT round(count(*) FILTER (a AND b) / nullif(count(*) FILTER (a OR b), 0), 6) AS jaccard, round(count(*) FILTER (a AND b) / nullif(count(*) FILTER (a), 0), 6) AS overlap FROM (SELECT row_number() OVER (ORDER BY p DESC, doc_id) <= greatest(1, floor(count(*) OVER () * 0.2)) AS a, row_number() OVER (ORDER BY q DESC, doc_id) <= greatest(1, floor(count(*) OVER () * 0.2)) AS b FROM pred)")
+@query(
+    "set_03",
+    "SELECT round(count(*) FILTER (a AND b) / nullif(count(*) FILTER (a OR b), 0), 6) AS jaccard, "
+    "round(count(*) FILTER (a AND b) / nullif(count(*) FILTER (a), 0), 6) AS overlap "
+    "FROM (SELECT row_number() OVER (ORDER BY p DESC, doc_id) <= greatest(1, floor(count(*) OVER () * 0.2)) AS a, "
+    "row_number() OVER (ORDER BY q DESC, doc_id) <= greatest(1, floor(count(*) OVER () * 0.2)) AS b FROM pred)",
+)
 def set_03(spark, sf):
     a = ranks.top_fraction(predictions(spark, sf), "p", 0.2, "doc_id").withColumnRenamed("top", "a")
     both = ranks.top_fraction(a, "q", 0.2, "doc_id").withColumnRenamed("top", "b")
@@ -259,7 +339,10 @@ def edges(spark, sf):
     return a.join(F.broadcast(b), "world").where("k <> k2").select("country", "neighbour")
 
 
-HOT = "hot AS (SELECT country, count(*) AS hot_neighbours, least(5, 1.5 * count(*))::DOUBLE AS bonus FROM edges WHERE neighbour IN (SELECT country FROM cst WHERE n >= (SELECT median(n) FROM cst)) GROUP BY country)"
+HOT = (
+    "hot AS (SELECT country, count(*) AS hot_neighbours, least(5, 1.5 * count(*))::DOUBLE AS bonus FROM edges "
+    "WHERE neighbour IN (SELECT country FROM cst WHERE n >= (SELECT median(n) FROM cst)) GROUP BY country)"
+)
 
 
 def hot_set(spark, sf):
@@ -277,7 +360,11 @@ def scr_07(spark, sf):
     return joins.hot_neighbours(edges(spark, sf), hot_set(spark, sf))
 
 
-@query("jn_10", "SELECT n.event_id, n.country, (SELECT max(a.ts) FROM news a WHERE a.country = n.country AND a.root = 'error' AND a.ts <= n.ts) AS alert FROM news n WHERE n.root = 'purchase'")
+@query(
+    "jn_10",
+    "SELECT n.event_id, n.country, (SELECT max(a.ts) FROM news a "
+    "WHERE a.country = n.country AND a.root = 'error' AND a.ts <= n.ts) AS alert FROM news n WHERE n.root = 'purchase'",
+)
 def jn_10(spark, sf):
     n = news(spark, sf)
     alerts = n.where("root = 'error'").select("country", "ts", F.col("ts").alias("at"))
@@ -296,14 +383,21 @@ def jn_12(spark, sf):
     return joins.lossless(p.select("doc_id", "p"), p.select("doc_id", "q"), ["doc_id"]).select("doc_id", r6("p").alias("p"), r6("q").alias("q"))
 
 
-@query("jn_13", "SELECT channel, count(*) AS n, count(k) AS kept FROM msg LEFT JOIN (SELECT message_id, 1 AS k FROM msg WHERE length(text) > 100) USING (message_id) GROUP BY channel")
+@query(
+    "jn_13",
+    "SELECT channel, count(*) AS n, count(k) AS kept FROM msg LEFT JOIN (SELECT message_id, 1 AS k FROM msg "
+    "WHERE length(text) > 100) USING (message_id) GROUP BY channel",
+)
 def jn_13(spark, sf):
     m = messages(spark, sf)
     found = m.where(F.length("text") > 100).select("message_id", F.lit(1).alias("k"))
     return m.join(found, "message_id", "left").groupBy("channel").agg(F.count("*").alias("n"), F.count("k").alias("kept"))
 
 
-FLAGGED = "SELECT country, score FROM nat LEFT JOIN (SELECT country, score, CASE WHEN n % 3 = 0 THEN false WHEN n % 3 = 1 THEN true END AS visible FROM cst) USING (country) WHERE visible IS DISTINCT FROM false"
+FLAGGED = (
+    "SELECT country, score FROM nat LEFT JOIN (SELECT country, score, "
+    "CASE WHEN n % 3 = 0 THEN false WHEN n % 3 = 1 THEN true END AS visible FROM cst) USING (country) WHERE visible IS DISTINCT FROM false"
+)
 
 
 def visible(spark, sf):
@@ -349,13 +443,22 @@ def mth_03(spark, sf):
 META = "1 / (1 + exp(-(-0.5 + ((ln(p / (1 - p)) - 0.1) / 1.5 * 0.8) + ((ln(q / (1 - q)) - 0.2) / 2.0 * 0.4))))"
 
 
-@query("scr_01", f"SELECT doc_id, round({META}, 6) AS prob FROM (SELECT doc_id, greatest(1e-6, least(1 - 1e-6, p)) AS p, greatest(1e-6, least(1 - 1e-6, q)) AS q FROM pred)")
+@query(
+    "scr_01",
+    f"SELECT doc_id, round({META}, 6) AS prob FROM (SELECT doc_id, greatest(1e-6, least(1 - 1e-6, p)) AS p, "
+    f"greatest(1e-6, least(1 - 1e-6, q)) AS q FROM pred)",
+)
 def scr_01(spark, sf):
     prob = scoring.standardised_logistic({"p": (0.1, 1.5, 0.8), "q": (0.2, 2.0, 0.4)}, -0.5, True)
     return predictions(spark, sf).select("doc_id", r6(prob).alias("prob"))
 
 
-@query("scr_02", "SELECT country, day, (1 / (1 + exp(-(0.3 - (n - 5) / 2.0 * 0.9 - (prob - 0.5) / 0.2 * 0.1))) >= 0.4)::INT AS calm, (n = 0)::INT AS fallback FROM sco WHERE run_ts = 2", ctes=SCO)
+@query(
+    "scr_02",
+    "SELECT country, day, (1 / (1 + exp(-(0.3 - (n - 5) / 2.0 * 0.9 - (prob - 0.5) / 0.2 * 0.1))) >= 0.4)::INT AS calm, "
+    "(n = 0)::INT AS fallback FROM sco WHERE run_ts = 2",
+    ctes=SCO,
+)
 def scr_02(spark, sf):
     s = scores(spark, sf).where("run_ts = 2")
     gated = scoring.calm_gate(s, {"n": (5, 2.0, -0.9), "prob": (0.5, 0.2, -0.1)}, 0.3, 0.4)
@@ -363,7 +466,10 @@ def scr_02(spark, sf):
     return gated.join(simple, ["country", "day"]).select("country", "day", "calm", "fallback")
 
 
-ALERT = "al AS (SELECT country, day, prob, greatest(0, least(100, 0.7 * prob * 100 + 0.3 * 100 * (1 - percent_rank() OVER (PARTITION BY day ORDER BY prob DESC)))) AS alert_score FROM sco WHERE run_ts = 2)"
+ALERT = (
+    "al AS (SELECT country, day, prob, greatest(0, least(100, 0.7 * prob * 100 + 0.3 * 100 * (1 - percent_rank() OVER (PARTITION BY day "
+    "ORDER BY prob DESC)))) AS alert_score FROM sco WHERE run_ts = 2)"
+)
 
 
 @query("scr_04", "SELECT country, day, round(alert_score, 6) AS alert_score FROM al", ctes=f"{SCO}, {ALERT}")
@@ -371,7 +477,18 @@ def scr_04(spark, sf):
     return scoring.alert_score(scores(spark, sf).where("run_ts = 2"), "prob", ["day"]).select("country", "day", r6("alert_score").alias("alert_score"))
 
 
-STATE = "st AS (SELECT country, u, 100 / (1 + exp(-((score - 150000) / 100000 + (n - 500) / 500.0) / 2)) AS c, 0.6 * sf + 0.4 * so AS s, greatest(0, least(100, 50 * coalesce(f::DOUBLE / nullif(o, 0), 0))) AS i FROM (SELECT *, " + AVG_RANK.format(v="n").removeprefix("round(").removesuffix(", 6)") + " AS u, " + AVG_RANK.format(v="f").removeprefix("round(").removesuffix(", 6)") + " AS sf, " + AVG_RANK.format(v="o").removeprefix("round(").removesuffix(", 6)") + " AS so FROM cst))"
+STATE = (
+    (
+        "st AS (SELECT country, u, 100 / (1 + exp(-((score - 150000) / 100000 + (n - 500) / 500.0) / 2)) AS c, 0.6 * sf + 0.4 * so AS s, "
+        "greatest(0, least(100, 50 * coalesce(f::DOUBLE / nullif(o, 0), 0))) AS i FROM (SELECT *, "
+    )
+    + AVG_RANK.format(v="n").removeprefix("round(").removesuffix(", 6)")
+    + " AS u, "
+    + AVG_RANK.format(v="f").removeprefix("round(").removesuffix(", 6)")
+    + " AS sf, "
+    + AVG_RANK.format(v="o").removeprefix("round(").removesuffix(", 6)")
+    + " AS so FROM cst))"
+)
 
 
 def state(spark, sf):
@@ -379,7 +496,12 @@ def state(spark, sf):
     return scoring.current_state(df, "n", ["z1", "z2"], ("f", "o"), ("f", "o"))
 
 
-@query("scr_05", "SELECT country, round(u, 5) AS u, round(c, 5) AS c, round(s, 5) AS s, round(i, 5) AS i, round((u + c + s + i) / 4, 5) AS state FROM st", ctes=f"{CST}, {STATE}")
+@query(
+    "scr_05",
+    "SELECT country, round(u, 5) AS u, round(c, 5) AS c, round(s, 5) AS s, round(i, 5) AS i, round((u + c + s + i) / 4, 5) AS state "
+    "FROM st",
+    ctes=f"{CST}, {STATE}",
+)
 def scr_05(spark, sf):
     return state(spark, sf).select("country", *[F.round(x, 5).alias(x) for x in ("u", "c", "s", "i", "state")])
 
@@ -389,7 +511,13 @@ def scr_06(spark, sf):
     return scoring.with_baseline(per_country(spark, sf), None, "n").select("country", r6("baseline").alias("baseline"))
 
 
-COMPOSITE = f"{CST}, {EDGES}, {STATE}, cm AS (SELECT country, u AS baseline, (u + c + s + i) / 4 AS state, i AS forecast FROM st), hn AS (SELECT country, least(5, 1.5 * count(*)) AS bonus FROM edges WHERE neighbour IN (SELECT country FROM cm WHERE forecast >= 50) GROUP BY country), co AS (SELECT country, greatest(0, least(100, 0.2 * baseline + 0.4 * state + 0.4 * forecast + coalesce(bonus, 0))) AS composite FROM cm LEFT JOIN hn USING (country))"
+COMPOSITE = (
+    f"{CST}, {EDGES}, {STATE}, cm AS (SELECT country, u AS baseline, (u + c + s + i) / 4 AS state, i AS forecast FROM st), "
+    f"hn AS (SELECT country, least(5, 1.5 * count(*)) AS bonus FROM edges WHERE neighbour IN (SELECT country FROM cm "
+    f"WHERE forecast >= 50) GROUP BY country), co AS (SELECT country, "
+    f"greatest(0, least(100, 0.2 * baseline + 0.4 * state + 0.4 * forecast + coalesce(bonus, 0))) AS composite FROM cm LEFT "
+    f"JOIN hn USING (country))"
+)
 
 
 def composites(spark, sf):
@@ -402,13 +530,25 @@ def scr_08(spark, sf):
     return composites(spark, sf).select("country", F.round("composite", 5).alias("composite"))
 
 
-@query("scr_09", "SELECT country, CASE WHEN composite >= 70 THEN 'ALERT' WHEN composite >= 50 THEN 'WARNING' WHEN composite >= 25 THEN 'WATCH' ELSE 'STABLE' END AS tier, CASE WHEN pr >= 98 THEN 'severe' WHEN pr >= 95 THEN 'high' WHEN pr >= 85 THEN 'elevated' ELSE 'normal' END AS place FROM (SELECT country, composite, cume_dist() OVER (ORDER BY round(composite, 6)) * 100 AS pr FROM co)", ctes=COMPOSITE)
+@query(
+    "scr_09",
+    "SELECT country, CASE WHEN composite >= 70 THEN 'ALERT' WHEN composite >= 50 THEN 'WARNING' WHEN composite >= 25 THEN 'WATCH' ELSE "
+    "'STABLE' END AS tier, CASE WHEN pr >= 98 THEN 'severe' WHEN pr >= 95 THEN 'high' WHEN pr >= 85 THEN 'elevated' ELSE 'normal' END AS "
+    "place FROM (SELECT country, composite, cume_dist() OVER (ORDER BY round(composite, 6)) * 100 AS pr FROM co)",
+    ctes=COMPOSITE,
+)
 def scr_09(spark, sf):
     df = ranks.shares(composites(spark, sf).withColumn("_c", F.round("composite", 6)), "_c")
     return df.select("country", scoring.tiered(F.col("composite")).alias("tier"), scoring.tiered(F.col("cume_dist") * 100, scoring.PERCENT_TIERS, "normal").alias("place"))
 
 
-@query("scr_10", "SELECT country, horizon, run, round(prob, 6) AS prob, history FROM (SELECT country, 7 AS horizon, 'r' || run_ts AS run, prob, count(*) OVER (PARTITION BY country) AS history, row_number() OVER (PARTITION BY country ORDER BY run_ts DESC) AS k FROM sco WHERE day = (SELECT max(day) FROM sco)) WHERE k = 1", ctes=SCO)
+@query(
+    "scr_10",
+    "SELECT country, horizon, run, round(prob, 6) AS prob, history "
+    "FROM (SELECT country, 7 AS horizon, 'r' || run_ts AS run, prob, count(*) OVER (PARTITION BY country) AS history, "
+    "row_number() OVER (PARTITION BY country ORDER BY run_ts DESC) AS k FROM sco WHERE day = (SELECT max(day) FROM sco)) WHERE k = 1",
+    ctes=SCO,
+)
 def scr_10(spark, sf):
     path, s = fresh_path(spark, "history"), scores(spark, sf)
     last = ranks.at_latest(s, "day", ["country", "run_ts"], [F.col("n").desc()]).withColumn("horizon", F.lit(7))
@@ -421,7 +561,12 @@ def scr_10(spark, sf):
     return latest.join(history, "country").select("country", "horizon", "run", r6("prob").alias("prob"), "history")
 
 
-@query("scr_11", "SELECT country, CASE WHEN n >= 620 THEN 'high' WHEN n >= 580 THEN 'medium' ELSE 'low' END AS level, 40.0::DOUBLE AS default_medium FROM cst", ctes=CST)
+@query(
+    "scr_11",
+    "SELECT country, CASE WHEN n >= 620 THEN 'high' WHEN n >= 580 THEN 'medium' ELSE 'low' END AS level, 40.0::DOUBLE AS default_medium "
+    "FROM cst",
+    ctes=CST,
+)
 def scr_11(spark, sf):
     rows = spark.createDataFrame(
         [("onset", True, None, 1, 500.0, 600.0), ("onset", True, None, 2, 580.0, 620.0), ("onset", False, None, 3, 1.0, 2.0), ("onset", True, "NATION_1", 4, 3.0, 4.0)],

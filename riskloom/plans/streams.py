@@ -51,7 +51,13 @@ def st_03(spark, sf):
     return spark.read.schema(n.schema).parquet(path).groupBy("country", "day").agg(F.count("*").alias("n"))
 
 
-@query("st_04", f"SELECT country, day, n::DOUBLE AS value, round(avg(n) {ONLINE} + 1e-9::DOUBLE, 6) AS mean, round(coalesce(CASE WHEN stddev_samp(n) {ONLINE} > 1e-12 THEN (n - avg(n) {ONLINE}) / stddev_samp(n) {ONLINE} END, 0), 4) + 0.0 AS z FROM op", ctes=OWN)
+@query(
+    "st_04",
+    f"SELECT country, day, n::DOUBLE AS value, round(avg(n) {ONLINE} + 1e-9::DOUBLE, 6) AS mean, "
+    f"round(coalesce(CASE WHEN stddev_samp(n) {ONLINE} > 1e-12 THEN (n - avg(n) {ONLINE}) / stddev_samp(n) {ONLINE} END, 0), "
+    f"4) + 0.0 AS z FROM op",
+    ctes=OWN,
+)
 def st_04(spark, sf):
     rows = order_panel(spark, sf).select("country", "day", F.col("n").cast("double").alias("value"))
     path, out = fresh_path(spark, "series"), fresh_path(spark, "scores")
@@ -88,7 +94,12 @@ def st_06(spark, sf):
     return kept_latest(streaming.daily_totals(landing(n, spark, "total_rows", order="ts")), spark, "totals", ["country", "day"], "country string, day date, events long, deaths long")
 
 
-@query("st_07", "SELECT channel, count(*) AS n, count(*) FILTER (is_conflict) AS conflict FROM ev WHERE sent_at >= TIMESTAMP '2024-01-02' GROUP BY channel", ctes=EV)
+@query(
+    "st_07",
+    "SELECT channel, count(*) AS n, count(*) FILTER (is_conflict) AS conflict FROM ev WHERE sent_at >= TIMESTAMP '2024-01-02' "
+    "GROUP BY channel",
+    ctes=EV,
+)
 def st_07(spark, sf):
     m = messages(spark, sf)
     path = fresh_path(spark, "extracted")
