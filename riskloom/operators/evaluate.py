@@ -5,8 +5,10 @@ Rows with equal scores are one cut-off: they are counted first, so that cumulati
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,14 +102,49 @@ def parity(a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Sequence[st
     return row.unpivot("unmatched", list(columns), "feature", "max_diff").withColumn("passed", (F.coalesce("max_diff", F.lit(0.0)) < most) & (F.col("unmatched") == 0))
 
 
+#: Up to so many columns each pair is an aggregate of its own.
+FEW = 8
+
+
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Every pair once: a, b, r."""
+    """Every pair once: a, b, r.  Rows where either is null do not count for a pair; r is null without spread."""
     pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i + 1 :]]
+    if len(columns) > FEW:
+        return gram_correlations(df, columns)
     row = df.agg(*[F.corr(x, y).alias(f"{x}~{y}") for x, y in pairs])
     long = row.unpivot([], [f"{x}~{y}" for x, y in pairs], "pair", "r")
     return long.select(F.split("pair", "~")[0].alias("a"), F.split("pair", "~")[1].alias("b"), "r")
 
 
+def gram_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """As ``correlations``, for hundreds of columns: means first, then sums of products of all pairs at once as matrices, one set for each task, added by
+    pair.  NaN counts as null."""
+    names = list(columns)
+    rows = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, c in enumerate(names)])
+    means = rows.agg(*[F.avg(c).alias(c) for c in rows.columns]).first()
+    centre = np.array([0.0 if m is None else m for m in means])
+
+    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for frame in frames:
+            x = frame.to_numpy(float) - centre
+            there = np.isfinite(x)
+            x, m = np.where(there, x, 0.0), there.astype(float)
+            own = np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+            total = own if total is None else total + own
+        if total is not None:
+            i, j = np.triu_indices(len(centre), 1)
+            n, s, q, xy = total
+            yield pd.DataFrame({"i": i, "j": j, "n": n[i, j], "sx": s[i, j], "sy": s[j, i], "sxx": q[i, j], "syy": q[j, i], "sxy": xy[i, j]})
+
+    sums = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    per = rows.mapInPandas(products, "i int, j int, " + ", ".join(f"{c} double" for c in sums)).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in sums])
+    spread = lambda s, q: F.greatest(F.col(q) - div(F.col(s) * F.col(s), "n"), F.lit(0.0))
+    r = div(F.col("sxy") - div(F.col("sx") * F.col("sy"), "n"), F.sqrt(spread("sx", "sxx")) * F.sqrt(spread("sy", "syy")))
+    label = F.array(*map(F.lit, names))
+    return per.select(F.get(label, F.col("i")).alias("a"), F.get(label, F.col("j")).alias("b"), r.alias("r"))
+
+
 def assertions(df: DataFrame, keys: Sequence[str], p: str) -> DataFrame:
     """One row: repeated keys, values outside 0-1, passed."""
     once = df.groupBy(*keys).agg(F.count("*").alias("c"), F.count_if(~F.col(p).between(0, 1) | F.col(p).isNull()).alias("o"))

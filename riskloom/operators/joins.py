@@ -1,13 +1,14 @@
-"""Joins with guards: assembly of feature groups, as-of by window, neighbours, row-count checks."""
+"""Joins with guards: assembly of feature groups, as-of by ranges, neighbours, row-count checks."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import clip
+from riskloom.operators import dealt
 
 
 def assembled(base: DataFrame, groups: Sequence[tuple[DataFrame, float, str | None]], keys: Sequence[str] = ("country", "day")) -> DataFrame:
@@ -30,12 +31,13 @@ def merged(groups: Sequence[DataFrame], keys: Sequence[str] = ("country", "day")
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, out: str) -> DataFrame:
-    """For each left row the latest right ``value`` at or before its time: a union and one window, no range join."""
+    """For each left row the latest right ``value`` at or before its time; of several at one time the largest, and null ones count for nothing.  A union, and
+    the last known value carried along ranges of key and time: no range join, and a key with most of the rows is many ranges."""
+    known = right.where(F.col(value).isNotNull()).groupBy(key, at).agg(F.max(value).alias("_v"))
+    b = known.select(key, at, "_v", F.lit(0).alias("_side"))
     a = left.withColumns({"_side": F.lit(1), "_v": F.lit(None).cast(right.schema[value].dataType)})
-    b = right.select(key, at, F.col(value).alias("_v"), F.lit(0).alias("_side"))
-    w = Window.partitionBy(key).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b, allowMissingColumns=True)
-    return both.withColumn(out, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").drop("_side", "_v")
+    return dealt.carried(both, [F.col(at).asc_nulls_first(), F.col("_side").asc()], "_v", out, [key]).where("_side = 1").drop("_side", "_v")
 
 
 def unique(df: DataFrame, keys: Sequence[str]) -> bool:

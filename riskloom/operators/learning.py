@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
-from pyspark.ml import Pipeline
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import clip, safe
 from riskloom.operators import dealt
-from riskloom.operators.evaluate import average_precision
+from riskloom.operators.evaluate import average_precision, best_f1
 
 SEED = 17
 
@@ -77,30 +80,59 @@ def apply(model, df: DataFrame, out: str = "p") -> DataFrame:
     return _scored(model, df, out)
 
 
-def chosen_linear(train: DataFrame, val: DataFrame, features: Sequence[str], y: str, family: Sequence[tuple[float, float]] = ((0.01, 0.0), (0.01, 1.0), (0.01, 0.5))):
-    """The (strength, mix) of a family with the best validation average precision, and its model."""
-    tried = [(average_precision(apply(m, val), "p", y).first().ap or 0.0, i, m) for i, m in enumerate(logistic_fit(train, features, y, reg=r, mix=x) for r, x in family)]
+def chosen_linear(train: DataFrame, val: DataFrame, features: Sequence[str], y: str, family: Sequence[tuple[float, float]] = ((0.01, 0.0), (0.01, 1.0), (0.01, 0.5)), by: str = "f1"):
+    """The (strength, mix) of a family with the best validation F1 at its best cut-off (``by="ap"``: average precision), the first on ties, and its model."""
+    metric = {"f1": lambda df: best_f1(df, "p", y).first().f1, "ap": lambda df: average_precision(df, "p", y).first().ap}[by]
+    tried = [(metric(apply(m, val)) or 0.0, i, m) for i, m in enumerate(logistic_fit(train, features, y, reg=r, mix=x) for r, x in family)]
     best = max(tried, key=lambda t: (t[0], -t[1]))
     return family[best[1]], best[2]
 
 
 def boosted(train: DataFrame, features: Sequence[str], y: str, rounds: int = 10, depth: int = 3):
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="x", handleInvalid="keep"), GBTClassifier(featuresCol="x", labelCol=y, maxIter=rounds, maxDepth=depth, seed=SEED)]).fit(train)
-
-
-def out_of_fold(df: DataFrame, fold: str, folds: Sequence, features: Sequence[str], y: str) -> DataFrame:
-    """Each fold predicted by a model of all folds before it."""
-    out = None
-    for k, f in enumerate(folds[1:], 1):
-        past = df.where(F.col(fold).isin(*folds[:k]))
-        part = _scored(boosted(past, features, y), df.where(F.col(fold) == f), "p")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep"), GBTClassifier(featuresCol="_x", labelCol=y, maxIter=rounds, maxDepth=depth, seed=SEED)]).fit(train)
+
+
+def folds_by_time(df: DataFrame, day: str, folds: int, out: str = "fold") -> DataFrame:
+    """``df`` with a fold number from 0 to ``folds``: the years of ``day`` in order, the earliest ones together so that ``folds`` are left to be predicted."""
+    years = sorted(r[0] for r in df.select(F.year(day)).distinct().collect() if r[0] is not None)
+    first = max(1, len(years) - folds)
+    table = [(y, max(0, k - first + 1)) for k, y in enumerate(years)]
+    known = df.sparkSession.createDataFrame(table, f"`year of fold` int, `{out}` int")
+    rows = df.drop(out)
+    return rows.join(F.broadcast(known), F.year(day) == F.col("year of fold")).select(*rows.columns, out)
+
+
+def kept(path: str | None, fit: Callable):
+    """The model written at ``path`` if it is there, else a fitted one, written there."""
+    if path is None:
+        return fit()
+    try:
+        return PipelineModel.load(path)
+    except (AnalysisException, Py4JJavaError) as e:
+        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
+            raise
+    model = fit()
+    model.write().overwrite().save(path)
+    return model
+
+
+def out_of_fold(df: DataFrame, fold: str, features: Sequence[str], y: str, models: str | None = None, fit: Callable | None = None) -> DataFrame:
+    """Every row after the first fold with p, predicted by a model of all folds before its own.  With ``models`` each fold's model is written there, and a
+    run that goes on after a failure fits only the folds that lack one.  ``fit`` takes the past rows and gives a model."""
+    learn = fit or (lambda past: boosted(past, features, y))
+    folds = sorted(r[0] for r in df.select(fold).distinct().collect() if r[0] is not None)
+    parts = []
+    for f in folds[1:]:
+        model = kept(models and f"{models}/fold={f}", lambda f=f: learn(df.where(F.col(fold) < f)))
+        parts.append(_scored(model, df.where(F.col(fold) == f), "p"))
+    if not parts:
+        return df.withColumn("p", F.lit(None).cast("double")).where(F.lit(False))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def stacked(oof: DataFrame, val: DataFrame, columns: Sequence[str], y: str, grid: Sequence[float] = (0.001, 0.01, 0.1)):
     """A logistic model of base predictions; its strength is the one with the best validation average precision."""
-    return chosen_linear(oof, val, columns, y, [(g, 0.0) for g in grid])
+    return chosen_linear(oof, val, columns, y, [(g, 0.0) for g in grid], "ap")
 
 
 def forward_selection(df: DataFrame, models: Sequence[str], y: str, fold: str, most: int = 3) -> list[str]:

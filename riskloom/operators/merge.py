@@ -18,55 +18,89 @@ from riskloom.session import materialize
 from riskloom.sources import replace_partitions
 
 
+def _no_null(keys: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).isNotNull()
+    return out
+
+
 def single(new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``new``; reading it is an error if one of its keys has several rows, since which of them counts would be open.  Dealt by the keys, as the
-    merge needs it anyway.  Rows with a null in their key match nothing and may repeat."""
+    merge needs it anyway.  Rows with a null in their key match nothing and may repeat; they are not dealt."""
     count = "rows of key"  # a name that no table of this library has
-    several = F.col(count) > 1
-    for k in keys:
-        several = several & F.col(k).isNotNull()
-    counted = new.withColumn(count, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    return counted.where(F.when(several, F.raise_error(F.lit("a key of the batch has several rows"))).otherwise(F.lit(True))).drop(count)
+    counted = new.where(_no_null(keys)).withColumn(count, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    one = counted.where(F.when(F.col(count) > 1, F.raise_error(F.lit("a key of the batch has several rows"))).otherwise(F.lit(True))).drop(count)
+    return one.unionByName(new.where(~_no_null(keys)))
+
+
+def unseen(new: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of ``new`` whose keys ``target`` lacks; those with a null in their key match nothing, and are not moved for it."""
+    known = new.where(_no_null(keys)).join(target.where(_no_null(keys)).select(*keys), list(keys), "left_anti")
+    return known.select(*new.columns).unionByName(new.where(~_no_null(keys)))
 
 
 def inserted(target: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """target and those new rows whose keys it lacks; a key that repeats in ``new`` is an error."""
-    return target.unionByName(single(new, keys).join(target.select(*keys), list(keys), "left_anti").select(*new.columns))
+    return target.unionByName(unseen(single(new, keys), target, keys))
 
 
 def upserted(target: DataFrame, new: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
     """target with new rows in place of those with their keys; with ``order`` the row with the largest value stays, so that batches
     may come in any order and repeat keys, which is an error without it."""
     if order is not None:
-        return first_rows(target.unionByName(new), keys, [F.col(order).desc()])
-    return target.join(new.select(*keys), list(keys), "left_anti").select(*target.columns).unionByName(single(new, keys))
+        own = first_rows(target.unionByName(new).where(_no_null(keys)), keys, [F.col(order).desc()])
+        return own.unionByName(target.unionByName(new).where(~_no_null(keys)))
+    return unseen(target, new, keys).unionByName(single(new, keys))
 
 
 def touched(new: DataFrame, partition: str, most: int = 10_000) -> list:
-    """The partitions that hold new rows; a batch that touches more than ``most`` is refused."""
+    """The partitions that hold new rows, null among them; a batch that touches more than ``most`` is refused."""
     found = [r[0] for r in new.select(partition).distinct().limit(most + 1).collect()]
     if len(found) > most:
         raise ValueError(f"the batch touches over {most} partitions")
     return found
 
 
-def merge_into(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], partition: str, update: bool, order: str | None = None) -> int:
-    """Insert-only or upsert into a table partitioned by ``partition``, which must be one of the keys or follow from them.
-    Returns how many partitions were written."""
-    parts = touched(new, partition)
-    if not parts:
-        return 0
+def within(partition: str, parts: Sequence) -> Column:
+    """Rows of some partitions; pruned when it is a table's partition column."""
+    known = F.col(partition).isin(*[p for p in parts if p is not None])
+    return known | F.col(partition).isNull() if None in parts else known
+
+
+def stored(spark: SparkSession, path: str, like: DataFrame, partition: str, parts: Sequence) -> DataFrame:
+    """The stored rows of some partitions; none if there is no table yet."""
     try:
-        target = spark.read.schema(new.schema).parquet(path).where(F.col(partition).isin(*parts))
+        return spark.read.schema(like.schema).parquet(path).where(within(partition, parts))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        target = new.where(F.lit(False))
-    result = materialize(upserted(target, new, keys, order) if update else inserted(target, new, keys), "merge")
+        return like.where(F.lit(False))
+
+
+def merge_into(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], partition: str, update: bool, order: str | None = None) -> int:
+    """Insert-only or upsert into a table partitioned by ``partition``, which must be one of the keys or follow from them.  The batch is evaluated
+    once.  Rows of a null partition, and those with a null in their key, are stored like others; the latter match nothing.  Returns how many
+    partitions were written."""
+    batch = materialize(new, "batch")
+    parts = touched(batch, partition)
+    if not parts:
+        return 0
+    target = stored(spark, path, batch, partition, parts)
+    result = materialize(upserted(target, batch, keys, order) if update else inserted(target, batch, keys), "merge")
     replace_partitions(result.select(*new.columns), path, partition)
     return len(parts)
 
 
+def append_unseen(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], partition: str) -> None:
+    """Adds those rows of ``batch``, a written table, whose keys the partitions that they touch lack.  Of these only the keys are read, and nothing is
+    written anew.  Run again after a failure it adds what is not there yet."""
+    parts = touched(batch, partition)
+    if parts:
+        rows = unseen(single(batch, keys), stored(spark, path, batch, partition, parts), keys)
+        rows.write.mode("append").partitionBy(partition).parquet(path)
+
+
 def reloaded(old: DataFrame, new: DataFrame, within: Column) -> DataFrame:
     """Delete what ``within`` holds for, then insert."""
     return old.where(~F.coalesce(within, F.lit(False))).unionByName(new)

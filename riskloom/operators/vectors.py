@@ -1,22 +1,26 @@
 """Title embeddings: means, anchors, pooling, trailing means and deviations.
 
-Vectors stay arrays.  Titles meet anchors by exploding a broadcast list of anchors inside each row, so the long (title, anchor)
-form is one projection, aggregated at once; anchors are pivoted last.
+Vectors stay arrays.  Titles meet anchors in matrix products, one per Arrow batch and block of anchors; the long (title, anchor) form is written
+once where several aggregates read it, and anchors are pivoted last.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import array_mean, cosine, dot, norm, scaled
 from riskloom.operators import dealt
 from riskloom.operators.windows import Roll, accelerated, frame, rolled
+from riskloom.session import materialize
 
-#: Anchors go to every task, in rows of so many.
-MOST_ANCHORS = 1000
+#: Bytes of the anchors that go to every task at once, and of the similarities that a task holds at once.
+MOST_BYTES = 1 << 26
 
 
 def daily_means(titles: DataFrame, keys: Sequence[str] = ("country", "day")) -> DataFrame:
@@ -33,29 +37,110 @@ def anchors_of(labelled: DataFrame, label: str = "label") -> DataFrame:
     return labelled.groupBy(F.col(label).alias("anchor")).agg(array_mean("vec").alias("vec")).select("anchor", scaled(F.col("vec")).alias("vec"))
 
 
+def anchor_blocks(anchors: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
+    """Ids and vectors (as rows of a matrix), in order of the ids, in blocks of at most MOST_BYTES; blocks are read one at a time."""
+    stored = materialize(anchors.where("vec is not null").select("anchor", F.col("vec").cast("array<double>").alias("vec")), "anchors")
+    n, dims = stored.agg(F.count("*"), F.max(F.size("vec"))).first()
+    if not n:
+        return
+    per = max(1, MOST_BYTES // (8 * max(dims, 1)))
+    block = F.floor((F.row_number().over(Window.orderBy("anchor")) - 1) / per)  # one row per anchor, without vectors
+    placed = materialize(stored.select("anchor").withColumn("block", block), "blocks")
+    for k in range(-(-n // per)):
+        rows = stored.join(F.broadcast(placed.where(F.col("block") == k).select("anchor")), "anchor").orderBy("anchor").collect()
+        yield [r.anchor for r in rows], np.array([list(r.vec) for r in rows], float).reshape(len(rows), -1)
+
+
+def _products(shared):
+    """A function of batches of vectors: their cosines with the rows of a broadcast matrix."""
+
+    @F.pandas_udf("array<double>")
+    def products(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = shared.value
+        size, dims = np.sqrt(np.einsum("ij,ij->i", own, own)), own.shape[1]
+        at_once = max(1, MOST_BYTES // (8 * max(len(own), dims)))
+        for batch in batches:
+            out = []
+            for k in range(0, len(batch), at_once):
+                part = batch.iloc[k : k + at_once].tolist()
+                fits = [v is not None and len(v) == dims for v in part]
+                x = np.array([v for v, ok in zip(part, fits, strict=True) if ok], float).reshape(-1, dims)
+                cos = iter((x @ own.T) / (np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] * size + 1e-12))
+                out += [next(cos) if ok else [None] * len(own) for ok in fits]
+            yield pd.Series(out, dtype=object, index=batch.index)
+
+    return products
+
+
 def similarities(rows: DataFrame, anchors: DataFrame, vec: str = "vec", keep: Sequence[str] = ("country", "day")) -> DataFrame:
-    """Long form: one row per row and anchor with its cosine; each MOST_ANCHORS anchors are one broadcast row."""
-    block = F.floor((F.row_number().over(Window.orderBy("anchor")) - 1) / MOST_ANCHORS)  # one row per label
-    listed = anchors.withColumn("_b", block).groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("anchor", "vec"))).alias("_a")).drop("_b")
+    """Long form: one row per row and anchor (one row per ``anchor``) with its cosine.  Each Arrow batch of vectors meets a block of anchors in one
+    matrix product; a vector that is null or of another length has null cosines."""
+    spark, parts, place = rows.sparkSession, [], "place in block"
+    for names, matrix in anchor_blocks(anchors):
+        products = _products(spark.sparkContext.broadcast(matrix))
+        label = spark.createDataFrame(list(enumerate(names)), f"`{place}` int, anchor {anchors.schema['anchor'].dataType.simpleString()}")
+        each = rows.select(*keep, F.posexplode(products(F.col(vec).cast("array<double>"))).alias(place, "cos"))
+        parts.append(each.join(F.broadcast(label), place).select(*keep, "anchor", "cos"))  # ids of one block
+    if not parts:
+        return rows.select(*keep, F.lit(None).cast(anchors.schema["anchor"].dataType).alias("anchor"), F.lit(None).cast("double").alias("cos")).where(F.lit(False))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def similarities_in_place(rows: DataFrame, anchors: DataFrame, vec: str = "vec", keep: Sequence[str] = ("country", "day")) -> DataFrame:
+    """As ``similarities``, without Python, for a few short anchors: they are one row, and each pair is computed by array functions."""
+    listed = anchors.where("vec is not null").agg(F.array_sort(F.collect_list(F.struct("anchor", "vec"))).alias("_a"))
+    if (anchors.agg(F.sum(F.size("vec"))).first()[0] or 0) > MOST_BYTES // 8:
+        raise ValueError("too many anchors for one row")
     each = rows.join(F.broadcast(listed)).select(*keep, F.col(vec).alias("_v"), F.explode("_a").alias("_x"))
     return each.select(*keep, F.col("_x.anchor").alias("anchor"), cosine(F.col("_v"), F.col("_x.vec")).alias("cos"))
 
 
 def thresholds(sims: DataFrame, q: float = 0.9, keys: Sequence[str] = ("country", "anchor"), exact: bool = True) -> DataFrame:
-    """A percentile of the cosines per group.  Groups may be of any size: exact ones come from ranges of values, the others from a sketch."""
+    """A percentile of the cosines per group.  Groups may be of any size: exact ones of large groups come from ranges of values, the others from
+    a sketch."""
     if exact:
-        return dealt.percentiles(sims, "cos", {"threshold": q}, keys)
+        return dealt.percentiles(sims, "cos", {"threshold": q}, keys, small=SMALL)
     return sims.groupBy(*keys).agg(F.percentile_approx("cos", q).alias("threshold"))
 
 
+#: Groups of up to so many rows are put in order in one task.
+SMALL = 100_000
+
+
+def sketched(sims: DataFrame, keys: Sequence[str] = ("country", "anchor"), value: str = "cos") -> DataFrame:
+    """A quantile sketch per group, to be stored for each load: keys, n, sketch (at most some kilobytes)."""
+    rows = sims.where(F.col(value).isNotNull())
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.kll_sketch_agg_double(value).alias("sketch"))
+
+
+def merged_sketches(stored: DataFrame, keys: Sequence[str] = ("country", "anchor")) -> DataFrame:
+    """Sketches of several loads to one per group."""
+    return stored.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketched_percentiles(stored: DataFrame, q: Mapping[str, float], keys: Sequence[str] = ("country", "anchor")) -> DataFrame:
+    """Percentiles of all loads' rows; their rank is off by about 1.3 % at most (the sketch's k of 200), however many loads there were."""
+    merged = merged_sketches(stored, keys)
+    return merged.select(*keys, "n", *[F.kll_sketch_get_quantile_double("sketch", F.lit(float(x))).alias(name) for name, x in q.items()])
+
+
 def pooled(sims: DataFrame, limits: DataFrame, keys: Sequence[str] = ("country", "day", "anchor"), exact: bool = True) -> DataFrame:
-    """Per day and anchor: largest, p95 and p99 cosine, count over the country's threshold."""
+    """Per day and anchor: largest, p95 and p99 cosine, count over the country's threshold.  In one pass, but for days of over SMALL rows, whose
+    exact percentiles come from ranges of values."""
     ends = {"p95": 0.95, "p99": 0.99}
-    sketched = [] if exact else [F.percentile_approx("cos", q).alias(name) for name, q in ends.items()]
-    per = sims.join(limits, ["country", "anchor"]).groupBy(*keys).agg(F.max("cos").alias("top"), *sketched, F.count_if(F.col("cos") > F.col("threshold")).alias("over"))
-    if exact:
-        per = per.join(dealt.percentiles(sims, "cos", ends, keys), list(keys))
-    return per.select(*keys, "top", *ends, "over")
+    joined = sims.join(limits, ["country", "anchor"])
+    extremes = [F.max("cos").alias("top"), F.count_if(F.col("cos") > F.col("threshold")).alias("over")]
+    if not exact:
+        return joined.groupBy(*keys).agg(*extremes, *[F.percentile_approx("cos", q).alias(name) for name, q in ends.items()]).select(*keys, "top", *ends, "over")
+    large = dealt.large(sims, keys, SMALL)
+    own = lambda rows: rows.groupBy(*keys).agg(*extremes, F.percentile("cos", F.array(*[F.lit(q) for q in ends.values()])).alias("_p"))
+    named = [F.col("_p")[i].alias(name) for i, name in enumerate(ends)]
+    if large is None:
+        return own(joined).select(*keys, "top", *named, "over")
+    rest = own(dealt.outside(joined, large, keys)).select(*keys, "top", *named, "over")
+    per = dealt.inside(joined, large, keys).groupBy(*keys).agg(*extremes)
+    per = per.join(dealt.percentiles(dealt.inside(sims, large, keys), "cos", ends, keys), list(keys))
+    return rest.unionByName(per.select(*keys, "top", *ends, "over"))
 
 
 def day_signals(pool: DataFrame, pair: tuple[int, int], keys: Sequence[str] = ("country", "day")) -> DataFrame:

@@ -1,5 +1,8 @@
 """Vector features."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import norm, r6
@@ -27,12 +30,14 @@ def sims(spark, sf):
     return vectors.similarities(t, vectors.anchors_of(t), keep=["vec_id", "country", "day"])
 
 
-def limits(spark, sf):
-    return vectors.thresholds(sims(spark, sf).where(f"day <= '{TRAIN}'"))
+def limits(spark, sf, rows=None):
+    rows = sims(spark, sf) if rows is None else rows
+    return vectors.thresholds(rows.where(f"day <= '{TRAIN}'"))
 
 
 def pool(spark, sf):
-    return vectors.pooled(sims(spark, sf), limits(spark, sf))
+    rows = materialize(sims(spark, sf), "similarities")  # for thresholds and for the days
+    return vectors.pooled(rows, limits(spark, sf, rows))
 
 
 def means(spark, sf):
@@ -115,6 +120,21 @@ def agg_14(spark, sf):
     return vectors.thresholds(day_cos(spark, sf).where(f"day <= '{TRAIN}'")).withColumn("threshold", r6("threshold"))
 
 
+@query("agg_13_sketches", "SELECT country, anchor, true AS near, count(*) AS n FROM sims GROUP BY ALL", ctes=VEC)
+def agg_13_sketches(spark, sf):
+    """Sketches of three loads, stored and merged: whether each group's p50, p90 and p99 stand where exact ranks allow, within 3 %."""
+    rows = materialize(sims(spark, sf), "similarities")
+    stored = materialize(reduce(DataFrame.unionByName, [vectors.sketched(rows.where(F.col("vec_id") % 3 == k)) for k in range(3)]), "sketches")
+    q = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+    both = rows.join(vectors.sketched_percentiles(stored, q), ["country", "anchor"])
+    below = lambda c: F.avg((F.col("cos") < F.col(c)).cast("int"))
+    upto = lambda c: F.avg((F.col("cos") <= F.col(c)).cast("int"))
+    near = F.lit(True)
+    for c, x in q.items():
+        near = near & (below(c) <= x + 0.03) & (upto(c) >= x - 0.03)
+    return both.groupBy("country", "anchor").agg(near.alias("near"), F.max("n").alias("n"))
+
+
 R_POOL = "SELECT country, day, anchor, round(top, 6) + 0.0 AS top, round(p95, 6) + 0.0 AS p95, round(p99, 6) + 0.0 AS p99, over FROM pool"
 
 
@@ -147,7 +167,8 @@ def agg_16(spark, sf):
     ctes=VEC,
 )
 def agg_17(spark, sf):
-    return vectors.any_share(sims(spark, sf), limits(spark, sf), range(5), "vec_id").withColumn("share", r6("share"))
+    rows = materialize(sims(spark, sf), "similarities")
+    return vectors.any_share(rows, limits(spark, sf, rows), range(5), "vec_id").withColumn("share", r6("share"))
 
 
 @query(
@@ -256,8 +277,8 @@ CGRID = (
 )
 
 
-def cos_grid(spark, sf):
-    d = day_cos(spark, sf)
+def cos_grid(spark, sf, rows=None):
+    d = materialize(day_cos(spark, sf), "day_cos") if rows is None else rows
     return grid.filled(grid.calendar(d, keys=["country", "anchor"]), d, ["country", "day", "anchor"])
 
 
@@ -298,7 +319,8 @@ def win_31(spark, sf):
     ctes=VEC + CGRID,
 )
 def win_32(spark, sf):
-    d = vectors.exceedances(cos_grid(spark, sf), vectors.thresholds(day_cos(spark, sf).where(f"day <= '{TRAIN}'")))
+    rows = materialize(day_cos(spark, sf), "day_cos")
+    d = vectors.exceedances(cos_grid(spark, sf, rows), vectors.thresholds(rows.where(f"day <= '{TRAIN}'")))
     return d.select("country", "day", "anchor", F.col("over_1").cast("int").alias("over_1"), "over_7", "over_30")
 
 

@@ -8,7 +8,7 @@ from riskloom.operators.windows import Roll, rolled
 from riskloom.plans.fixtures import predictions
 from riskloom.plans.panel import LBL, OWN, label_panel, order_panel
 from riskloom.plans.registry import query
-from riskloom.session import materialize
+from riskloom.session import fresh_path, materialize
 
 CUT = (
     "cu AS (SELECT p, _n, _p, sum(_n) OVER w AS n, sum(_p) OVER w AS tp, sum(_p) OVER () AS pos, sum(_n) OVER () AS tot "
@@ -225,6 +225,21 @@ def agg_25(spark, sf):
     return evaluate.correlations(order_panel(spark, sf), ["n", "amount"]).where("abs(r) > 0.5").withColumn("r", F.round("r", 5))
 
 
+WIDE = [f"f{k}" for k in range(24)]
+WIDE_SQL = "wide AS (SELECT " + ", ".join(f"CASE WHEN (n + {k}) % 11 > 0 THEN n * {k % 5} + amount * ((n + {k}) % {k + 2}) END AS f{k}" for k in range(24)) + " FROM op)"
+
+
+@query(
+    "agg_25_wide",
+    "SELECT a, b, round(r, 5) + 0.0 AS r FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM wide" for i, a in enumerate(WIDE) for b in WIDE[i + 1 :]) + ") WHERE abs(r) > 0.05",
+    ctes=f"{OWN}, {WIDE_SQL}",
+)
+def agg_25_wide(spark, sf):
+    op, n = order_panel(spark, sf), F.col("n")
+    wide = op.select(*[F.when((n + k) % 11 > 0, n * (k % 5) + F.col("amount") * ((n + k) % (k + 2))).alias(f"f{k}") for k in range(24)])
+    return evaluate.correlations(wide, WIDE).where("abs(r) > 0.05").withColumn("r", F.round("r", 5) + F.lit(0.0))
+
+
 @query(
     "agg_26",
     "SELECT split, count(*) AS n, sum(y)::BIGINT AS positives, round(avg(y), 6) AS rate "
@@ -272,7 +287,9 @@ def trn_02(spark, sf):
 
 @query("trn_03")
 def trn_03(spark, sf):
-    return learning.out_of_fold(learnable(spark, sf).where("fold <= 1998"), "fold", [1995, 1996, 1997, 1998], FEATURES, "y").select("country", "day", "fold", "y", "p")
+    """All six years after the first, each predicted from the years before it; the models are written as they are fitted."""
+    df = materialize(learning.folds_by_time(learnable(spark, sf).drop("fold"), "day", 6), "folds")
+    return learning.out_of_fold(df, "fold", FEATURES, "y", fresh_path(spark, "fold_models")).select("country", "day", "fold", "y", "p")
 
 
 @query("trn_04")

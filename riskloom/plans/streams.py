@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from riskloom import streaming
 from riskloom.functions import r6
 from riskloom.operators import text
-from riskloom.plans.fixtures import articles, messages, news
+from riskloom.operators.windows import Roll
+from riskloom.plans.fixtures import articles, messages, nations, news
 from riskloom.plans.panel import ONLINE, OWN, order_panel
 from riskloom.plans.registry import query
 from riskloom.plans.texts import EV, HURT, KINDS, LEX, NEG, PLACES
@@ -15,10 +16,10 @@ from riskloom.sources import overwrite
 
 
 def landing(df, spark, label, files=4, order=None):
-    """The rows as files that a stream reads."""
+    """The rows as files that a stream reads, one in a batch."""
     path = fresh_path(spark, label)
     (df.repartitionByRange(files, order) if order else df.repartition(files)).write.parquet(path)
-    return streaming.landed(spark, path, df.schema)
+    return streaming.landed(spark, path, df.schema, 1)
 
 
 def news_rows(spark, sf):
@@ -29,7 +30,8 @@ def news_rows(spark, sf):
 def st_01(spark, sf):
     n = news(spark, sf).select("event_id", "value", F.col("ts").cast("timestamp").alias("ingested"), "day")
     path = fresh_path(spark, "events")
-    streaming.insert_events(landing(n.unionByName(n.where("event_id % 10 = 0")), spark, "landed", order="ingested"), path)
+    # in no order of time, so that some events come after the watermark, and a tenth of them come again
+    streaming.insert_events(landing(n.unionByName(n.where("event_id % 10 = 0")), spark, "landed"), path, fixed_stamps=True)
     return spark.read.schema(n.schema).parquet(path).select("event_id", "day", r6("value").alias("value"))
 
 
@@ -47,7 +49,7 @@ def st_03(spark, sf):
     path = fresh_path(spark, "late")
     overwrite(n.where("event_id % 4 = 0"), path, "day")
     late = n.where("event_id % 4 <> 0 or event_id % 8 = 0").select(n.columns)
-    streaming.insert_events(landing(late, spark, "late_rows", order="ingested"), path, delay="1 day")
+    streaming.insert_events(landing(late, spark, "late_rows"), path, delay="1 day")
     return spark.read.schema(n.schema).parquet(path).groupBy("country", "day").agg(F.count("*").alias("n"))
 
 
@@ -61,13 +63,14 @@ def st_03(spark, sf):
 def st_04(spark, sf):
     rows = order_panel(spark, sf).select("country", "day", F.col("n").cast("double").alias("value"))
     path, out = fresh_path(spark, "series"), fresh_path(spark, "scores")
-    panel = materialize(rows.withColumn("year", F.year("day")), "panel", "year")
-    # files are read as they landed: years one after another, and in a year a country is in one file, so that its days stay in order
-    # over batches, wherever these are cut
-    for year in sorted(r[0] for r in panel.select("year").distinct().collect()):
-        panel.where(F.col("year") == year).drop("year").repartition(4, "country").write.mode("append").parquet(path)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    streaming.drain(streaming.online_scores(streaming.landed(spark, path, rows.schema)), lambda df, _: df.write.mode("append").parquet(out))
+    panel = materialize(rows, "panel")
+    # files are read as they landed: an earlier and a later part of all days, a country in one file of each, so that its days stay in order
+    middle = panel.agg(F.expr("min(day) + cast(datediff(max(day), min(day)) / 2 as int)")).first()[0]
+    for part in (F.col("day") <= F.lit(middle), F.col("day") > F.lit(middle)):
+        panel.where(part).repartition(4, "country").write.mode("append").parquet(path)
+    with streaming.keyed_state(spark, 8):
+        stream = streaming.online_scores(streaming.landed(spark, path, rows.schema))
+        streaming.drain(stream, lambda df, _: df.write.mode("append").parquet(out))
     back = spark.read.schema("country string, day date, value double, mean double, z double, score double").parquet(out)
     # off the ties of rounding, where the last bit of a mean would decide
     return back.select("country", "day", "value", r6(F.col("mean") + 1e-9).alias("mean"), (F.round("z", 4) + F.lit(0.0)).alias("z"))
@@ -94,6 +97,28 @@ def st_06(spark, sf):
     return kept_latest(streaming.daily_totals(landing(n, spark, "total_rows", order="ts")), spark, "totals", ["country", "day"], "country string, day date, events long, deaths long")
 
 
+ROLLS = [Roll("events_7", "events", "sum", 7, 1, fill=0), Roll("events_30", "events", "sum", 30, 0), Roll("deaths_7", "deaths", "avg", 7), Roll("deaths_top", "deaths", "max", 30, 1, fill=0)]
+
+
+@query(
+    "st_06_panel",
+    "SELECT country, day, events, deaths, coalesce(sum(events) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 0)::BIGINT AS events_7, "
+    "(sum(events) OVER (w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))::BIGINT AS events_30, round(avg(deaths) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS deaths_7, "
+    "coalesce(max(deaths) OVER (w ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), 0)::BIGINT AS deaths_top "
+    "FROM (SELECT country, day, coalesce(n, 0) AS events, coalesce(f, 0)::BIGINT AS deaths FROM (SELECT country FROM nat) "
+    "CROSS JOIN (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM news) "
+    "LEFT JOIN (SELECT country, day, count(*) AS n, sum(fatalities) AS f FROM news GROUP BY ALL) USING (country, day)) "
+    "WINDOW w AS (PARTITION BY country ORDER BY day)",
+)
+def st_06_panel(spark, sf):
+    """The panel after events have come in no order of days."""
+    n = news_rows(spark, sf).select("event_id", "country", "fatalities", F.col("ts").alias("ingested"), "day")
+    root = fresh_path(spark, "fed")
+    streaming.feed_panel(landing(n, spark, "fed_rows"), root, nations(spark, sf), {"events": F.count("*"), "deaths": F.sum("fatalities").cast("long")}, ROLLS)
+    rows = spark.read.parquet(f"{root}/panel")
+    return rows.select("country", F.col("day").cast("date").alias("day"), "events", "deaths", "events_7", "events_30", r6("deaths_7").alias("deaths_7"), "deaths_top")
+
+
 @query(
     "st_07",
     "SELECT channel, count(*) AS n, count(*) FILTER (is_conflict) AS conflict FROM ev WHERE sent_at >= TIMESTAMP '2024-01-02' "

@@ -140,28 +140,31 @@ def txt_15(spark, sf):
     return articles(spark, sf).select("doc_id", joined(text.theme_labels(F.col("title"), RULES)).alias("labels"))
 
 
-#: Beside the eight expressions of casualties, which invented prose seldom fits, any number with its next letters.
-NUMBERS = ((r"\b(\d+)\b", "number"), (r"\b(\d+)[ -]\d", "before"))
+#: Words that the given texts hold near numbers, in place of words of harm, and beginnings of theirs.
+TOLD = {"dead": ("the", "der", "est"), "hurt": ("of", "que", "und", "les")}
+BEGIN = (("first", ("tha", "ver")), ("second", ("ción", "eau")), ("third", ("call", "key-", "+")))
 
 
 def _mentions_sql() -> str:
-    """Written apart from the operator: a union of expressions, then distinct."""
-    deaths = ("(\\d+)\\s+(?:people\\s+)?(?:killed|dead)", "kill(?:ed|s)?\\s+(?:over\\s+|at\\s+least\\s+)?(\\d+)", "dead\\s+(?:and\\s+)?(?:over\\s+|at\\s+least\\s+)?(\\d+)")
-    harm = ("(\\d+)\\s+(?:people\\s+)?(?:injured|wounded)", "injur(?:ed|es|e)\\s+(?:over\\s+|at\\s+least\\s+)?(\\d+)", "wound(?:ed|s)?\\s+(?:over\\s+|at\\s+least\\s+)?(\\d+)")
-    number = (("\\b(\\d+)\\b", "number"), ("\\b(\\d+)[ -]\\d", "before"))
-    every = [(f"\\b{x}\\b", label) for own, label in ((deaths, "dead"), (harm, "hurt")) for x in own] + list(number)
-    parts = " UNION ".join(f"SELECT doc_id, '{label} ' || unnest(regexp_extract_all(lower(text), '{x}', 1)) AS m FROM art" for x, label in every)
-    acts = ", ".join(f"CASE WHEN contains(lower(text), '{term}') THEN '{label}' END" for term, label in text.ACTIONS)
+    """Sentences to tokens; for each number the distances to words of harm, the nearest, then the first of each mention."""
+    label = "CASE " + " ".join(f"WHEN w IN {words} THEN '{name}'" for name, words in TOLD.items()) + " END"
+    acts = ", ".join(f"CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])({'|'.join(x.replace('+', chr(92) + '+') for x in starts)})') THEN '{name}' END" for name, starts in BEGIN)
     return (
-        f"SELECT art.doc_id, coalesce(found, '') AS found, array_to_string(list_filter([{acts}], lambda x: x IS NOT NULL), ',') AS actions "
-        f"FROM art LEFT JOIN (SELECT doc_id, string_agg(m, ',' ORDER BY m) AS found FROM ({parts}) GROUP BY doc_id) USING (doc_id)"
+        f"SELECT art.doc_id, coalesce(found, '') AS found, array_to_string(list_filter([{acts}], lambda x: x IS NOT NULL), ',') AS deeds FROM art LEFT JOIN "
+        "(SELECT doc_id, string_agg(m, ',' ORDER BY s, i) AS found FROM (SELECT doc_id, m, min((s, i)).s AS s, min((s, i)).i AS i FROM "
+        "(SELECT doc_id, s, i, label || ' ' || replace(num, ',', '') AS m, {'s': s, 'i': i} AS at FROM tok_near) GROUP BY doc_id, m) GROUP BY doc_id) USING (doc_id)"
+    ).replace("min((s, i)).s AS s, min((s, i)).i AS i", "min(at).s AS s, min(at).i AS i"), (
+        "sen AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[.;!?\n]')) AS sentence, generate_subscripts(string_split_regex(lower(text), '[.;!?\n]'), 1) AS s FROM art), "
+        "tok AS (SELECT doc_id, s, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, s, regexp_extract_all(sentence, '[0-9]+(?:,[0-9]{3})*|[a-z]+|,') AS t FROM sen)), "
+        f"har AS (SELECT *, {label} AS label FROM tok WHERE {label} IS NOT NULL), "
+        "tok_near AS (SELECT tok.doc_id, tok.s, tok.i, tok.w AS num, min_by(har.label, abs(har.i - tok.i) * 2 + (har.i < tok.i)::INT) AS label FROM tok JOIN har ON har.doc_id = tok.doc_id AND har.s = tok.s "
+        "AND abs(har.i - tok.i) BETWEEN 1 AND 3 WHERE regexp_matches(tok.w, '^[0-9]') GROUP BY ALL)"
     )
 
 
-@query("txt_16", _mentions_sql())
+@query("txt_16", _mentions_sql()[0], ctes=_mentions_sql()[1])
 def txt_16(spark, sf):
-    mentions = F.array_sort(text.casualties(F.col("text"), [*text.COUNTED, *NUMBERS]))
-    return articles(spark, sf).select("doc_id", joined(mentions).alias("found"), joined(text.actions(F.col("text"))).alias("actions"))
+    return articles(spark, sf).select("doc_id", joined(text.casualties(F.col("text"), TOLD)).alias("found"), joined(text.deeds(F.col("text"), BEGIN)).alias("deeds"))
 
 
 @query(

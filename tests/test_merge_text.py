@@ -113,7 +113,6 @@ def test_summary_length_and_entities(spark):
     got = [r[0] for r in df.select(text.summary(F.col("t"))).collect()]
     assert len(got[0]) == 222 and got[1] == "a b c"
     assert df.select(text.unescaped(F.col("t"))).collect()[2][0] == "<b> &amp;"
-    assert df.limit(1).select(F.size(text.casualties(F.lit("3 people killed and 5 wounded; killed at least 3")))).first()[0] == 2
 
 
 def test_hash_depends_on_content(spark):
@@ -127,3 +126,34 @@ def test_average_precision_groups_ties(spark):
     assert evaluate.average_precision(df, "p", "y").first().ap == pytest.approx(0.5 * 1 + 0.5 * 2 / 3)
     assert evaluate.roc_auc(df, "p", "y").first().auc == pytest.approx(0.875)
     assert evaluate.roc_auc(df.where("y = 1"), "p", "y").first().auc is None
+
+
+@pytest.mark.parametrize("update", [False, True])
+def test_merges_keep_null_partitions_and_null_keys(spark, update):
+    kind = "id long, day date, v string"
+    day = dt.date(2024, 1, 1)
+    path = fresh_path(spark, "m")
+    merge.merge_into(spark, path, spark.createDataFrame([(1, None, "a"), (2, day, "b"), (None, day, "x")], kind), ["id", "day"], "day", update)
+    merge.merge_into(spark, path, spark.createDataFrame([(3, None, "c"), (None, day, "y"), (None, day, "y")], kind), ["id", "day"], "day", update)
+    like = spark.createDataFrame([], kind)
+    got = [tuple(r) for r in spark.read.schema(like.schema).parquet(path).select("id", "day", "v").collect()]
+    assert sorted(got, key=str) == sorted([(1, None, "a"), (2, day, "b"), (3, None, "c"), (None, day, "x"), (None, day, "y"), (None, day, "y")], key=str)
+    merge.append_unseen(spark, path, spark.createDataFrame([(2, day, "B"), (4, day, "d"), (5, None, "e")], kind), ["id"], "day")
+    got = {(r.id, r.v) for r in spark.read.schema(like.schema).parquet(path).collect()}
+    assert got == {(1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, "e"), (None, "x"), (None, "y")}
+
+
+def test_a_batch_is_evaluated_once(spark, tmp_path):
+    kind = "id long, day date, v string"
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    path = fresh_path(spark, "m")
+    new = spark.createDataFrame([(k, dt.date(2024, 1, 1 + k % 3), "a") for k in range(30)], kind).mapInPandas(counted, kind)
+    merge.merge_into(spark, path, new, ["id", "day"], "day", True)
+    merge.merge_into(spark, path, new, ["id", "day"], "day", True)
+    assert seen.value == 60

@@ -108,11 +108,49 @@ def test_persons_of_whole_texts(spark, sf, docs):
     close(result(spark, sf, "agg_09"), want, "persons", "person_top", "person_tokens")
 
 
-def test_more_anchors_than_a_row_holds(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "MOST_ANCHORS", 2)
+@pytest.mark.parametrize("bytes_at_once", [16, 1 << 26])
+def test_blocks_of_anchors(spark, monkeypatch, bytes_at_once):
+    monkeypatch.setattr(vectors, "MOST_BYTES", bytes_at_once)
     anchors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "anchor int, vec array<double>")
-    rows = spark.createDataFrame([("A", "d", [1.0, 0.0]), ("B", "d", [0.0, 1.0])], "country string, day string, vec array<double>")
+    rows = spark.createDataFrame([("A", "d", [1.0, 0.0]), ("B", "d", [0.0, 1.0]), ("C", "d", None), ("D", "d", [1.0])], "country string, day string, vec array<double>")
     got = {(r.country, r.anchor): r.cos for r in vectors.similarities(rows, anchors).collect()}
-    assert len(got) == 10
+    assert len(got) == 20
     for i in range(5):
         assert got["A", i] == pytest.approx((1 + i * i) ** -0.5) and got["B", i] == pytest.approx(i * (1 + i * i) ** -0.5)
+        assert got["C", i] is None and got["D", i] is None
+    assert vectors.similarities(rows, anchors.limit(0)).count() == 0 and vectors.similarities(rows.limit(0), anchors).count() == 0
+
+
+def test_both_ways_of_similarities_agree(spark):
+    rng = np.random.default_rng(2)
+    vecs = lambda n: [(i, rng.normal(size=96).tolist()) for i in range(n)]
+    rows, anchors = spark.createDataFrame(vecs(150), "country int, vec array<double>"), spark.createDataFrame(vecs(40), "anchor int, vec array<double>")
+    a, b = ({(r.country, r.anchor): r.cos for r in f(rows, anchors, keep=["country"]).collect()} for f in (vectors.similarities, vectors.similarities_in_place))
+    assert len(a) == 6000 and a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-9
+
+
+def test_pools_of_large_and_small_days(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [("A", 1 if k % 4 else 2, k % 2, float(x)) for k, x in enumerate(rng.normal(size=400))]
+    sims = spark.createDataFrame(rows, "country string, day int, anchor int, cos double")
+    limits = vectors.thresholds(sims)
+    want = sorted(map(tuple, vectors.pooled(sims, limits).collect()))
+    for small in (1, 60):
+        monkeypatch.setattr(vectors, "SMALL", small)
+        assert np.allclose(np.array([r[1:] for r in sorted(map(tuple, vectors.pooled(sims, vectors.thresholds(sims)).collect()))]), np.array([r[1:] for r in want]))
+    own = [x for _, d, a, x in rows if d == 1 and a == 1]
+    assert next(r for r in want if r[1:3] == (1, 1))[3:6] == pytest.approx((max(own), np.percentile(own, 95), np.percentile(own, 99)))
+
+
+def test_sketches_of_loads_merge_to_those_of_all(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=30000)
+    rows = spark.createDataFrame(pd.DataFrame({"country": "A", "anchor": 1, "cos": x, "load": np.arange(30000) % 7}))
+    loads = [vectors.sketched(rows.where(f"load = {k}")) for k in range(7)]
+    stored = loads[0]
+    for more in loads[1:]:
+        stored = stored.unionByName(more)
+    got = vectors.sketched_percentiles(stored, {"a": 0.5, "b": 0.9, "c": 0.99}).first()
+    assert got.n == 30000
+    for q, v in ((0.5, got.a), (0.9, got.b), (0.99, got.c)):
+        assert abs((x <= v).mean() - q) < 0.0133 * 1.5
