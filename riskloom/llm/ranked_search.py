@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import by_value
 from riskloom.session import fresh_path, materialize, table, written
 
-#: Postings in a block; postings and documents in a shard.
-BLOCK, MOST_POSTINGS, MOST_DOCS = 128, 1 << 22, 1 << 16
+#: Postings in a block; postings and documents in a shard; lists handed to Spark at once.
+BLOCK, MOST_POSTINGS, MOST_DOCS, MOST_LISTS = 128, 1 << 20, 1 << 16, 1 << 14
 #: Items and characters of items sent to the shards at once.
 MOST_ITEMS, MOST_CHARS = 1000, 1 << 24
 TOP = 10
@@ -91,8 +91,8 @@ class Shard:
         self.counts.append(np.fromiter(counts.values(), np.int64, len(counts)))
         self.postings += len(counts)
 
-    def rows(self, shard: int) -> pd.DataFrame:
-        """One row per term, and one without a term for the documents, in the order of their ids."""
+    def rows(self, shard: int) -> Iterator[pd.DataFrame]:
+        """One row per term, and one without a term for the documents, in the order of their ids; some thousand rows at once."""
         none = np.array([i is None for i in self.ids])
         ids, lengths = np.array([0 if i is None else i for i in self.ids], np.int64), np.array(self.lengths, np.int64)
         order = np.lexsort((lengths, ids, none))
@@ -122,23 +122,20 @@ class Shard:
         pair_tf, pair_n = tf[best].astype("<i4"), length[best].astype("<i4")
         # A term's blocks, bytes and pairs.
         block_end = np.cumsum(-(-df // BLOCK))
-        names, out, b0 = list(self.vocabulary), [], 0
-        heads = term[head].tolist()
-        for name, n, b1 in zip(heads, df.tolist(), block_end.tolist(), strict=True):
-            r0, p0 = (bytes_end[b0 - 1], pairs_end[b0 - 1]) if b0 else (0, 0)
-            r1, p1 = bytes_end[b1 - 1], pairs_end[b1 - 1]
-            meta = np.concatenate([[b1 - b0], last[b0:b1], bytes_end[b0:b1] - r0, pairs_end[b0:b1] - p0]).astype("<i4").tobytes() + pair_tf[p0:p1].tobytes() + pair_n[p0:p1].tobytes()
-            out.append((names[name].decode("utf-8", "replace"), n, meta, raw[r0:r1].tobytes()))
-            b0 = b1
-        lists = pd.DataFrame(out, columns=["term", "df", "meta", "postings"])
+        names, b0 = list(self.vocabulary), 0
+        heads = term[head]
+        del term, doc, tf, by, gap, key, o, best, block, inside
         own = {"n_docs": len(ids), "n_terms": int(lengths.sum()), "ids": ids[order].astype("<i8").tobytes() + none[order].tobytes(), "lengths": lengths[order].astype("<i8").tobytes()}
-        both = pd.concat([lists, pd.DataFrame([own])], ignore_index=True)
-        both["shard"] = shard
-        for c in ("df", "n_docs", "n_terms"):
-            both[c] = both[c].astype("Int64")
-        for c in ("term", "meta", "postings", "ids", "lengths"):
-            both[c] = both[c].astype(object).where(both[c].notna(), None)
-        return both[["shard", "term", "df", "meta", "postings", "n_docs", "n_terms", "ids", "lengths"]]
+        yield pd.DataFrame([{"shard": shard, "term": None, "df": None, "meta": None, "postings": None, **own}]).astype({"df": "Int64"})
+        for at in range(0, len(heads), MOST_LISTS):
+            part, out = slice(at, at + MOST_LISTS), []
+            for name, n, b1 in zip(heads[part].tolist(), df[part].tolist(), block_end[part].tolist(), strict=True):
+                r0, p0 = (bytes_end[b0 - 1], pairs_end[b0 - 1]) if b0 else (0, 0)
+                r1, p1 = bytes_end[b1 - 1], pairs_end[b1 - 1]
+                meta = np.concatenate([[b1 - b0], last[b0:b1], bytes_end[b0:b1] - r0, pairs_end[b0:b1] - p0]).astype("<i4").tobytes() + pair_tf[p0:p1].tobytes() + pair_n[p0:p1].tobytes()
+                out.append((shard, names[name].decode("utf-8", "replace"), n, meta, raw[r0:r1].tobytes(), None, None, None, None))
+                b0 = b1
+            yield pd.DataFrame(out, columns=["shard", "term", "df", "meta", "postings", "n_docs", "n_terms", "ids", "lengths"]).astype({"n_docs": "Int64", "n_terms": "Int64"})
 
 
 def indexed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,10 +148,10 @@ def indexed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             shard.add(None if none else i, words)
             if shard.postings >= MOST_POSTINGS or len(shard.ids) >= MOST_DOCS:
-                yield shard.rows(own + n)
+                yield from shard.rows(own + n)
                 shard, n = Shard(), n + 1
     if shard.ids:
-        yield shard.rows(own + n)
+        yield from shard.rows(own + n)
 
 
 def build(docs: DataFrame, path: str | None = None) -> DataFrame:
