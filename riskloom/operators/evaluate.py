@@ -106,23 +106,34 @@ def parity(a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Sequence[st
 FEW = 8
 
 
+def _correlation(x: str, y: str) -> Column:
+    """Over rows where neither is null; null without spread, where the built-in one is an error."""
+    both = lambda c, other: F.stddev_pop(F.when(F.col(other).isNotNull(), F.col(c)))
+    return div(F.covar_pop(x, y), both(x, y) * both(y, x))
+
+
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Every pair once: a, b, r.  Rows where either is null do not count for a pair; r is null without spread."""
     pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i + 1 :]]
     if len(columns) > FEW:
         return gram_correlations(df, columns)
-    row = df.agg(*[F.corr(x, y).alias(f"{x}~{y}") for x, y in pairs])
+    row = df.agg(*[_correlation(x, y).alias(f"{x}~{y}") for x, y in pairs])
     long = row.unpivot([], [f"{x}~{y}" for x, y in pairs], "pair", "r")
     return long.select(F.split("pair", "~")[0].alias("a"), F.split("pair", "~")[1].alias("b"), "r")
 
 
+#: Where sums of squares exceed the spread by this factor, their difference has lost too many places.
+LOST = 1e6
+
+
 def gram_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """As ``correlations``, for hundreds of columns: means first, then sums of products of all pairs at once as matrices, one set for each task, added by
-    pair.  NaN counts as null."""
-    names = list(columns)
-    rows = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, c in enumerate(names)])
-    means = rows.agg(*[F.avg(c).alias(c) for c in rows.columns]).first()
-    centre = np.array([0.0 if m is None else m for m in means])
+    """As ``correlations``, for hundreds of columns: means first, then sums of products about them of all pairs at once, as matrices, one set for each task,
+    added by pair.  NaN counts as null.  The few pairs whose common rows lie close together but far from their columns' means are computed one by one."""
+    names, spark = list(columns), df.sparkSession
+    rows = materialize(df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, c in enumerate(names)]), "columns")
+    facts = rows.agg(*[F.struct(F.avg(c).alias("mean"), F.min(c).alias("low"), F.max(c).alias("high")).alias(c) for c in rows.columns]).first()
+    centre = np.array([0.0 if f.mean is None else f.mean for f in facts])
+    flat = [i for i, f in enumerate(facts) if f.low == f.high]
 
     def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
@@ -141,8 +152,17 @@ def gram_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     per = rows.mapInPandas(products, "i int, j int, " + ", ".join(f"{c} double" for c in sums)).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in sums])
     spread = lambda s, q: F.greatest(F.col(q) - div(F.col(s) * F.col(s), "n"), F.lit(0.0))
     r = div(F.col("sxy") - div(F.col("sx") * F.col("sy"), "n"), F.sqrt(spread("sx", "sxx")) * F.sqrt(spread("sy", "syy")))
+    lost = (spread("sx", "sxx") * LOST < F.col("sxx")) | (spread("sy", "syy") * LOST < F.col("syy"))
+    const = F.col("i").isin(*flat) | F.col("j").isin(*flat) if flat else F.lit(False)
+    found = materialize(per.select("i", "j", F.when(~const, r).alias("r"), (lost & ~const).alias("lost")), "pairs")
+    again, exact = [(x.i, x.j) for x in found.where("lost").select("i", "j").collect()], []
+    for k in range(0, len(again), 100):
+        part = again[k : k + 100]
+        row = rows.agg(*[_correlation(f"c{i}", f"c{j}").alias(f"{i}~{j}") for i, j in part]).first()
+        exact += [(i, j, x) for (i, j), x in zip(part, row, strict=True)]
+    out = found.where("not lost").select("i", "j", "r").unionByName(spark.createDataFrame(exact, "i int, j int, r double"))
     label = F.array(*map(F.lit, names))
-    return per.select(F.get(label, F.col("i")).alias("a"), F.get(label, F.col("j")).alias("b"), r.alias("r"))
+    return out.select(F.get(label, F.col("i")).alias("a"), F.get(label, F.col("j")).alias("b"), "r")
 
 
 def assertions(df: DataFrame, keys: Sequence[str], p: str) -> DataFrame:

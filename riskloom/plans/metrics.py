@@ -231,7 +231,7 @@ WIDE_SQL = "wide AS (SELECT " + ", ".join(f"CASE WHEN (n + {k}) % 11 > 0 THEN n
 
 @query(
     "agg_25_wide",
-    "SELECT a, b, round(r, 5) + 0.0 AS r FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM wide" for i, a in enumerate(WIDE) for b in WIDE[i + 1 :]) + ") WHERE abs(r) > 0.05",
+    "SELECT a, b, round(r, 5) + 0.0 AS r FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM wide" for i, a in enumerate(WIDE) for b in WIDE[i + 1 :]) + ") WHERE abs(r) > 0.05 AND NOT isnan(r)",
     ctes=f"{OWN}, {WIDE_SQL}",
 )
 def agg_25_wide(spark, sf):

@@ -88,13 +88,13 @@ def kept_latest(stream, spark, label, keys, schema):
 @query("st_05", "SELECT country, make_timestamp(epoch(ts)::BIGINT // 43200 * 43200 * 1000000) AS start, count(*) AS n FROM news GROUP BY ALL")
 def st_05(spark, sf):
     n = news_rows(spark, sf).select("event_id", "country", "ts")
-    return kept_latest(streaming.buckets(landing(n, spark, "bucket_rows", order="ts")), spark, "buckets", ["country", "start"], "country string, start timestamp, n long")
+    return kept_latest(streaming.buckets(landing(n, spark, "bucket_rows"), delay=None), spark, "buckets", ["country", "start"], "country string, start timestamp, n long")
 
 
 @query("st_06", "SELECT country, day, count(*) AS events, sum(fatalities)::BIGINT AS deaths FROM news GROUP BY ALL")
 def st_06(spark, sf):
     n = news_rows(spark, sf).select("event_id", "country", "ts", "fatalities")
-    return kept_latest(streaming.daily_totals(landing(n, spark, "total_rows", order="ts")), spark, "totals", ["country", "day"], "country string, day date, events long, deaths long")
+    return kept_latest(streaming.daily_totals(landing(n, spark, "total_rows"), delay=None), spark, "totals", ["country", "day"], "country string, day date, events long, deaths long")
 
 
 ROLLS = [Roll("events_7", "events", "sum", 7, 1, fill=0), Roll("events_30", "events", "sum", 30, 0), Roll("deaths_7", "deaths", "avg", 7), Roll("deaths_top", "deaths", "max", 30, 1, fill=0)]

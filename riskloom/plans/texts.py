@@ -151,9 +151,9 @@ def _mentions_sql() -> str:
     acts = ", ".join(f"CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])({'|'.join(x.replace('+', chr(92) + '+') for x in starts)})') THEN '{name}' END" for name, starts in BEGIN)
     return (
         f"SELECT art.doc_id, coalesce(found, '') AS found, array_to_string(list_filter([{acts}], lambda x: x IS NOT NULL), ',') AS deeds FROM art LEFT JOIN "
-        "(SELECT doc_id, string_agg(m, ',' ORDER BY s, i) AS found FROM (SELECT doc_id, m, min((s, i)).s AS s, min((s, i)).i AS i FROM "
-        "(SELECT doc_id, s, i, label || ' ' || replace(num, ',', '') AS m, {'s': s, 'i': i} AS at FROM tok_near) GROUP BY doc_id, m) GROUP BY doc_id) USING (doc_id)"
-    ).replace("min((s, i)).s AS s, min((s, i)).i AS i", "min(at).s AS s, min(at).i AS i"), (
+        "(SELECT doc_id, string_agg(m, ',' ORDER BY first_at) AS found FROM (SELECT doc_id, label || ' ' || replace(num, ',', '') AS m, min({'s': s, 'i': i}) AS first_at FROM tok_near "
+        "GROUP BY ALL) GROUP BY doc_id) USING (doc_id)"
+    ), (
         "sen AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[.;!?\n]')) AS sentence, generate_subscripts(string_split_regex(lower(text), '[.;!?\n]'), 1) AS s FROM art), "
         "tok AS (SELECT doc_id, s, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, s, regexp_extract_all(sentence, '[0-9]+(?:,[0-9]{3})*|[a-z]+|,') AS t FROM sen)), "
         f"har AS (SELECT *, {label} AS label FROM tok WHERE {label} IS NOT NULL), "

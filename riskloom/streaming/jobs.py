@@ -199,16 +199,21 @@ def upsert_messages(stream: DataFrame, path: str, after: str, checkpoint: str |
     drain(stream, each, checkpoint=checkpoint)
 
 
-def buckets(stream: DataFrame, stamp: str = "ts", size: str = "12 hours", delay: str = "1 day") -> DataFrame:
-    """Tumbling counts per country, from the epoch."""
+def _watched(stream: DataFrame, stamp: str, delay: str | None) -> DataFrame:
+    return stream if delay is None else stream.withWatermark(stamp, delay)
+
+
+def buckets(stream: DataFrame, stamp: str = "ts", size: str = "12 hours", delay: str | None = "1 day") -> DataFrame:
+    """Tumbling counts per country, from the epoch.  Buckets close ``delay`` after the latest stamp and count no row that comes later; with None they stay
+    open, and their state is kept."""
     w = F.window(stamp, size)
-    return stream.withWatermark(stamp, delay).groupBy(w.alias("w"), "country").agg(F.count("*").alias("n")).select("country", F.col("w.start").alias("start"), "n")
+    return _watched(stream, stamp, delay).groupBy(w.alias("w"), "country").agg(F.count("*").alias("n")).select("country", F.col("w.start").alias("start"), "n")
 
 
-def daily_totals(stream: DataFrame, stamp: str = "ts", delay: str = "1 day") -> DataFrame:
-    """Totals per country and day that grow while the day lasts (update mode)."""
+def daily_totals(stream: DataFrame, stamp: str = "ts", delay: str | None = "1 day") -> DataFrame:
+    """Totals per country and day that grow while the day lasts (update mode).  Days close as buckets do; ``feed_panel`` counts rows however late they are."""
     w = F.window(stamp, "1 day")
-    totals = stream.withWatermark(stamp, delay).groupBy(w.alias("w"), "country").agg(F.count("*").alias("events"), F.sum("fatalities").alias("deaths"))
+    totals = _watched(stream, stamp, delay).groupBy(w.alias("w"), "country").agg(F.count("*").alias("events"), F.sum("fatalities").alias("deaths"))
     return totals.select("country", F.to_date("w.start").alias("day"), "events", "deaths")
 
 
