@@ -7,7 +7,8 @@ them decoys such as dates, versions, prices and hashes.  It reads overlapping wi
 text; Viterbi labels and marginals of the windows are reconciled over the whole text.  A span that it adds must be sure (SURE), lie outside
 base spans, and pass a check of its kind once rewritten in plain form (``passes``), so clean texts stay as they are.
 
-The sample is bounded: about MOST_DOCUMENTS documents by hash, and of their windows the MOST_WINDOWS with the smallest hashes.
+The sample is bounded: about MOST_DOCUMENTS documents by hash, and of their windows the MOST_WINDOWS with the smallest hashes.  A fitted network is kept
+in the shared folder under a hash of its sample and settings, and fitted once.
 
 Defined results: a null text is empty and has no spans; an empty table gives an empty result and an untrained network adds
 nothing; repeated rows each get a result; other columns are kept, and those named base_spans or spans are replaced; a very long text is
@@ -16,18 +17,20 @@ read whole: its windows are decoded BLOCK at a time, and five bytes a character
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import by_value
-from riskloom.session import table
+from riskloom.session import shared_dir, table
 
 # Kinds in order, and the base expressions.  A match of IP can only begin where a run of digits begins.
 KINDS = ("email", "ip", "card", "phone")
@@ -530,6 +533,28 @@ def train(docs: DataFrame, most: int = MOST_WINDOWS, documents: int = MOST_DOCUM
     rows = some.orderBy("h", "piece", "y").limit(most).toPandas()
     if not len(rows):
         return None
+    settings = (WINDOW, STRIDE, AROUND, PLANTED, BATCH, STEPS, HIDDEN, RATE, KINDS, OWN, SPELLING)
+    return kept_model(docs.sparkSession, [settings, *rows.itertuples(index=False, name=None)], lambda: _fitted(rows))
+
+
+def kept_model(spark: SparkSession, given: list, fit: Callable[[], Tagger]) -> Tagger:
+    """A model fitted on just this sample under these settings: from the shared folder if it is there, else fitted and put there."""
+    path = f"{shared_dir(spark)}/pii-models/{hashlib.sha256(repr(given).encode('utf-8', 'surrogatepass')).hexdigest()}"
+    try:
+        found = spark.read.schema("name string, kind string, shape array<int>, content binary").parquet(path).collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = []
+    if found:
+        return Tagger(p={r.name: np.frombuffer(bytes(r.content), r.kind).reshape(r.shape) for r in found})
+    tagger = fit()
+    rows = [(k, w.dtype.str, list(w.shape), bytearray(w.tobytes())) for k, w in tagger.p.items()]
+    spark.createDataFrame(rows, "name string, kind string, shape array<int>, content binary").coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+    return tagger
+
+
+def _fitted(rows: pd.DataFrame) -> Tagger:
     known = rows["y"].notna()
     contexts = rows["piece"][~known].tolist() or rows["piece"].tolist()
     x, y = windows_of(planted(contexts, PLANTED, 1), 2)
@@ -591,10 +616,13 @@ def redact(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = detect(docs, train(docs))
-    each = F.filter(F.split("base_spans", ","), lambda s: s != "")
-    counts = [F.size(F.filter(each, lambda s, k=k: s.startswith(f"{k}:"))).cast("long").alias(f"n_{k}") for k in KINDS]
-    n_spans = F.size(F.filter(F.split("spans", ","), lambda s: s != "")).cast("long").alias("n_spans")
-    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans", n_spans)
+
+    def starts(column: str, with_: str) -> Column:
+        """How many of the spans written in a column begin with a text."""
+        return F.size(F.filter(F.split(column, ","), lambda s: (s != "") & s.startswith(with_))).cast("long")
+
+    counts = [starts("base_spans", f"{k}:").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans", starts("spans", "").alias("n_spans"))
 
 
 QUERIES = {"op8_pii": op8_pii}
