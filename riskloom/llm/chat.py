@@ -10,7 +10,8 @@ long conversation are sorted in several tasks; only the rendering, whose result
 
 Defined results: repeated rows (same conversation, turn, role and text) count once; rows that share a turn number stand in order
 of role, then text; a null text is empty, a null role is ``unknown``, a null turn stands first; rows without conv_id are no
-conversation; an empty table gives an empty result.  Native: DataFrame functions only.
+conversation; other columns, whatever their names, are ignored; very long texts are hashed and rendered whole; of equal conversations (ties) the
+smallest conv_id stays; an empty table gives an empty result.  Native: DataFrame functions only.
 """
 
 from __future__ import annotations

@@ -8,8 +8,8 @@ at the hit places are then compared with the test windows' words; verified windo
 
 Defined results: null and empty texts have no words and no hits; items without words are no items; the windows of an item with a null id
 count as hits, but it is not in the list of items; repeated rows each get a result; documents that share an id, or have none, are told
-apart by their text; other columns are kept whatever their names; an empty benchmark leaves all documents clean; in a very long text
-the work grows with its words.  Native: DataFrame functions only.
+apart by their text; other columns are kept whatever their names; an empty benchmark leaves all documents clean, an
+empty table of documents gives an empty result; items with equal windows (ties) are all listed; in a very long text the work grows with its words.  Native: DataFrame functions only.
 """
 
 from __future__ import annotations

@@ -119,6 +119,24 @@ def base_tokens(rule: str) -> list[str]:
     return host_parts + re.findall("(?<=/)[a-z0-9]+(?=/)", ("/" + path).lower())
 
 
+def read_rules(spark: SparkSession, path: str) -> tuple[list[tuple[str, str]], list[str]]:
+    """Base rules and pattern rules of a text file of at most some hundred thousand lines: ``allow host/path`` or ``block host/path`` for prefixes, ``block ~ expression``
+    for patterns.  Empty lines and those that begin with # are skipped; any other line is an error."""
+    base, patterns = [], []
+    for line in (r[0].strip() for r in spark.read.text(path).collect()):
+        verdict, _, rule = line.partition(" ")
+        if not line or line.startswith("#"):
+            continue
+        if verdict == "block" and rule.startswith("~ "):
+            re.compile(rule[2:])
+            patterns.append(rule[2:])
+        elif verdict in ("allow", "block") and "/" in rule:
+            base.append((rule, verdict))
+        else:
+            raise ValueError(f"not a rule: {line}")
+    return base, patterns
+
+
 def rule_table(spark: SparkSession, base: list[tuple[str, str]], patterns: list[str]) -> DataFrame:
     """rule, verdict, size (0 for pattern rules), regex, tokens (the empty one if there is no other)."""
     rows = [(rule, verdict, len(rule), rf"^(?:[^/]*\.)?\Q{rule}\E", base_tokens(rule) or [""]) for rule, verdict in base]
@@ -151,7 +169,15 @@ def judge(pages: DataFrame, base: list[tuple[str, str]] = BASE, patterns: list[s
     seen = tokens.join(hint(literal), "token").groupBy("token").agg(F.sum("n").alias("seen"))
     order = Window.partitionBy("rule").orderBy(F.coalesce("seen", F.lit(0)), "token")
     rarest = rules.withColumn("token", F.explode("tokens")).join(hint(seen), "token", "left").withColumn("k", F.row_number().over(order)).where("k = 1")
-    fits = tokens.join(hint(rarest.select("token", "rule", "verdict", "size", "regex")), "token").where(F.expr("at rlike regex"))
+    filed = rarest.select("token", "rule", "verdict", "size", "regex", F.coalesce("seen", F.lit(0)).alias("seen"))
+    if len(base) + len(patterns) <= MOST_BROADCAST:
+        near = tokens.join(F.broadcast(filed), "token")
+    else:
+        # one row per token; those that many URLs have, the empty one among them, are joined by broadcast
+        lists = filed.groupBy("token").agg(F.max("seen").alias("n"), F.collect_list(F.struct("rule", "verdict", "size", "regex")).alias("rules"))
+        total = tokens.agg(F.count("*")).first()[0]
+        near = looked_up(tokens.drop("n"), materialize(lists, "rules"), "token", total).withColumn("r", F.explode("rules")).select("at", "r.*")
+    fits = near.where(F.expr("at rlike regex"))
     best = fits.groupBy("at").agg(F.max(F.struct("size", "rule", "verdict")).alias("b"))
     facts = materialize(places.join(best, "at", "left").select("at", "n", "b"), "verdicts")
     total = facts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -84,6 +85,26 @@ def test_url_filters_with_many_rules_by_shuffle(spark, monkeypatch):
     assert sorted((r.page_id, r.verdict) for r in url_filters.judge(pages, [], rules).collect()) == want
 
 
+@pytest.mark.parametrize("most", [1, 100_000])
+def test_thousands_of_url_rules_from_a_file(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(url_filters, "MOST_BROADCAST", most)
+    lines = ["# rules", "", "allow org/", "block bad.org/x", *[f"block host{k}.net/" for k in range(1500)], *[f"block ~ ^[^/]*/a{k}(?:/|$)" for k in range(1500)], "block ~ [!]", "block ~ (?:qq|ww)$"]
+    (tmp_path / "rules.txt").write_text("\n".join(lines))
+    base, patterns = url_filters.read_rules(spark, str(tmp_path / "rules.txt"))
+    assert len(base) == 1502 and len(patterns) == 1502
+    urls = [f"http://x.host{k}.net/" for k in range(0, 1600, 97)] + [f"http://y.com/a{k}/b" for k in range(0, 1600, 89)] + ["http://z.com/!", "http://z.com/qq", "http://bad.org/xy", "http://good.org/a3"] + ["http://z.com/a7"] * 50
+    got = {r.url: (r.rule, r.verdict) for r in url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), base, patterns).collect()}
+    for u in urls:
+        at = u.removeprefix("http://")
+        host, path = at.split("/", 1)
+        fits = [(len(r), r, v) for r, v in base if (host == r.partition("/")[0] or host.endswith("." + r.partition("/")[0])) and path.startswith(r.partition("/")[2])]
+        want = max(fits)[1:] if fits else (None, "block" if any(re.search(p, at) for p in patterns) else "allow")
+        assert got[u] == want
+    (tmp_path / "wrong.txt").write_text("deny x/")
+    with pytest.raises(ValueError, match="not a rule"):
+        url_filters.read_rules(spark, str(tmp_path / "wrong.txt"))
+
+
 # ---- 6 decontamination ----
 
 
@@ -169,6 +190,22 @@ def test_chat_collapse(spark):
     assert chat.collapse(df.where("false")).count() == 0
 
 
+def test_chat_of_clashing_columns_and_very_long_texts(spark):
+    long = "word " * 300_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", "b"), (2, 0, "user", long), (3, 0, "user", long + "x")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    more = turns.withColumns({c: F.lit("clash") for c in ("k", "a", "b", "s", "i", "n", "chat", "n_turns")})
+    want = sorted(map(tuple, chat.collapse(turns).collect()))
+    assert sorted(map(tuple, chat.collapse(more).collect())) == want and [r[0] for r in want] == [1, 3]
+
+
+def test_decontamination_of_an_empty_table_and_of_items_with_one_text(spark):
+    bench = spark.createDataFrame([(1, "some words"), (2, "Some words!")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so some words here")], "doc_id long, text string")
+    assert [(r.n_hit, sorted(r["items"])) for r in decontaminate.report(docs, bench).collect()] == [(2, ["1", "2"])]
+    assert decontaminate.report(docs.limit(0), bench).count() == 0
+
+
 def test_chat_stretches_do_not_matter(spark, sf, monkeypatch):
     df = table(spark, sf, "conversations")
     want = sorted(map(tuple, chat.collapse(df).collect()))
