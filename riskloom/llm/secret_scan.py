@@ -1,11 +1,12 @@
 r"""Operator 7, secret scans: an incremental blob ledger.
 
-Every version of a text is addressed by the SHA-256 of its bytes.  The ledger holds, for each blob, the rule versions that have
-read it and their findings; a scan reads only blobs with rule versions that the ledger lacks, once per distinct text, and
-findings are joined back to every path (document) that holds the blob.
+Every version of a text is addressed by the SHA-256 of its bytes.  The ledger, a stored table, holds for each blob the rule versions that have
+read it and their findings; an update scans only blobs with rule versions that the ledger lacks, once per distinct text, and
+findings are joined back to every path (document) that holds the blob.  The registered query brings its ledger up to date twice: with the base
+rules, then with all of them, when only the further rules are run.
 
 Places come from the pieces between matches (``split``) and the matches themselves (``regexp_extract_all``) of one expression,
-measured in code points.  Defined results: a null text is empty; copies share findings; repeated rows each get a result; an
+measured in code points.  Defined results: a null text is empty; findings of one start are in the order of the rules (ties); copies share findings; repeated rows each get a result; an
 empty table gives an empty result; a very long text is read whole; columns other than doc_id and text are ignored; documents that
 share an id, or have none, are each given what their text holds.  Native: DataFrame functions only.
 """
@@ -13,12 +14,14 @@ share an id, or have none, are each given what their text holds.  Native: DataFr
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import looked_up
-from riskloom.session import materialize, table
+from riskloom.llm.common import MOST_HASHES, looked_up
+from riskloom.session import fresh_path, materialize, shuffles_removed, table
 
 
 @dataclass(frozen=True)
@@ -68,26 +71,78 @@ def spans(rule: Rule, rank: int) -> Column:
     return F.when(F.col("text").rlike(rule.gate), F.expr(step)).otherwise(F.expr(none))
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] = RULES) -> DataFrame:
-    """New ledger rows (blob, rules, found) for the pairs of blob and rule version that ``ledger`` lacks."""
-    text = F.coalesce("text", F.lit("")).alias("text")
+def addressed(docs: DataFrame) -> DataFrame:
+    """doc_id and blob, the address of the text, of every row; written, so that texts are addressed once."""
+    return materialize(docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob")), "paths")
+
+
+#: Addresses of a part of the texts are broadcast up to this many, about 100 bytes each.
+MOST_ADDRESSES = 500_000
+
+
+def _lacking(paths: DataFrame, ledger: DataFrame | None, rules: list[Rule]) -> DataFrame:
+    """blob, n (its rows), todo (rule versions that the ledger lacks for it), written."""
     keys = F.array(*[F.lit(r.key) for r in rules])
+    blobs = paths.groupBy("blob").agg(F.count("*").alias("n"))
     if ledger is None:
-        todo = docs.select(text).distinct().withColumn("blob", F.sha2("text", 256)).withColumn("todo", keys)
-    else:
-        # addresses first: only texts with something to do are moved
-        seen = ledger.groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("seen"))
-        ids = docs.select(F.sha2(text, 256).alias("blob")).distinct().join(seen, "blob", "left")
-        asked = ids.select("blob", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo")).where("size(todo) > 0")
-        texts = docs.select(text, F.sha2(text, 256).alias("blob"))
-        todo = texts.join(materialize(asked, "asked"), "blob").dropDuplicates(["blob"])
-    own = [F.when(F.array_contains("todo", r.key), spans(r, k)).otherwise(F.array().cast(SPANS)) if ledger is not None else spans(r, k) for k, r in enumerate(rules)]
-    return todo.select("blob", F.col("todo").alias("rules"), F.array_sort(F.concat(*own)).alias("found"))
-
-
-def findings(docs: DataFrame, ledger: DataFrame) -> DataFrame:
+        return materialize(blobs.withColumn("todo", keys), "asked")
+    seen = ledger.groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("seen"))
+    todo = F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>")))
+    return materialize(blobs.join(seen, "blob", "left").select("blob", "n", todo.alias("todo")).where("size(todo) > 0"), "asked")
+
+
+def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] = RULES, paths: DataFrame | None = None) -> DataFrame:
+    """New ledger rows (blob, rules, found) for the pairs of blob and rule version that ``ledger``, a written table, lacks.
+
+    Addresses come first.  A text that no other row has is scanned where it lies; only texts that recur are moved, one of each from each task, to be
+    scanned once.  Which texts recur is broadcast as at most MOST_HASHES hashes (two texts with one hash are both moved); if only some are asked for, at
+    most MOST_ADDRESSES addresses are; beyond that a join tells."""
+    paths = addressed(docs) if paths is None else paths
+    asked = _lacking(paths, ledger, rules)
+    n_blobs, n_recur, n_asked = paths.select(F.count_distinct("blob")).first()[0], asked.where("n > 1").count(), asked.count()
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
+    out = []
+    for todo in sorted(tuple(r.todo) for r in asked.select("todo").distinct().collect()):  # as many as there were sets of rules
+        own = asked.where(F.col("todo") == F.array(*map(F.lit, todo)))
+        found = F.array_sort(F.concat(*[spans(r, k) for k, r in enumerate(rules) if r.key in todo]))
+        row = ("blob", F.array(*map(F.lit, todo)).alias("rules"), found.alias("found"))
+        recur = own.where("n > 1").select("blob")
+        if n_recur <= MOST_HASHES and n_asked == n_blobs and own.count() == n_asked:
+            hashes = F.broadcast(recur.select(F.xxhash64("blob").alias("h")).distinct())
+            marked = texts.withColumn("h", F.xxhash64("blob"))
+            alone, again = marked.join(hashes, "h", "left_anti"), marked.join(hashes, "h", "left_semi")
+        else:
+            alone, again = _among(texts, own.where("n = 1").select("blob")), _among(texts, recur)
+        out.append(alone.select(*row))
+        if n_recur:
+            out.append(again.groupBy("blob").agg(F.first("text").alias("text")).select(*row))
+    if not out:
+        return texts.where(F.lit(False)).select("blob", F.array().cast("array<string>").alias("rules"), F.array().cast(SPANS).alias("found"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _among(texts: DataFrame, blobs: DataFrame) -> DataFrame:
+    return texts.join(F.broadcast(blobs) if blobs.count() <= MOST_ADDRESSES else blobs.hint("merge"), "blob", "left_semi")
+
+
+def update(path: str, docs: DataFrame, rules: list[Rule] = RULES, paths: DataFrame | None = None) -> DataFrame:
+    """Brings the ledger at ``path`` up to date with ``docs`` and ``rules``, and returns it.  Run again, or after a failure, it scans what is not there yet."""
+    spark = docs.sparkSession
+    schema = f"blob string, rules array<string>, found {SPANS}"
+    try:
+        ledger = spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        ledger = None
+    with shuffles_removed(spark):
+        scan(docs, ledger, rules, paths).write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def findings(docs: DataFrame, ledger: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """doc_id and found, sorted by start and rule, for every row of ``docs``."""
-    paths = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
+    paths = addressed(docs) if paths is None else paths
     found = ledger.where("size(found) > 0").groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
     facts = materialize(paths.groupBy("blob").agg(F.count("*").alias("n")).join(found, "blob", "left"), "blobs")
     total = facts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -101,10 +156,12 @@ def joined(found: str, base_only: bool) -> Column:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    ledger = materialize(scan(docs), "ledger")
+    docs, path = table(spark, sf_dir, "documents"), fresh_path(spark, "ledger")
+    paths = addressed(docs)
+    update(path, docs, BASE, paths)
+    ledger = update(path, docs, RULES, paths)  # the pairs of blobs and further rules
     counts = [F.expr(f"cast(size(filter(found, f -> f.kind = '{r.kind}')) as bigint)").alias(f"n_{r.kind}") for r in BASE]
-    return findings(docs, ledger).select("doc_id", *counts, F.sha2(joined("found", True), 256).alias("base_sha256"), joined("found", False).alias("spans"))
+    return findings(docs, ledger, paths).select("doc_id", *counts, F.sha2(joined("found", True), 256).alias("base_sha256"), joined("found", False).alias("spans"))
 
 
 def _oracle() -> str:
