@@ -17,8 +17,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
-#: The folder and the tables of the innermost ``scratch``.
-_SCRATCH: ContextVar[tuple[str, list[str]] | None] = ContextVar("scratch", default=None)
+#: The folder of the innermost ``scratch``.
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 def by_value(module: str) -> None:
@@ -56,22 +56,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     scope = _SCRATCH.get()
-    return f"{scope[0] if scope else shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{scope or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Intermediates that are written inside go when it ends.  For a result that is itself written by then, to a path from outside: a lazy
     table would still read them."""
-    scope = (fresh_path(spark, "scratch"), [])
+    scope = fresh_path(spark, "scratch")
     token = _SCRATCH.set(scope)
     try:
         yield
     finally:
         _SCRATCH.reset(token)
-        for name in scope[1]:
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
-        folder = spark._jvm.org.apache.hadoop.fs.Path(scope[0])
+        folder = spark._jvm.org.apache.hadoop.fs.Path(scope)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
@@ -110,15 +108,16 @@ def written(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, label: str, *keys: str) -> DataFrame:
-    """Write ``df`` once, dealt by ``keys``: later joins on just these keys move only the other side."""
+    """Write ``df`` once, dealt by ``keys``: later joins on just these keys move only the other side.  Its name in the catalog goes at once; the files, in
+    the shared folder, are what the table that is returned reads."""
     spark = df.sparkSession
     name, n = f"{label}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     with shuffles_removed(spark):
         df.repartition(n, *keys).write.bucketBy(n, *keys).option("compression", "zstd").option("path", fresh_path(spark, label)).saveAsTable(name)
-    scope = _SCRATCH.get()
-    if scope:
-        scope[1].append(name)
-    return spark.table(name)
+    out = spark.table(name).select("*")
+    out.schema  # noqa: B018  resolved while the name is there
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,3 +33,18 @@ def test_scratch_goes_after_an_error_too(spark):
         1 / 0  # noqa: B018
     assert left(spark) == before
     assert "scratch" not in fresh_path(spark, "next")
+
+
+def test_bucketed_tables_leave_no_name_and_join_without_a_shuffle(spark):
+    names = {t.name for t in spark.catalog.listTables()}
+    rows = spark.range(2000).selectExpr("id", "id % 7 AS k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a, b = bucketed(rows, "a", "id"), bucketed(rows.selectExpr("id", "k AS j"), "b", "id")
+        assert {t.name for t in spark.catalog.listTables()} == names
+        both = a.join(b, "id")
+        assert both.count() == 2000 and both.where("k <> j").count() == 0
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
