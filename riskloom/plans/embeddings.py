@@ -1,16 +1,13 @@
 """Vector features."""
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import norm, r6
-from riskloom.operators import grid, joins, vectors
+from riskloom.operators import grid, joins, sketches, vectors
 from riskloom.operators.windows import Roll, rolled
 from riskloom.plans.fixtures import articles, titles
 from riskloom.plans.registry import query
-from riskloom.session import materialize
+from riskloom.session import fresh_path, materialize
 
 TRAIN = "2024-01-25"
 DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
@@ -120,19 +117,30 @@ def agg_14(spark, sf):
     return vectors.thresholds(day_cos(spark, sf).where(f"day <= '{TRAIN}'")).withColumn("threshold", r6("threshold"))
 
 
+LOADS = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+
+
+def loads_sketched(rows, value, keys, by, n=3):
+    """Sketches of ``n`` loads, stored one by one."""
+    path = fresh_path(rows.sparkSession, "sketches")
+    for k in range(n):
+        sketches.sketched(rows.where(F.pmod(F.col(by), F.lit(n)) == k), value, keys).write.mode("append").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 @query("agg_13_sketches", "SELECT country, anchor, true AS near, count(*) AS n FROM sims GROUP BY ALL", ctes=VEC)
 def agg_13_sketches(spark, sf):
-    """Sketches of three loads, stored and merged: whether each group's p50, p90 and p99 stand where exact ranks allow, within 3 %."""
-    rows = materialize(sims(spark, sf), "similarities")
-    stored = materialize(reduce(DataFrame.unionByName, [vectors.sketched(rows.where(F.col("vec_id") % 3 == k)) for k in range(3)]), "sketches")
-    q = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
-    both = rows.join(vectors.sketched_percentiles(stored, q), ["country", "anchor"])
-    below = lambda c: F.avg((F.col("cos") < F.col(c)).cast("int"))
-    upto = lambda c: F.avg((F.col("cos") <= F.col(c)).cast("int"))
-    near = F.lit(True)
-    for c, x in q.items():
-        near = near & (below(c) <= x + 0.03) & (upto(c) >= x - 0.03)
-    return both.groupBy("country", "anchor").agg(near.alias("near"), F.max("n").alias("n"))
+    """Percentiles from the stored sketches of three loads: whether their ranks among all rows are within 3 % of what they should be."""
+    rows, keys = materialize(sims(spark, sf), "similarities"), ["country", "anchor"]
+    found = sketches.percentiles(loads_sketched(rows, "cos", keys, "vec_id"), LOADS, keys).drop("n")
+    return sketches.off(rows, found, "cos", LOADS, keys).select(*keys, (F.col("off") <= 0.03).alias("near"), "n")
+
+
+@query("agg_08_sketches", "SELECT country, day, true AS near, count(*) AS n FROM art WHERE tone IS NOT NULL GROUP BY ALL")
+def agg_08_sketches(spark, sf):
+    rows, keys, q = articles(spark, sf).select("doc_id", "country", "day", "tone"), ["country", "day"], {"tone_p10": 0.1}
+    found = sketches.percentiles(loads_sketched(rows, "tone", keys, "doc_id"), q, keys).drop("n")
+    return sketches.off(rows, found, "tone", q, keys).select(*keys, (F.col("off") <= 0.03).alias("near"), "n")
 
 
 R_POOL = "SELECT country, day, anchor, round(top, 6) + 0.0 AS top, round(p95, 6) + 0.0 AS p95, round(p99, 6) + 0.0 AS p99, over FROM pool"

@@ -5,9 +5,10 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from riskloom.operators import vectors
+from riskloom.operators import sketches, vectors
 
 
 @pytest.fixture(scope="module")
@@ -145,12 +146,16 @@ def test_pools_of_large_and_small_days(spark, monkeypatch):
 def test_sketches_of_loads_merge_to_those_of_all(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=30000)
+    keys, q = ["country", "anchor"], {"a": 0.5, "b": 0.9, "c": 0.99}
     rows = spark.createDataFrame(pd.DataFrame({"country": "A", "anchor": 1, "cos": x, "load": np.arange(30000) % 7}))
-    loads = [vectors.sketched(rows.where(f"load = {k}")) for k in range(7)]
-    stored = loads[0]
-    for more in loads[1:]:
-        stored = stored.unionByName(more)
-    got = vectors.sketched_percentiles(stored, {"a": 0.5, "b": 0.9, "c": 0.99}).first()
+    stored = sketches.sketched(rows.where("load = 0"), "cos", keys)
+    for k in range(1, 7):
+        stored = stored.unionByName(sketches.sketched(rows.where(f"load = {k}"), "cos", keys))
+        if k == 3:
+            stored = sketches.merged(stored, keys)
+    got = sketches.percentiles(stored, q, keys).first()
     assert got.n == 30000
-    for q, v in ((0.5, got.a), (0.9, got.b), (0.99, got.c)):
-        assert abs((x <= v).mean() - q) < 0.0133 * 1.5
+    for name, share in q.items():
+        assert abs((x <= got[name]).mean() - share) < 0.0133 * 1.5
+    assert sketches.off(rows, sketches.percentiles(stored, q, keys).drop("n"), "cos", q, keys).first().off < 0.0133 * 1.5
+    assert sketches.sketched(rows.withColumn("cos", F.lit(None).cast("double")), "cos", keys).count() == 0
