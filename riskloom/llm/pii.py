@@ -163,15 +163,6 @@ def tags(text: str, spans: list[Span]) -> np.ndarray:
 LABELS = len(KINDS) + 1
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
-def logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
-
-
 class Tagger:
     """Windows of character classes (n, WINDOW) to labels, 0 for none and 1 to 4 for the kinds.  ``p`` holds all there is to know of
     a fitted one, as plain arrays, and is what goes to executors."""
@@ -189,57 +180,75 @@ class Tagger:
         }
 
     def hidden_states(self, x: np.ndarray, trace: list | None = None) -> np.ndarray:
-        """Both directions side by side; gates in order in, forget, out, candidate."""
+        """Both directions side by side; gates in order in, forget, out, candidate.  A logistic gate is a hyperbolic tangent of half its input.
+        Windows are the last axis, so that a gate of all of them lies together."""
         n, t, k = len(x), x.shape[1], self.hidden
-        wx, wh, b = self.p["x"], self.p["h"], self.p["b"]
-        pre = np.stack([wx[0][x.T], wx[1][x.T[::-1]]], 1)  # (t, 2, n, 4k)
-        h, c, out = np.zeros((2, n, k), wx.dtype), np.zeros((2, n, k), wx.dtype), np.zeros((t, 2, n, k), wx.dtype)
+        half = np.repeat([0.5, 1.0], [3 * k, k]).astype(self.p["h"].dtype)
+        said, wh = ((self.p["x"] + self.p["b"]) * half).transpose(0, 2, 1), (self.p["h"] * half).transpose(0, 2, 1)
+        g = np.empty((t, 2, 4 * k, n), wh.dtype)  # inputs, then gates
+        g[:, 0], g[:, 1] = said[0][:, x.T].transpose(1, 0, 2), said[1][:, x.T[::-1]].transpose(1, 0, 2)
+        c, tc, out = np.zeros((t + 1, 2, k, n), wh.dtype), np.empty((t, 2, k, n), wh.dtype), np.empty((t, 2, k, n), wh.dtype)
         for i in range(t):
-            z = pre[i] + h @ wh + b
-            g, u = sigmoid(z[..., : 3 * k]), np.tanh(z[..., 3 * k :])
-            c0, h0 = c, h
-            c = g[..., k : 2 * k] * c + g[..., :k] * u
-            tc = np.tanh(c)
-            h = g[..., 2 * k :] * tc
-            out[i] = h
-            if trace is not None:
-                trace.append((g, u, c0, h0, tc))
-        return np.concatenate([out[:, 0], out[::-1, 1]], 2).transpose(1, 0, 2)
+            own = g[i]
+            if i:
+                own += wh @ out[i - 1]
+            np.tanh(own, out=own)
+            gates = own[:, : 3 * k]
+            gates *= 0.5
+            gates += 0.5
+            c[i + 1] = own[:, k : 2 * k] * c[i] + own[:, :k] * own[:, 3 * k :]
+            np.tanh(c[i + 1], out=tc[i])
+            np.multiply(own[:, 2 * k : 3 * k], tc[i], out=out[i])
+        if trace is not None:
+            trace += [g, c, tc, out]
+        return np.concatenate([out[:, 0], out[::-1, 1]], 1).transpose(2, 0, 1)
 
     def _back(self, x: np.ndarray, trace: list, dh_out: np.ndarray, grad: dict) -> None:
         k, n, t = self.hidden, len(x), x.shape[1]
-        wh = self.p["h"]
-        into = dh_out.transpose(1, 0, 2)
-        into = np.stack([into[:, :, :k], into[::-1, :, k:]], 1)
-        gh, every = np.zeros_like(wh), np.zeros((t, 2, n, 4 * k), wh.dtype)
-        dh, dc = np.zeros((2, n, k), wh.dtype), np.zeros((2, n, k), wh.dtype)
+        (g, c, tc, out), wh = trace, self.p["h"]
+        into, every = dh_out.transpose(1, 2, 0), np.empty_like(g)
+        into = np.stack([into[:, :k], into[::-1, k:]], 1)
+        dc = np.zeros((2, k, n), g.dtype)
         for i in range(t - 1, -1, -1):
-            g, u, c0, h0, tc = trace[i]
-            dh = dh + into[i]
-            gi, gf, go = g[..., :k], g[..., k : 2 * k], g[..., 2 * k :]
-            dc = dc + dh * go * (1 - tc * tc)
-            dz = np.concatenate([dc * u * gi * (1 - gi), dc * c0 * gf * (1 - gf), dh * tc * go * (1 - go), dc * gi * (1 - u * u)], 2)
-            every[i] = dz
-            gh += h0.transpose(0, 2, 1) @ dz
-            dh, dc = dz @ wh.transpose(0, 2, 1), dc * gf
-        one = np.eye(CLASSES, dtype=wh.dtype)[x.T]  # (t, n, classes)
-        grad["x"] = np.stack([one.reshape(-1, CLASSES).T @ every[:, 0].reshape(-1, 4 * k), one[::-1].reshape(-1, CLASSES).T @ every[:, 1].reshape(-1, 4 * k)])
-        grad["h"], grad["b"] = gh, every.sum((0, 2))[:, None]
+            own, d, dh = g[i], every[i], into[i]
+            gi, gf, go, u = own[:, :k], own[:, k : 2 * k], own[:, 2 * k : 3 * k], own[:, 3 * k :]
+            if i < t - 1:
+                dh += wh @ every[i + 1]
+                dc *= g[i + 1, :, k : 2 * k]
+            held = dh * go
+            dc += held * (1 - tc[i] * tc[i])
+            np.multiply(held * tc[i], 1 - go, out=d[:, 2 * k : 3 * k])
+            np.multiply(dc * c[i], gf * (1 - gf), out=d[:, k : 2 * k])
+            held = dc * gi
+            np.multiply(held * u, 1 - gi, out=d[:, :k])
+            np.multiply(held, 1 - u * u, out=d[:, 3 * k :])
+        one = np.eye(CLASSES, dtype=g.dtype)[x.T]  # (t, n, classes)
+        grad["x"] = np.stack([(every[:, 0] @ one).sum(0).T, (every[:, 1] @ one[::-1]).sum(0).T])
+        grad["h"] = (out[:-1] @ every[1:].transpose(0, 1, 3, 2)).sum(0)
+        grad["b"] = every.sum((0, 3))[:, None]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return self.hidden_states(x) @ self.p["out"] + self.p["bias"]
 
-    def _marginals(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Log-partition, label marginals, forward and backward messages of the CRF."""
-        n, t, _ = s.shape
-        move, alpha, beta = self.p["move"], np.zeros_like(s), np.zeros_like(s)
-        alpha[:, 0] = s[:, 0] + self.p["first"]
-        for i in range(1, t):
-            alpha[:, i] = s[:, i] + logsum(alpha[:, i - 1, :, None] + move, 1)
-        for i in range(t - 2, -1, -1):
-            beta[:, i] = logsum(move + (s[:, i + 1] + beta[:, i + 1])[:, None, :], 2)
-        z = logsum(alpha[:, -1], 1)
-        return z, np.exp(alpha + beta - z[:, None, None]), alpha, beta
+    def _marginals(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-partition and label marginals of the CRF, and how often each move is expected.  Messages are scaled to a sum of one at each place."""
+        (n, t, _), most = s.shape, self.p["move"].max()
+        move = np.exp(self.p["move"] - most)
+        s = s.transpose(1, 0, 2).copy()
+        s[0] += self.p["first"]
+        top = s.max(2, keepdims=True)
+        e = np.exp(s - top)
+        alpha, beta, size = np.empty_like(e), np.ones_like(e), np.empty((t, n, 1), e.dtype)
+        for i in range(t):
+            own = (alpha[i - 1] @ move) * e[i] if i else e[i]
+            size[i] = own.sum(1, keepdims=True)
+            np.divide(own, size[i], out=alpha[i])
+        e /= size
+        for i in range(t - 1, 0, -1):
+            e[i] *= beta[i]
+            np.matmul(e[i], move.T, out=beta[i - 1])
+        pairs = move * (alpha[:-1].reshape(-1, LABELS).T @ e[1:].reshape(-1, LABELS))
+        return (np.log(size) + top).sum(0)[:, 0] + most * (t - 1), (alpha * beta).transpose(1, 0, 2), pairs
 
     def step(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean negative log-likelihood of labels y and its gradient."""
@@ -247,13 +256,12 @@ class Tagger:
         trace: list = []
         h = self.hidden_states(x, trace)
         s = h @ self.p["out"] + self.p["bias"]
-        z, m, alpha, beta = self._marginals(s)
+        z, m, pair = self._marginals(s)
         rows, cols = np.arange(n)[:, None], np.arange(t)[None]
         gold = s[rows, cols, y].sum(1) + self.p["first"][y[:, 0]] + self.p["move"][y[:, :-1], y[:, 1:]].sum(1)
         ds = m.copy()
         ds[rows, cols, y] -= 1
-        pair = np.exp(alpha[:, :-1, :, None] + self.p["move"] + (s[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]).sum((0, 1))
-        np.subtract.at(pair, (y[:, :-1], y[:, 1:]), 1)
+        pair -= np.bincount((y[:, :-1] * LABELS + y[:, 1:]).ravel(), minlength=LABELS * LABELS).reshape(LABELS, LABELS).astype(pair.dtype)
         ds /= n
         grad = {"move": pair / n, "first": ds[:, 0].sum(0), "bias": ds.sum((0, 1)), "out": h.reshape(n * t, -1).T @ ds.reshape(n * t, -1)}
         self._back(x, trace, ds @ self.p["out"].T, grad)
