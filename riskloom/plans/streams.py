@@ -85,7 +85,7 @@ def kept_latest(stream, spark, label, keys, schema):
     return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_batch")
 
 
-@query("st_05", "SELECT country, make_timestamp(epoch(ts)::BIGINT // 43200 * 43200 * 1000000) AS start, count(*) AS n FROM news GROUP BY ALL")
+@query("st_05", "SELECT country, time_bucket(INTERVAL 12 HOURS, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n FROM news GROUP BY ALL")
 def st_05(spark, sf):
     n = news_rows(spark, sf).select("event_id", "country", "ts")
     return kept_latest(streaming.buckets(landing(n, spark, "bucket_rows"), delay=None), spark, "buckets", ["country", "start"], "country string, start timestamp, n long")

@@ -3,10 +3,12 @@
 import datetime as dt
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from riskloom import streaming
 from riskloom.operators.grid import dense
 from riskloom.operators.windows import Roll
@@ -146,3 +148,17 @@ def test_a_change_writes_only_the_days_it_reaches(spark, tmp_path):
     after = files()
     changed = {d for d in after if after[d] != before.get(d)}
     assert changed == {dt.date(2024, 1, 20) + dt.timedelta(k) for k in range(reach(ROLLS) + 1)}
+
+
+def test_the_last_half_second_of_a_bucket_is_its_own(spark, tmp_path):
+    """Against the query's SQL, on stamps just before and at the ends of buckets, before 1970 too."""
+    stamps = [dt.datetime(2024, 1, 1, 11, 59, 59, 700_000), dt.datetime(2024, 1, 1, 12), dt.datetime(2024, 1, 1, 23, 59, 59, 999_999), dt.datetime(1969, 12, 31, 11, 59, 59, 700_000), dt.datetime(1969, 12, 31, 12)]
+    rows = [(i, t, 0, "view", 1.0, '{"k": 1}') for i, t in enumerate(stamps)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(0, "NATION_0", 0)], "n_nationkey long, n_name string, n_regionkey long").write.parquet(f"{tmp_path}/nation.parquet")
+    con = duckdb.connect()
+    for t in ("events", "nation"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = sorted(con.execute(f"SELECT country, start, n FROM ({entry.oracle_sql()['st_05']})").fetchall())
+    got = sorted((r.country, r.start, r.n) for r in entry.queries()["st_05"](spark, str(tmp_path)).select("country", F.col("start").cast("timestamp_ntz").alias("start"), "n").collect())
+    assert got == want and [n for _, _, n in got] == [1, 1, 1, 2]
