@@ -7,7 +7,7 @@ applying a batch twice changes nothing.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.ranks import first_rows
 from riskloom.session import materialize
-from riskloom.sources import replace_partitions
+from riskloom.sources import gathered, replace_partitions
+
+#: A merge takes up so many partitions at a time.
+MOST_PARTITIONS = 10_000
 
 
 def _no_null(keys: Sequence[str]) -> Column:
@@ -62,6 +65,17 @@ def touched(new: DataFrame, partition: str, most: int = 10_000) -> list:
     return found
 
 
+def touched_in_turn(new: DataFrame, partition: str) -> Iterator[list]:
+    """The partitions that hold new rows in ascending order, null first, MOST_PARTITIONS at a time."""
+    every = new.select(partition).distinct()
+    rest, found = every, [None] * MOST_PARTITIONS
+    while len(found) == MOST_PARTITIONS:
+        found = [r[0] for r in rest.orderBy(F.col(partition).asc_nulls_first()).limit(MOST_PARTITIONS).collect()]
+        if found:
+            yield found
+            rest = every.where(F.col(partition) > F.lit(found[-1])) if found[-1] is not None else every.where(F.col(partition).isNotNull())
+
+
 def within(partition: str, parts: Sequence) -> Column:
     """Rows of some partitions; pruned when it is a table's partition column."""
     known = F.col(partition).isin(*[p for p in parts if p is not None])
@@ -83,22 +97,23 @@ def merge_into(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[st
     once.  Rows of a null partition, and those with a null in their key, are stored like others; the latter match nothing.  Returns how many
     partitions were written."""
     batch = materialize(new, "batch")
-    parts = touched(batch, partition)
-    if not parts:
-        return 0
-    target = stored(spark, path, batch, partition, parts)
-    result = materialize(upserted(target, batch, keys, order) if update else inserted(target, batch, keys), "merge")
-    replace_partitions(result.select(*new.columns), path, partition)
-    return len(parts)
+    results, n = [], 0
+    for parts in touched_in_turn(batch, partition):
+        own, target = batch.where(within(partition, parts)) if n or len(parts) == MOST_PARTITIONS else batch, stored(spark, path, batch, partition, parts)
+        results.append(materialize(upserted(target, own, keys, order) if update else inserted(target, own, keys), "merge"))
+        n += len(parts)
+    for result in results:  # only when all keys are known to be single
+        replace_partitions(result.select(*new.columns), path, partition)
+    return n
 
 
 def append_unseen(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], partition: str) -> None:
     """Adds those rows of ``batch``, a written table, whose keys the partitions that they touch lack.  Of these only the keys are read, and nothing is
     written anew.  Run again after a failure it adds what is not there yet."""
-    parts = touched(batch, partition)
-    if parts:
-        rows = unseen(single(batch, keys), stored(spark, path, batch, partition, parts), keys)
-        rows.write.mode("append").partitionBy(partition).parquet(path)
+    for parts in touched_in_turn(batch, partition):
+        own = batch.where(within(partition, parts))
+        rows = materialize(unseen(single(own, keys), stored(spark, path, batch, partition, parts), keys), "unseen")
+        gathered(rows, partition).write.mode("append").partitionBy(partition).parquet(path)
 
 
 def reloaded(old: DataFrame, new: DataFrame, within: Column) -> DataFrame:

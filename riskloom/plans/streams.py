@@ -16,10 +16,10 @@ from riskloom.sources import overwrite
 
 
 def landing(df, spark, label, files=4, order=None):
-    """The rows as files that a stream reads, one in a batch."""
-    path = fresh_path(spark, label)
-    (df.repartitionByRange(files, order) if order else df.repartition(files)).write.parquet(path)
-    return streaming.landed(spark, path, df.schema, 1)
+    """The rows as files that a stream reads, in ``files`` batches; each has as many as there are cores, since one file may be no more than one task."""
+    path, each = fresh_path(spark, label), max(spark.sparkContext.defaultParallelism, 1)
+    (df.repartitionByRange(files * each, order) if order else df.repartition(files * each)).write.parquet(path)
+    return streaming.landed(spark, path, df.schema, each)
 
 
 def news_rows(spark, sf):

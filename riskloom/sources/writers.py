@@ -15,9 +15,16 @@ def append_run(df: DataFrame, path: str, run: str) -> None:
     df.withColumn("run_ts", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_ts").parquet(path)
 
 
+def gathered(df: DataFrame, *partition_by: str) -> DataFrame:
+    """``df``, a written table, dealt by ranges of its partitions and, inside one, of hashes of its rows: all tasks write about as many files as there are
+    partitions and tasks, not one per task in each partition, and a large partition is not left to one task."""
+    row = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    return df.repartitionByRange(*[F.col(c) for c in partition_by], F.xxhash64(*row))
+
+
 def replace_partitions(df: DataFrame, path: str, *partition_by: str) -> None:
-    """Only the partitions that ``df`` has rows for are written anew."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+    """Only the partitions that ``df``, a written table, has rows for are written anew."""
+    gathered(df, *partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
 def text_metrics(df: DataFrame, path: str) -> None:

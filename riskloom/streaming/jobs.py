@@ -21,7 +21,7 @@ from riskloom.operators.grid import filled
 from riskloom.operators.text import extracted
 from riskloom.operators.windows import Roll, rolled
 from riskloom.session import by_value, fresh_path, materialize
-from riskloom.sources import replace_partitions
+from riskloom.sources import gathered, replace_partitions
 
 by_value(__name__)
 
@@ -89,7 +89,7 @@ def insert_events(
         prompt.select(key, micros.alias("at")).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{recent}/batch={number}")
         told("noted", number)
         if fixed_stamps and not again:
-            prompt.write.mode("append").partitionBy(partition).parquet(path)
+            gathered(prompt, partition).write.mode("append").partitionBy(partition).parquet(path)
         else:
             merge.append_unseen(spark, path, prompt, [key], partition)
         told("prompt", number)

@@ -157,3 +157,25 @@ def test_a_batch_is_evaluated_once(spark, tmp_path):
     merge.merge_into(spark, path, new, ["id", "day"], "day", True)
     merge.merge_into(spark, path, new, ["id", "day"], "day", True)
     assert seen.value == 60
+
+
+def test_a_merge_of_many_days_writes_about_a_file_a_day(spark, tmp_path):
+    path = str(tmp_path / "days")
+    new = spark.range(4000, numPartitions=8).select("id", F.expr("cast(date'2024-01-01' + cast(id % 50 as int) as date)").alias("day"), F.lit("x").alias("v"))
+    for _ in range(2):
+        merge.merge_into(spark, path, new, ["id", "day"], "day", True)
+        assert spark.read.parquet(path).count() == 4000
+        assert 50 <= len(list((tmp_path / "days").glob("day=*/*.parquet"))) <= 60
+
+
+@pytest.mark.parametrize("update", [False, True])
+def test_a_batch_may_touch_any_number_of_partitions(spark, tmp_path, update, monkeypatch):
+    monkeypatch.setattr(merge, "MOST_PARTITIONS", 3, raising=False)
+    monkeypatch.setattr(merge.touched, "__defaults__", (3,))
+    path, kind = str(tmp_path / "t"), "id long, day date, v string"
+    rows = [(i, None if i == 0 else dt.date(2024, 1, i), "a") for i in range(9)]
+    assert merge.merge_into(spark, path, spark.createDataFrame(rows, kind), ["id", "day"], "day", update) == 9
+    assert merge.merge_into(spark, path, spark.createDataFrame([(i, d, "b") for i, d, _ in rows[1:]], kind), ["id", "day"], "day", update) == 8
+    merge.append_unseen(spark, path, spark.createDataFrame([*rows[1:], (20, rows[5][1], "c")], kind), ["id", "day"], "day")
+    got = sorted((r.id, r.v) for r in spark.read.schema(kind).parquet(path).collect())
+    assert got == [(0, "a")] + [(i, "b" if update else "a") for i in range(1, 9)] + [(20, "c")]
