@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.session import materialize
+
 
 def by_country(events: DataFrame, col: str = "country") -> DataFrame:
     """Upper-cased, trimmed country; blank ones go."""
@@ -22,9 +24,10 @@ def causes(events: DataFrame, terms: str = "matched", kind: str = "event_type",
 
 
 def evidence(events: DataFrame, context: DataFrame, most: int = 5, key: str = "country") -> DataFrame:
-    """Per country: its most severe events as nested rows, counts, news context, and cautions once per text."""
+    """Per country: its most severe events as nested rows, counts, news context, and cautions once per text.  Events are evaluated once."""
     from riskloom.operators.ranks import first_rows
 
+    events = materialize(events.select(key, "event_id", "summary", "severity", "confidence", "negated"), "events")
     top = first_rows(events, [key], [F.coalesce("severity", F.lit(0.0)).desc(), F.col("event_id")], most)
     rows = top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.coalesce("severity", F.lit(0.0))).alias("order"), "event_id", "summary", "severity", "confidence"))).alias("events"))
     said = {"few sources": F.bool_or(F.col("confidence") < 0.5), "reports are disputed": F.bool_or("negated")}

@@ -179,3 +179,26 @@ def test_a_batch_may_touch_any_number_of_partitions(spark, tmp_path, update, mon
     merge.append_unseen(spark, path, spark.createDataFrame([*rows[1:], (20, rows[5][1], "c")], kind), ["id", "day"], "day")
     got = sorted((r.id, r.v) for r in spark.read.schema(kind).parquet(path).collect())
     assert got == [(0, "a")] + [(i, "b" if update else "a") for i in range(1, 9)] + [(20, "c")]
+
+
+def test_evidence_evaluates_events_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(i):
+        seen.add(1)
+        return f"s{i}"
+
+    events = spark.range(20).select(F.lit("A").alias("country"), F.col("id").alias("event_id"), told("id").alias("summary"), F.lit(0.5).alias("severity"), F.lit(0.4).alias("confidence"), F.lit(False).alias("negated"))
+    out = briefing.evidence(events, spark.createDataFrame([("A", 1)], "country string, g7 int")).collect()
+    assert [(r.n_events, len(r.events), r.cautions) for r in out] == [(20, 5, ["few sources"])]
+    assert seen.value == 20
+
+
+def test_word_boundaries_stand_beside_a_term_and_take_no_character(spark):
+    """The same texts as by characters on both sides, but no search for a character before each place."""
+    texts = ["que", "que que", "a que", "aque", "quea", "_que", "que_", "é que", "éque", "que\n", "que\r\nx", "9que", "xque que", "", "queque", "\U0001f600que\U0001f600", "que,"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [(r.a, r.b, r.c) for r in df.select(F.col("t").rlike(text.whole("que")).alias("a"), F.col("t").rlike("(^|[^a-z0-9_])que([^a-z0-9_]|$)").alias("b"), F.size(text.matched(F.col("t"), ["que"])).alias("c")).collect()]
+    assert all(a == b == bool(c) for a, b, c in got) and 5 < sum(a for a, _, _ in got) < len(texts)
+    assert not text.whole("que").startswith("(^|")
