@@ -634,3 +634,23 @@ def test_hot_nodes_keep_their_links(spark):
     edges = [(1, v) for v in range(2, 3000)] + [(v, v + 1) for v in range(5000, 5100)] + [(9000, 9001)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{v: 1 for v in range(1, 3000)}, **{v: 5000 for v in range(5000, 5101)}, 9000: 9000, 9001: 9000}
+
+
+@pytest.mark.parametrize(
+    ("kind", "value"),
+    [("email", "bob at host.com"), ("email", "bob [at] host[.]com"), ("email", "bob (AT) mail . host.org"), ("email", "at at host.com"), ("email", f"a@{'h' * 90} [.] {'i' * 90}.com"), ("email", f"{'n' * 90} dot b at host.com"), ("phone", "+1" + " " * 90 + "23456789012"), ("phone", "+44 20" + "(-) " * 30 + "7946 0958")],
+)
+def test_windows_cover_every_place_that_may_pass(kind, value):
+    before = "the words in front of it go on and on without a sign of anything, "
+    text = before + value + " and so do these words that come behind it, again and again"
+    assert pii.passes(kind, value)
+    seen = set().union(*[range(s, s + pii.WINDOW) for s in pii.window_starts(text)])
+    assert set(range(len(before) - 1, len(before) + len(value) + 1)) <= seen
+    assert pii.window_starts(before) == []
+
+
+def test_looking_for_addresses_takes_time_by_the_length_of_a_text():
+    for text in ("a at " * 60_000, "a dot " * 50_000 + " at b.c", "a@" * 100_000, "1 " * 100_000, "at" * 100_000, "[at]" * 60_000 + "b.c"):
+        start = time.process_time()
+        pii.window_starts(text)
+        assert time.process_time() - start < 5
